@@ -1,7 +1,7 @@
 """Toxic spans from a linear-chain conditional random field with two tags.
 
 Documents carry labels, tokens don't; so tokens of toxic training documents are
-labelled first: a word is offending where it is found in many different
+labelled first: a word, or a beginning of words, is offending where it is found in many different
 surroundings of toxic documents and hardly anywhere in clean ones (surroundings,
 as copies of one document would count many times otherwise). The field learns
 from these tags, and forward-backward marginals of every token of a text give
@@ -11,7 +11,7 @@ its score and the offsets of what offends.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,44 +65,78 @@ def marginals(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.n
     return both / (1 + both)
 
 
+#: Lengths of the word beginnings that may offend by themselves.
+BEGINNINGS = (7, 6, 5, 4)
+
+
 def label_tokens(rows: list[tuple[int, list[str]]], share: float = 0.9, evidence: float = 10.0) -> set[str]:
-    """Words of toxic documents that offend.
+    """Words, and beginnings of words (written ``abcd*``), that offend.
 
-    ``share`` of a word's surroundings must be toxic once each class weighs the
+    ``share`` of their surroundings must be toxic once each class weighs the
     same, and a likelihood-ratio test against chance must exceed ``evidence``
     plus what testing all words costs (twice the logarithm of their number).
+    Beginnings must also have three words or more.
     """
-    around: dict[str, list[set]] = defaultdict(lambda: [set(), set()])
-    size = [1, 1]
-    for toxic, tokens in rows:
-        size[toxic] += len(tokens)
-        for before, word in zip(["", *tokens[:-1]], tokens, strict=True):
-            around[word][toxic].add(before)
-    chance = size[1] / sum(size)
-    least = evidence + 2 * np.log(max(len(around), 1))
-    out = set()
-    for word, (clean, toxic) in around.items():
-        t, c = len(toxic), len(clean)
-        if t < 3 or t / size[1] < share * (t / size[1] + (c + 0.5) / size[0]):
-            continue
-        ratio = 2 * (t * np.log(t / (t + c) / chance) + (c * np.log(c / (t + c) / (1 - chance)) if c else 0))
-        if ratio >= least:
-            out.add(word)
+    ids: dict[str, int] = {"": 0}
+    tokens = [np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, len(found)) for _, found in rows]
+    if not tokens:
+        return set()
+    names = list(ids)
+    word = np.concatenate(tokens)
+    before = np.concatenate([np.append(0, t[:-1])[: len(t)] for t in tokens])
+    toxic = np.repeat([y for y, _ in rows], [len(t) for t in tokens]).astype(bool)
+    size = np.array([(~toxic).sum(), toxic.sum()]) + 1.0
+    chance = size[1] / size.sum()
+    least = evidence + 2 * np.log(len(names))
+    out: set[str] = set()
+    for k in (0, *BEGINNINGS):
+        if k:
+            units: dict[str, int] = {"": 0}
+            unit = np.array([units.setdefault(w[:k] + "*" if len(w) > k else "", len(units)) for w in names])
+            labels, kinds = list(units), np.bincount(unit, minlength=len(units))
+        else:
+            unit, labels, kinds = np.arange(len(names)), names, None
+        clean, bad = (np.bincount(np.unique(unit[word[toxic == y]] * len(names) + before[toxic == y]) // len(names), minlength=len(labels)).astype(float) for y in (False, True))
+        good = (bad >= 3) & (bad / size[1] >= share * (bad / size[1] + (clean + 0.5) / size[0]))
+        if kinds is not None:
+            good &= kinds >= 3
+        good[0] = False
+        t, c = bad[good], clean[good]
+        ratio = 2 * (t * np.log(t / (t + c) / chance) + c * np.log(np.maximum(c, 1) / (t + c) / (1 - chance)))
+        out.update(labels[i] for i in np.flatnonzero(good)[ratio >= least])
     return out
 
 
+class Emissions(dict):
+    """Word to emission number: its own, or that of its longest beginning that offends, or 0. Remembers a bounded number of words."""
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 500_000) -> None:
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, word: str) -> int:
+        get = self.vocabulary.get
+        found = get(word) or next((i for k in BEGINNINGS if len(word) > k and (i := get(word[:k] + "*"))), 0)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found
+        return found
+
+
 def fit_crf(rows: list[tuple[int, str]], *, most_words: int = 50_000, rounds: int = 40) -> CRF:
     """Fit the field by gradient ascent, then the weights of a document's marginals by Newton's method."""
     tokenised = [(toxic, TOKEN.findall(text.lower())) for toxic, text in rows]
     offending = label_tokens(tokenised)
     common = Counter(w for _, tokens in tokenised for w in tokens)
-    names = sorted(offending) + [w for w, n in sorted(common.items(), key=lambda x: (-x[1], x[0])) if n >= 5 and w not in offending][:most_words]
+    bad = Emissions({w: 1 for w in offending})
+    names = sorted(offending) + [w for w, n in sorted(common.items(), key=lambda x: (-x[1], x[0])) if n >= 5 and not bad[w]][:most_words]
     vocabulary = {w: i + 1 for i, w in enumerate(names)}
+    number = Emissions(vocabulary)
     # training segments: all of the toxic documents' and as many tokens again of the clean ones
     segments, tags = [], []
     for toxic, tokens in tokenised:
-        ids = np.fromiter((vocabulary.get(w, 0) for w in tokens), np.int64, len(tokens))
-        y = np.fromiter((toxic == 1 and w in offending for w in tokens), bool, len(tokens))
+        ids = np.fromiter((number[w] for w in tokens), np.int64, len(tokens))
+        y = np.fromiter((toxic == 1 and bad[w] == 1 for w in tokens), bool, len(tokens))
         for at in range(0, len(tokens), SEGMENT):
             segments.append(ids[at : at + SEGMENT])
             tags.append(y[at : at + SEGMENT])
@@ -131,7 +165,7 @@ def fit_crf(rows: list[tuple[int, str]], *, most_words: int = 50_000, rounds: in
     crf = CRF(vocabulary, np.exp(np.clip(weight + bias, -30, 30)), np.exp(move), np.zeros(3))
     features, target = [], []
     for toxic, tokens in tokenised:
-        features.append(_features(crf, np.fromiter((vocabulary.get(w, 0) for w in tokens), np.int64, len(tokens))))
+        features.append(_features(crf, np.fromiter((number[w] for w in tokens), np.int64, len(tokens))))
         target.append(toxic)
     crf.document[:] = _logistic(np.array(features).reshape(-1, 3), np.array(target, float))
     return crf
@@ -176,12 +210,12 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
 
     def run(batches):
         m = shared.value
-        get = m.vocabulary.get
+        number = Emissions(m.vocabulary)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             tokens = [TOKEN.findall(t.lower()) for t in texts]
             n = np.array([len(t) for t in tokens], np.int64)
-            ids = np.fromiter((get(w, 0) for t in tokens for w in t), np.int64, int(n.sum()))
+            ids = np.fromiter((number[w] for t in tokens for w in t), np.int64, int(n.sum()))
             ends = np.cumsum(n)
             starts = ends - n
             some = n > 0
