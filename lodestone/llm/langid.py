@@ -166,8 +166,8 @@ def fit_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return PPMModel.fit(by, order) if by else None
 
 
-def identify_language(docs: DataFrame, model: PPMModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each input row: ``doc_id, lang_pred, score, bits_per_byte``.
+def identify_language(docs: DataFrame, model: PPMModel | None, doc_id: str = "doc_id", text: str = "text", *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: ``doc_id, lang_pred, score, bits_per_byte``, and the columns to ``carry`` along.
 
     ``lang_pred`` is the language with the shortest code, the first by name if
     several are equal; ``score`` is its share among the languages, each weighted
@@ -194,10 +194,11 @@ def identify_language(docs: DataFrame, model: PPMModel | None, doc_id: str = "do
             known = lettered & (m is not None)
             names = np.array([*(m.languages if m else []), UNDETERMINED], object)
             pred = names[np.where(known, best, len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, rate, 0.0))], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, rate, 0.0)), *batch.columns[2:]], names=["doc_id", "lang_pred", "score", "bits_per_byte", *carry])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double" + kinds)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 
 
+def op1_pii_pseudonyms(spark, sf_dir):
+    from .pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents"), key="corpus-key-1")
+
+
+def op2_embedding_dedup(spark, sf_dir):
+    from .cover_tree import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op3_simhash_dedup(spark, sf_dir):
     from .simhash import simhash_dedup
 
@@ -42,9 +56,48 @@ def op10_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"), quality=quality).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_best_fit_packing, op5_exact_dedup, op7_toxicity, op8_language_id, op10_mix_sources)}
+def op6_extendible_shards(spark, sf_dir):
+    from .sharding import extendible_shards
+
+    return extendible_shards(table(spark, sf_dir, "documents"), max_bytes=1 << 20)
+
+
+def op9_license_scan(spark, sf_dir):
+    from .licenses import document_paths, scan_licenses
+
+    found = scan_licenses(document_paths(table(spark, sf_dir, "documents")))
+    return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_pseudonyms,
+        op2_embedding_dedup,
+        op3_simhash_dedup,
+        op4_best_fit_packing,
+        op5_exact_dedup,
+        op6_extendible_shards,
+        op7_toxicity,
+        op8_language_id,
+        op9_license_scan,
+        op10_mix_sources,
+    )
+}
 
 ORACLE_SQL = {
+    "op6_extendible_shards": """
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS bits FROM documents
+        ), open AS (
+            SELECT 0 AS depth, '' AS shard, sum(bytes)::BIGINT AS shard_bytes FROM docs
+            UNION ALL
+            SELECT o.depth + 1, lpad(bin(d.bits), 60, '0')[1:o.depth + 1], (sum(d.bytes) OVER (PARTITION BY lpad(bin(d.bits), 60, '0')[1:o.depth + 1]))::BIGINT
+            FROM (SELECT DISTINCT * FROM open) o JOIN docs d ON o.shard_bytes > 1048576 AND lpad(bin(d.bits), 60, '0')[1:o.depth] = o.shard
+        ), shards AS (SELECT DISTINCT * FROM open WHERE shard_bytes <= 1048576)
+        SELECT d.doc_id, d.bytes, s.shard, s.depth, s.shard_bytes, 0::BIGINT AS page
+        FROM docs d JOIN shards s ON lpad(bin(d.bits), 60, '0')[1:s.depth] = s.shard
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
