@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +168,12 @@ def completions(lengths: list[int], counts: dict[int, int], room: int, most: int
 
     A filling is dominated if one of its pieces, or a pair, can be replaced by
     a single longer piece that still fits: what is replaced is easier to place
-    later. ``lengths`` falls.
+    later. Nothing but a filling of fewer pieces can dominate one without waste,
+    so those of up to three pieces are looked up first. ``lengths`` falls.
     """
+    exact = _exact(lengths, counts, room, most)
+    if exact:
+        return exact
     found: list[tuple[int, ...]] = []
 
     def extend(at: int, left: int, chosen: tuple[int, ...]) -> None:
@@ -192,6 +197,34 @@ def completions(lengths: list[int], counts: dict[int, int], room: int, most: int
     return kept[:most]
 
 
+def _exact(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
+    """Fillings without waste, of one, two or three pieces, fewest and longest pieces first."""
+    if room == 0:
+        return [()]
+    if counts.get(room, 0) > 0:
+        return [(room,)]
+
+    def pairs(space: int, ceiling: int, used: int | None):
+        for n in lengths:
+            rest = space - n
+            if n > ceiling or rest > n or rest <= 0:
+                if rest > n:
+                    return
+                continue
+            need = (n == rest) + 1
+            if counts[n] - (n == used) >= need and counts.get(rest, 0) - (rest == used) >= 1:
+                yield n, rest
+
+    out = list(islice(pairs(room, room, None), most))
+    if out:
+        return out
+    for n in [n for n in lengths if n < room and counts[n] > 0][:8]:
+        out.extend((n, *p) for p in islice(pairs(room - n, n, n), most - len(out)))
+        if len(out) >= most:
+            break
+    return out
+
+
 def _dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts: dict[int, int]) -> bool:
     for i, n in enumerate(filling):
         if any(n < m <= n + waste and counts[m] > filling.count(m) for m in lengths):
@@ -202,7 +235,7 @@ def _dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts:
     return False
 
 
-def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 2_000, width: int = 16) -> tuple[list[tuple[int, tuple[int, ...]]], int, bool]:
+def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 1_500, width: int = 8) -> tuple[list[tuple[int, tuple[int, ...]]], int, bool]:
     """Fillings ``(times, lengths)``, the lower bound, and whether the number of bins is proven to be the least.
 
     The first incumbent is best-fit decreasing. If it doesn't meet the lower
@@ -218,23 +251,24 @@ def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 2_000,
     incumbent = best_fit(counts, capacity)
     best = sum(t for t, _ in incumbent)
     spent = 0
-    stack: list[tuple[dict[int, int], list, int]] = [(counts, [], 0)]
+    stack: list[tuple[dict[int, int], tuple | None, int, int]] = [(counts, None, 0, 0)]
     while stack and best > bound and spent < nodes:
-        left, path, used = stack.pop()
+        left, path, used, depth = stack.pop()
         spent += 1
+        if left and used + lower_bound(left, capacity) >= best:
+            continue
+        if depth % 32 == 0 or len(left) <= 64:
+            rest = best_fit(left, capacity) if left else []
+            if used + sum(t for t, _ in rest) < best:
+                best = used + sum(t for t, _ in rest)
+                incumbent = rest
+                while path is not None:
+                    path, step = path
+                    incumbent = [*incumbent, step]
+                continue
         if not left:
-            if used < best:
-                best, incumbent = used, path
             continue
         lengths = sorted(left, reverse=True)
-        if used + lower_bound(left, capacity) >= best:
-            continue
-        rest = best_fit(left, capacity)
-        n_rest = sum(t for t, _ in rest)
-        if used + n_rest < best:
-            best, incumbent = used + n_rest, [*path, *rest]
-            if best == bound:
-                break
         largest = lengths[0]
         others = dict(left)
         others[largest] -= 1
@@ -245,7 +279,9 @@ def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 2_000,
             after = dict(left)
             for n in whole:
                 after[n] -= times
-            branches.append(({n: c for n, c in after.items() if c}, [*path, (times, whole)], used + times))
+                if not after[n]:
+                    del after[n]
+            branches.append((after, (path, (times, whole)), used + times, depth + 1))
         stack.extend(reversed(branches))
     return incumbent, bound, best == bound or not stack
 
