@@ -43,7 +43,7 @@ def read_documents(spark: SparkSession, path: str, generic: bool = False) -> Dat
 
 def read_text_folder(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bool = True) -> DataFrame:
     """Whole files; the path below the folder is the identifier, blank files are skipped."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern.rsplit("/", 1)[-1]).option("recursiveFileLookup", recursive).text(path)
+    files = spark.read.option("pathGlobFilter", pattern.rsplit("/", 1)[-1]).option("recursiveFileLookup", recursive).text(path, wholetext=True)
     base = path.rstrip("/") + "/"
     name = F.expr("_metadata.file_path")
     at = F.instr(name, base)

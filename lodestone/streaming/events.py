@@ -30,7 +30,7 @@ def windowed_events(events: DataFrame, length: str = "1 hour", lateness: str = "
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the event table through a stream, and give its final state."""
     path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"events_{uuid.uuid4().hex}"
     q = windowed_events(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
