@@ -64,7 +64,7 @@ def permute_digits(digits: Column, key: str, tweak: str) -> Column:
     """The keyed permutation of strings of as many digits, up to 36."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
-    left, right = F.coalesce(F.substring(digits, F.lit(1), u).cast("long"), F.lit(0)), F.substring(digits, u + 1, n).cast("long")
+    left, right = (F.coalesce(F.substring(digits, at, size).try_cast("long"), F.lit(0)) for at, size in ((F.lit(1), u), (u + 1, n)))
     out = feistel(left, right, (_power(10, u, 18), _power(10, n - u, 18)), key, F.concat(F.lit(tweak), n.cast("string")))
     both = F.transform(F.array(out), lambda s: F.concat(F.when(u > 0, F.lpad(s["a"].cast("string"), u, "0")).otherwise(F.lit("")), F.lpad(s["b"].cast("string"), n - u, "0")))
     return F.when(n > 0, both[0]).otherwise(digits)
