@@ -213,9 +213,11 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
         number = Emissions(m.vocabulary)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            tokens = [TOKEN.findall(t.lower()) for t in texts]
-            n = np.array([len(t) for t in tokens], np.int64)
-            ids = np.fromiter((number[w] for t in tokens for w in t), np.int64, int(n.sum()))
+            # words become numbers text by text: a batch's words at once would be many times its size
+            parts = [np.array([number[w] for w in TOKEN.findall(t.lower())], np.int32) for t in texts]
+            n = np.array([len(p) for p in parts], np.int64)
+            ids = np.concatenate(parts)
+            del parts
             ends = np.cumsum(n)
             starts = ends - n
             some = n > 0
