@@ -216,7 +216,7 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
             # words become numbers text by text: a batch's words at once would be many times its size
             parts = [np.array([number[w] for w in TOKEN.findall(t.lower())], np.int32) for t in texts]
             n = np.array([len(p) for p in parts], np.int64)
-            ids = np.concatenate(parts)
+            ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
             del parts
             ends = np.cumsum(n)
             starts = ends - n
