@@ -180,7 +180,7 @@ def _owners(hashed):
     return run
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, keep: str = "largest", budget: int = 96 << 20, hashed=content_hash) -> DataFrame:
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, keep: str = "largest", budget: int = 32 << 20, hashed=content_hash) -> DataFrame:
     """One row for each input row: ``doc_id, keep_id, group_size, kept, text_sha256, n_bytes``.
 
     Texts are equal when they are identical after lower-casing A-Z. ``keep`` is
