@@ -58,7 +58,8 @@ def _bm25_sql(name: str, k1: float, b: float) -> str:
 
 
 def _index(spark, sf_dir) -> R.TextIndex:
-    return R.TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """What the passages' terms need of the documents' index."""
+    return R.TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text", only=R.query_terms(_questions(spark, sf_dir)))
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -614,7 +615,7 @@ def ag17_top_answer(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)), 6) AS idf FROM terms CROSS JOIN totals")
 def ag19_term_statistics(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = R.TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text")
     return index.terms.crossJoin(F.broadcast(index.totals)).select("term", "df", six(F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))  # totals: one row
 
 

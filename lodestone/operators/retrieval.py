@@ -63,14 +63,26 @@ class TextIndex:
     totals: DataFrame
 
     @staticmethod
-    def build(items: DataFrame, item_id: str, text: str, tokens=search_tokens) -> TextIndex:
+    def build(items: DataFrame, item_id: str, text: str, tokens=search_tokens, only: DataFrame | None = None, most: int = 100_000) -> TextIndex:
+        """``only(term)`` keeps just these terms' postings, with the same statistics: for a batch of queries, most tokens then never move.
+
+        Up to ``most`` such terms are broadcast, after they are counted; more are joined by a shuffle.
+        """
         base = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
         totals = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        postings = base.select("item_id", "dl", F.explode("tokens").alias("term")).groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
+        found = base.select("item_id", "dl", F.explode("tokens").alias("term"))
+        if only is not None:
+            few = only.limit(most + 1).count() <= most
+            found = found.join(F.broadcast(only) if few else only, "term", "left_semi")
+        postings = found.groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
         terms = postings.groupBy("term").agg(F.count("*").alias("df"))
         return TextIndex(postings, terms, totals)
 
 
+def query_terms(queries: DataFrame, tokens=search_tokens) -> DataFrame:
+    return queries.select(F.explode(tokens(F.col("question"))).alias("term")).distinct()
+
+
 def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = 1.5, b: float = 0.75, tokens=search_tokens, among: DataFrame | None = None) -> DataFrame:
     """``(query_id, item_id, score)`` of items with a positive score, for ``queries(query_id, question)``.
 

@@ -28,7 +28,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: RetrievalSetting
         return R.dense_top_k(q, v, k, within=within)
 
     def bm25(k: int) -> DataFrame:
-        return R.bm25_top_k(questions, R.TextIndex.build(chunks, "item_id", "text"), k, k1=s.k1, b=s.b)
+        return R.bm25_top_k(questions, R.TextIndex.build(chunks, "item_id", "text", only=R.query_terms(questions)), k, k1=s.k1, b=s.b)
 
     if s.retriever == "bm25":
         return bm25(s.top_k)
