@@ -15,6 +15,13 @@ AT_K = (
 )
 
 
+#: What run artifacts must not contain (fixed list).
+LEAK_TERMS = (
+    "answer-bearing question file", "legacy gold context file", "gold_answer", "ground_truth_answer", "expected_answer", "program_answer",
+    "original_answer", "gold_context_id", "gold_context_ids", "context_id", "source_files",
+)
+
+
 def metric_columns(rows: DataFrame, prefixes: Iterable[str] = AT_K, extra: Iterable[str] = ()) -> list[str]:
     return [c for c in rows.columns if c.startswith(tuple(prefixes)) or c in tuple(extra)]
 
@@ -146,7 +153,7 @@ def check_rows(one: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()])).alias("x")).select("x.*")
 
 
-def leakage(texts: DataFrame, terms: Iterable[str]) -> DataFrame:
+def leakage(texts: DataFrame, terms: Iterable[str] = LEAK_TERMS) -> DataFrame:
     """``(path, term)`` of forbidden terms, whatever their case, in ``texts(path, text)``."""
     found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("text"), F.lower(t)))
     return texts.select("path", F.explode(found).alias("term"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import first_truthy
 
 #: Fields of a questions file that would give answers away (fixed list).
-FORBIDDEN = ("answer", "ground_truth_answer", "gold_answer", "expected_answer", "program_answer", "original_answer", "referenzantwort", "gold_relevant_chunk_ids")
+FORBIDDEN = ("program_answer", "original_answer", "answer", "ground_truth_answer", "expected_answer", "context_id", "gold_context_id", "gold_context_ids")
 DOCUMENT_FIELDS = "doc_key string, doc_id string, document_id string, id string, context_id string, original_context_id string, text string, context string, doc_name string, kategorie string, wissensart string, titel string, quellpfad string, sprache string, content_hash string, ingestion_version string"
 
 
