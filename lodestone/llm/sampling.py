@@ -22,8 +22,11 @@ def labelled_sample(rows: DataFrame, per_label: int, max_bytes: int) -> list:
     able = rows.where(~held_out() & F.col("label").isNotNull() & F.col("doc_id").isNotNull() & F.col("size").between(1, max_bytes))
     # the first hashes of a label lie below a threshold that follows from its number of rows: only rows below it meet
     draw = able.select("doc_id", "label", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("draw"))
-    sizes = able.groupBy("label").agg(F.count("*").alias("rows"))
-    below = draw.join(sizes, "label").where(F.col("draw") <= F.lit(MARGIN * per_label) / F.col("rows") * float(1 << 53))
+    sizes = able.groupBy("label").agg(F.count("*").alias("rows")).collect()  # bounded as the sample is: a row for each label
+    if not sizes:
+        return []
+    cuts = F.create_map(*[x for r in sizes for x in (F.lit(r["label"]), F.lit(MARGIN * per_label / r["rows"] * float(1 << 53)))])
+    below = draw.where(F.col("draw") <= cuts[F.col("label")])
     order = Window.partitionBy("label").orderBy("draw", "doc_id")
     chosen = below.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("doc_id")
     ids = sorted({r[0] for r in chosen.collect()})  # bounded: labels times per_label

@@ -72,18 +72,21 @@ def valid(kind, v):
     return True
 
 
-@pytest.mark.parametrize("kind", sorted(CASES))
-def test_formats_are_kept(spark, kind):
-    for text, r in zip(CASES[kind], pseudo(spark, [f"see {v}, or {v}." for v in CASES[kind]]), strict=True):
+def test_formats_are_kept(spark):
+    cases = [(kind, v) for kind in sorted(CASES) for v in CASES[kind]]
+    for (kind, text), r in zip(cases, pseudo(spark, [f"see {v}, or {v}." for _, v in cases]), strict=True):
         assert r.kinds == [kind, kind], text
         first, second = re.fullmatch(r"see (.*), or (.*)\.", r.text).groups()
         assert first == second != text
         assert valid(kind, first)
         if kind not in ("ip", "date"):
-            assert re.sub(r"[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", first))) == re.sub(r"[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", text)))
-        if kind == "date":
-            y = first if first[4] == "-" else None
-            assert y is None or 1900 <= datetime.date.fromisoformat(y).year <= 2099
+            assert shape(first) == shape(text)
+        if kind == "date" and first[4] == "-":
+            assert 1900 <= datetime.date.fromisoformat(first).year <= 2099
+
+
+def shape(v):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", v)))
 
 
 def test_equal_values_stay_linked_and_match_brute_force(spark):
