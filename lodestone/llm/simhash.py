@@ -89,7 +89,7 @@ class _Forest:
             self.up = over
 
 
-def trie_components(keys: np.ndarray, budget: int, nodes: np.ndarray | None = None, depth: int = 0, *, batch: int = 1 << 20) -> np.ndarray:
+def trie_components(keys: np.ndarray, budget: int, nodes: np.ndarray | None = None, depth: int = 0, *, batch: int = 1 << 17) -> np.ndarray:
     """For each of the sorted distinct ``uint64`` keys the position of the smallest key reachable by links of at most ``budget`` bits below the given nodes.
 
     A node is a range of the sorted keys at a depth; ``nodes`` are the starts of
