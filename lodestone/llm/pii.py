@@ -21,15 +21,21 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 MOST_LETTERS = 26  # of a local part; 26 ** 13 still fits a long
 
+_DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d)(?!(?!T\d\d)\w|[./-]\d)"
+_IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
+_SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+#: Values that a longer one before them leaves alone; cards as they are written in fours or in one.
+_OWN = rf"(?!{_DATE}|{_IP}|{_SSN})"
+_NO_CARD = r"(?!(?<!\d)(?:\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{13,19})(?!\w))"
 #: Formats, tried in this order at each place (fixed patterns).
 FORMATS = {
-    "date": r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d)(?!\w|[./-]\d)",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "date": _DATE,
+    "ip": _IP,
+    "ssn": _SSN,
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "email": r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}",
-    "phone": r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|[.-]\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)",
+    "phone": rf"(?<!\w)\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\w|\.\d)|(?<!\w)\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?{_OWN}{_NO_CARD}\d{{2,4}}){{1,4}}(?!\w|\.\d)|(?<!\w)\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\w)|(?<![\w.-])\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?!\w|[.-]\d)",
+    "card": rf"(?<![\w.-])\d(?:(?:[ -]{_OWN})?\d){{12,18}}(?!\w|[.-]\d)",
 }
 ANY = "|".join(FORMATS.values())
 #: Days from 1900-01-01 to 2099-12-31, 17 times 4297.
@@ -128,22 +134,50 @@ def mod97(text: Column) -> Column:
 
 
 def _card(v: Column, key: str) -> Column:
-    digits = _only(v, "[^0-9]")
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = F.transform(F.array(permute_digits(payload, key, "card")), lambda p: refill(v, "[0-9]", F.concat(p, luhn_digit(p))))[0]
-    return F.when(luhn_digit(payload) == F.substring(digits, -1, 1), new)
+    """The longest run of digit groups that passes, the first of equal ones; the groups around it stay."""
+    parts = F.split(v, "[ -]")
+    groups = F.sequence(F.lit(1), F.size(parts))
+
+    def end(i: Column) -> Column:
+        return F.length(F.array_join(F.slice(parts, F.lit(1), i), " "))
+
+    def span(i: Column, j: Column) -> Column:
+        at = F.when(i == 1, 1).otherwise(end(i - 1) + 2)
+        value = F.substring(v, at, end(j) - at + 1)
+        return F.struct((-F.length(_only(value, "[^0-9]"))).alias("less"), at.alias("at"), value.alias("value"), _only(value, "[^0-9]").alias("digits"))
+
+    spans = F.flatten(F.transform(groups, lambda i: F.transform(F.filter(groups, lambda j: j >= i), lambda j: span(i, j))))
+    passed = F.filter(spans, lambda s: F.length(s["digits"]).between(13, 19) & (luhn_digit(F.substring(s["digits"], F.lit(1), F.length(s["digits"]) - 1)) == F.substring(s["digits"], -1, 1)))
+
+    def made(s: Column) -> Column:
+        payload = permute_digits(F.substring(s["digits"], F.lit(1), F.length(s["digits"]) - 1), key, "card")
+        new = F.transform(F.array(payload), lambda p: refill(s["value"], "[0-9]", F.concat(p, luhn_digit(p))))[0]
+        return F.concat(F.substring(v, F.lit(1), s["at"] - 1), new, F.substring(v, s["at"] + F.length(s["value"]), F.length(v)))
+
+    return F.get(F.transform(F.slice(F.array_sort(passed), 1, 1), made), 0)
 
 
 def _iban(v: Column, key: str) -> Column:
-    plain = _only(v, " ")
-    country, bank = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    """The most groups from the first on that pass; what follows them stays."""
+    parts = F.split(v, " ")
+    spans = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
+
+    def passes(s: Column) -> Column:
+        plain = _only(s, " ")
+        return F.length(plain).between(15, 34) & (mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+    def made(s: Column) -> Column:
+        plain = _only(s, " ")
+        country, bank = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+
+        def rebuilt(b: Column) -> Column:
+            check = F.lpad((F.lit(98) - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+            return refill(s, "[A-Z0-9]", F.concat(country, check, b))
 
-    def rebuilt(b: Column) -> Column:
-        check = F.lpad((F.lit(98) - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
-        return refill(v, "[A-Z0-9]", F.concat(country, check, b))
+        new = F.transform(F.array(refill(bank, "[0-9]", permute_digits(_only(bank, "[^0-9]"), key, "iban"))), rebuilt)[0]
+        return F.concat(new, F.substring(v, F.length(s) + 1, F.length(v)))
 
-    new = F.transform(F.array(refill(bank, "[0-9]", permute_digits(_only(bank, "[^0-9]"), key, "iban"))), rebuilt)[0]
-    return F.when((mod97(F.concat(bank, F.substring(plain, 1, 4))) == 1) & F.length(plain).between(15, 34), new)
+    return F.get(F.transform(F.slice(F.filter(spans, passes), 1, 1), made), 0)
 
 
 def _ip(v: Column, key: str) -> Column:

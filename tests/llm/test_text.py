@@ -113,6 +113,15 @@ def test_what_is_not_personal_stays(spark):
     assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), key=KEY).count() == 0
 
 
+def test_neighbours_stay_apart(spark):
+    phone, ip, card, iban = "+1 (826) 555-4081", "190.137.223.204", "4467920212765298", "ES91 2100 0418 4502 0005 1332"
+    texts = [phone, ip, card, iban, "2020-01-02", f"{phone} {ip}", f"No 5 {card}", f"{card} 12", f"{iban} IN", "2020-01-02T10:00:00Z", f"{phone} {card}", f"{phone} 123-45-6789", f"{phone} 12", "123-45-6789"]
+    got = pseudo(spark, texts)
+    p, i, c, b, d, ssn = (got[k].text for k in (0, 1, 2, 3, 4, 13))
+    assert [r.text for r in got[5:13]] == [f"{p} {i}", f"No 5 {c}", f"{c} 12", f"{b} IN", f"{d}T10:00:00Z", f"{p} {c}", f"{p} {ssn}", f"{p} 12"]
+    assert [r.kinds for r in got[5:13]] == [["phone", "ip"], ["card"], ["card"], ["iban"], ["date"], ["phone", "card"], ["phone", "ssn"], ["phone"]]
+
+
 def plain_ppm(train, order, least, context, symbol):
     """Cost in bits of a byte after a context, straight from the definition."""
     def follow(c):
