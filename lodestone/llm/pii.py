@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-MOST_LETTERS = 26  # of a local part; 26 ** 13 still fits a long
+MOST_LETTERS, MOST_DIGITS = 26, 36  # of a block; 26 ** 13 and 10 ** 18 still fit a long
 
 _DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d)(?!(?!T\d\d)\w|[./-]\d)"
 _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
@@ -66,20 +66,35 @@ def _power(base: int, n: Column, most: int) -> Column:
     return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(most + 1)]), n.cast("int") + 1)
 
 
-def permute_digits(digits: Column, key: str, tweak: str) -> Column:
+def permute_digits(digits: Column, key: str, tweak: str | Column) -> Column:
     """The keyed permutation of strings of as many digits, up to 36."""
+    tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
     left, right = (F.coalesce(F.substring(digits, at, size).try_cast("long"), F.lit(0)) for at, size in ((F.lit(1), u), (u + 1, n)))
-    out = feistel(left, right, (_power(10, u, 18), _power(10, n - u, 18)), key, F.concat(F.lit(tweak), n.cast("string")))
+    out = feistel(left, right, (_power(10, u, 18), _power(10, n - u, 18)), key, F.concat(tweak, n.cast("string")))
     both = F.transform(F.array(out), lambda s: F.concat(F.when(u > 0, F.lpad(s["a"].cast("string"), u, "0")).otherwise(F.lit("")), F.lpad(s["b"].cast("string"), n - u, "0")))
     return F.when(n > 0, both[0]).otherwise(digits)
 
 
+def _blocks(value: Column, most: int, permuted, tweak: str) -> Column:
+    """``value`` permuted in blocks of ``most`` characters; if there are several, the tweak has their number and the total length."""
+    n = F.length(value)
+
+    def block(i: Column) -> Column:
+        own = F.when(n <= most, F.lit(tweak)).otherwise(F.concat_ws("-", F.lit(tweak), i.cast("string"), n.cast("string"), F.lit("")))
+        return permuted(F.substring(value, i * most + 1, F.lit(most)), own)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / most).cast("int")), block), "")
+
+
 def permute_letters(letters: Column, key: str, tweak: str) -> Column:
-    """The keyed permutation of strings of as many letters a-z, up to 26; letters beyond stay."""
-    head, tail = F.substring(letters, 1, MOST_LETTERS), F.substring(letters, F.lit(MOST_LETTERS + 1), F.length(letters))
-    n = F.length(head)
+    """The keyed permutation of strings of as many letters a-z, by blocks of 26."""
+    return _blocks(letters, MOST_LETTERS, lambda x, own: _permute_letters(x, key, own), tweak)
+
+
+def _permute_letters(letters: Column, key: str, tweak: Column) -> Column:
+    head, n = letters, F.length(letters)
     u = F.floor(n / 2).cast("int")
 
     def number(s: Column) -> Column:
@@ -90,8 +105,8 @@ def permute_letters(letters: Column, key: str, tweak: str) -> Column:
         done = F.aggregate(F.sequence(F.lit(1), k), start, lambda s, _: F.struct((s["x"] - s["x"] % 26).cast("decimal(20,0)").__truediv__(F.lit(26).cast("decimal(20,0)")).cast("long").alias("x"), F.concat(F.char(F.lit(97) + s["x"] % 26), s["s"]).alias("s")))
         return F.when(k > 0, done["s"]).otherwise(F.lit(""))
 
-    out = feistel(number(F.substring(head, F.lit(1), u)), number(F.substring(head, u + 1, n)), (_power(26, u, 13), _power(26, n - u, 13)), key, F.concat(F.lit(tweak), n.cast("string")))
-    both = F.transform(F.array(out), lambda s: F.concat(text(s["a"], u), text(s["b"], n - u), tail))
+    out = feistel(number(F.substring(head, F.lit(1), u)), number(F.substring(head, u + 1, n)), (_power(26, u, 13), _power(26, n - u, 13)), key, F.concat(tweak, n.cast("string")))
+    both = F.transform(F.array(out), lambda s: F.concat(text(s["a"], u), text(s["b"], n - u)))
     return F.when(n > 0, both[0]).otherwise(letters)
 
 
@@ -229,9 +244,9 @@ def _phone(v: Column, key: str) -> Column:
 def _email(v: Column, key: str) -> Column:
     local = F.substring_index(v, "@", 1)
     letters, digits = _only(F.lower(local), "[^a-z]"), _only(local, "[^0-9]")
-    new = refill(refill(local, "[A-Za-z]", permute_letters(letters, key, "email")), "[0-9]", permute_digits(F.substring(digits, 1, 36), key, "email"))
-    fits = F.length(digits) <= 36
-    return F.concat(F.when(fits, new).otherwise(refill(local, "[A-Za-z]", permute_letters(letters, key, "email"))), F.substring(v, F.length(local) + 1, F.length(v)))
+    numbers = _blocks(digits, MOST_DIGITS, lambda x, own: permute_digits(x, key, own), "email")
+    new = refill(refill(local, "[A-Za-z]", permute_letters(letters, key, "email")), "[0-9]", numbers)
+    return F.concat(new, F.substring(v, F.length(local) + 1, F.length(v)))
 
 
 _PERMUTED = {"date": _date, "ip": _ip, "ssn": _ssn, "iban": _iban, "email": _email, "phone": _phone, "card": _card}

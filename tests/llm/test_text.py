@@ -122,6 +122,15 @@ def test_neighbours_stay_apart(spark):
     assert [r.kinds for r in got[5:13]] == [["phone", "ip"], ["card"], ["card"], ["iban"], ["date"], ["phone", "card"], ["phone", "ssn"], ["phone"]]
 
 
+def test_long_addresses_are_permuted_whole(spark):
+    letters, digits = "a" * 26 + "lastname", "1" * 36 + "2345678"
+    a, b = pseudo(spark, [f"{letters}@example.com", f"x{digits}@example.com"])
+    assert a.text[26:34] != "lastname"
+    assert b.text[37:44] != "2345678"
+    assert shape(a.text) == "a" * 34 + "@aaaaaaa.aaa"
+    assert shape(b.text) == "a" + "0" * 43 + "@aaaaaaa.aaa"
+
+
 def plain_ppm(train, order, least, context, symbol):
     """Cost in bits of a byte after a context, straight from the definition."""
     def follow(c):
