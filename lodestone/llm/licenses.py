@@ -22,11 +22,13 @@ from .common import materialize
 TERM = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 #: What a line of a licence statement contains (fixed list).
 CUE = re.compile(r"licen[cs]e|copyright|spdx|public domain|all rights reserved|released under|permission is hereby", re.I)
+#: Where a sentence ends and another begins.
+SENTENCE = re.compile(r"(?<=[.!?])[ \t]+(?=[A-Z(\[\"'])")
 #: Phrases that name licences, as short headers state them (fixed list).
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
@@ -72,19 +74,35 @@ class Templates:
         return self.names[best], float(scores[best] / np.sqrt(norm))
 
 
-def statements(text: str, around: int = 0) -> tuple[list[str], int]:
-    """Runs of lines that speak of licensing, and how many characters they have; lines over 400 characters count as the sentence around each cue."""
-    out, size = [], 0
+def statements(text: str, around: int = 1, whole: bool = False) -> tuple[list[str], int]:
+    """What may state a licence, and how many characters the lines with a cue have.
+
+    For each cue that is its sentence, its line up to 400 characters, and the
+    line with ``around`` lines before and after it; for neighbouring cues their
+    run of lines; for texts of up to 3,000 characters, or if ``whole``, all of it.
+    """
+    out, runs = [], []
     for cue in CUE.finditer(text):
-        lo = max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - 200)
-        hi = text.find("\n", cue.end())
-        hi = min(hi if hi >= 0 else len(text), cue.end() + 200)
-        if out and lo < out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        lo, hi = text.rfind("\n", 0, cue.start()) + 1, text.find("\n", cue.end())
+        hi = hi if hi >= 0 else len(text)
+        begin = max((m.end() for m in SENTENCE.finditer(text, max(lo, cue.start() - 2000), cue.start() + 1)), default=lo)
+        end = SENTENCE.search(text, cue.end(), min(hi, cue.end() + 2000))
+        out.append(text[max(begin, cue.start() - 2000) : end.start() if end else min(hi, cue.end() + 2000)])
+        if hi - lo <= 400:
+            wide_lo, wide_hi = lo, hi
+            for _ in range(around):
+                wide_lo = text.rfind("\n", 0, max(wide_lo - 1, 0)) + 1
+                more = text.find("\n", wide_hi + 1)
+                wide_hi = more if more >= 0 else len(text)
+            out += [text[lo:hi], text[max(wide_lo, lo - 400) : min(wide_hi, hi + 400)]]
+        if runs and lo <= runs[-1][1] + 1:
+            runs[-1] = (runs[-1][0], max(hi, runs[-1][1]))
         else:
-            out.append((lo, hi))
-    size = sum(hi - lo for lo, hi in out)
-    return [text[lo:hi] for lo, hi in out], size
+            runs.append((lo, hi))
+    out += [text[lo:hi] for lo, hi in runs if hi - lo <= 3000]
+    if text and (whole or (runs and len(text) <= 3000)):
+        out.append(text)
+    return list(dict.fromkeys(out)), sum(min(hi - lo, 400) for lo, hi in runs)
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", *, threshold: float = 0.5, file_share: float = 0.3, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -103,11 +121,11 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", *, t
         for batch in batches:
             out = []
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, size = statements(t or "")
+                named = bool(p and re.search(r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$", p))
+                found, size = statements(t or "", whole=named)
                 name, cosine = max((model.closest(s) for s in found), key=lambda x: x[1], default=(None, 0.0))
                 if cosine < threshold:
                     name = None
-                named = bool(p and re.search(r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$", p))
                 out.append((p, name, round(cosine, 6), name is not None and (named or size >= file_share * len(t))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["path", "license_found", "cosine", "is_license_file"])
 

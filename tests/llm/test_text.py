@@ -246,3 +246,11 @@ def test_licenses(spark):
     assert by["p/d.py"] == ("CC-BY-NC-4.0", "header")
     assert by["q/e.py"] == by[None] == (None, "none")
     assert scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_licenses_in_prose_and_bodies(spark):
+    body = "Copyright (c) 2020, Jo Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice.\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software."
+    prose = "The quick brown fox jumps over lazy dogs near rivers. Released under the MIT License. Another ordinary sentence follows with many words about rivers and hills. " + "More words go here today. " * 30
+    rows = [("a/x.txt", prose), ("b/LICENSE", body), ("c/y.txt", "word " * 300 + ". Licensed under the Apache License, Version 2.0. Then it goes on.")]
+    by = {r.path: r.license for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert by == {"a/x.txt": "MIT", "b/LICENSE": "BSD-3-Clause", "c/y.txt": "Apache-2.0"}
