@@ -24,8 +24,18 @@ TERM = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 CUE = re.compile(r"licen[cs]e|copyright|spdx|public domain|all rights reserved|released under|permission is hereby", re.I)
 #: Where a sentence ends and another begins.
 SENTENCE = re.compile(r"(?<=[.!?])[ \t]+(?=[A-Z(\[\"'])")
+#: What a text says that reserves all rights and grants none; any licence beside it counts first.
+RESERVED = "LicenseRef-All-Rights-Reserved"
 #: Phrases that name licences, as short headers state them (fixed list).
 TEMPLATES = {
+    RESERVED: ["All rights reserved.", "Copyright. All rights reserved."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3"],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"],
+    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC0-1.0": ["Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."],
+    "Unlicense": ["Released under the Unlicense.", "SPDX-License-Identifier: Unlicense", "This is free and unencumbered software released into the public domain."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "MIT": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND"],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"],
@@ -36,7 +46,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
 }
-NAMES = "path string, license_found string, cosine double, is_license_file boolean"
+NAMES = "path string, license_found string, cosine double, is_license_file boolean, states boolean"
 
 
 def terms(text: str) -> list[str]:
@@ -109,8 +119,9 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", *, t
     """One row for each input row: ``path, license, origin, cosine, inherited_from``.
 
     ``origin`` is ``file`` (a licence file: statements are ``file_share`` of its
-    text or more, or it is named like one), ``header``, ``inherited`` or
-    ``none``. Of several licence files in a directory the one with the greatest
+    text or more, or it is named like one), ``header``, ``inherited``,
+    ``unknown`` (something is stated that no template matches; nothing is inherited
+    over it) or ``none``. Of several licence files in a directory the one with the greatest
     cosine counts, then the first path. Null and empty texts state nothing; null
     paths have no directory and inherit nothing. Repeated rows are rows like any
     other. An empty table gives an empty result.
@@ -123,28 +134,30 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", *, t
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 named = bool(p and re.search(r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$", p))
                 found, size = statements(t or "", whole=named)
-                name, cosine = max((model.closest(s) for s in found), key=lambda x: x[1], default=(None, 0.0))
+                scored = [model.closest(s) for s in found]
+                granted = [x for x in scored if x[0] != RESERVED and x[1] >= threshold]
+                name, cosine = max(granted or scored, key=lambda x: x[1], default=(None, 0.0))
                 if cosine < threshold:
                     name = None
-                out.append((p, name, round(cosine, 6), name is not None and (named or size >= file_share * len(t))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.string(), pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["path", "license_found", "cosine", "is_license_file"])
+                out.append((p, name, round(cosine, 6), name is not None and (named or size >= file_share * len(t)), bool(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=["path", "license_found", "cosine", "is_license_file", "states"])
 
     found = materialize(files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(run, NAMES), "license-found")
     folder = F.regexp_extract("path", r"^(.*)/", 1)
     owners = found.where("is_license_file and path is not null").select(folder.alias("folder"), "path", "license_found", "cosine")
     owners = owners.groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path"), F.col("license_found"))).alias("o")).select("folder", F.col("o.license_found").alias("above"), F.col("o.path").alias("inherited_from"))
     # directories, not files, look for the nearest one above: each once, along its own path
-    folders = found.where("license_found is null and path is not null").select(folder.alias("own")).distinct()
+    folders = found.where("license_found is null and path is not null and not states").select(folder.alias("own")).distinct()
     parts = F.split("own", "/")
     ancestors = folders.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("folder", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = ancestors.join(owners, "folder").groupBy("own").agg(F.max(F.struct("depth", "above", "inherited_from")).alias("n")).select(F.col("own"), F.col("n.above").alias("above"), F.col("n.inherited_from").alias("inherited_from"))
     alone = F.concat(F.lit("\u0000"), F.coalesce("path", F.lit("")))  # no folder is called so, and such keys spread
-    look = found.withColumn("own", F.when(F.col("license_found").isNull() & F.col("path").isNotNull(), folder).otherwise(alone))
+    look = found.withColumn("own", F.when(F.col("license_found").isNull() & F.col("path").isNotNull() & ~F.col("states"), folder).otherwise(alone))
     joined = look.join(nearest, "own", "left")
     return joined.select(
         "path",
         F.coalesce("license_found", "above").alias("license"),
-        F.when(F.col("is_license_file"), "file").when(F.col("license_found").isNotNull(), "header").when(F.col("above").isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.when(F.col("is_license_file"), "file").when(F.col("license_found").isNotNull(), "header").when(F.col("above").isNotNull(), "inherited").when(F.col("states"), "unknown").otherwise("none").alias("origin"),
         "cosine",
         "inherited_from",
     )

@@ -254,3 +254,12 @@ def test_licenses_in_prose_and_bodies(spark):
     rows = [("a/x.txt", prose), ("b/LICENSE", body), ("c/y.txt", "word " * 300 + ". Licensed under the Apache License, Version 2.0. Then it goes on.")]
     by = {r.path: r.license for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert by == {"a/x.txt": "MIT", "b/LICENSE": "BSD-3-Clause", "c/y.txt": "Apache-2.0"}
+
+
+def test_statements_are_not_overridden(spark):
+    named = {"GPL-2.0": "licensed under the GNU General Public License, version 2.", "AGPL-3.0": "licensed under the GNU Affero General Public License, version 3.", "BSD-2-Clause": "Licensed under the BSD 2-Clause License.", "CC0-1.0": "Released under CC0 1.0.", "LicenseRef-All-Rights-Reserved": "Copyright (c) 2020 Jo Doe. All rights reserved."}
+    rows = [("p/LICENSE", "Released under the MIT License."), ("p/odd.txt", "x " * 300 + "\nThe licence of the Zorgon bureau covers all these strange things")]
+    rows += [(f"p/n{k}.txt", "x " * 300 + "\n" + t) for k, t in named.items()]
+    by = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert by["p/odd.txt"] == (None, "unknown")
+    assert {k: by[f"p/n{k}.txt"] for k in named} == {k: (k, "header") for k in named}
