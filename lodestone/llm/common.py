@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: XXH64 and crc32 based hold-out rule: rows with this remainder are never learned from.
@@ -16,25 +18,80 @@ WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the context's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where a session has
-    none (tests on one machine) a fresh temporary folder is set for it.
+    A session that runs on one machine alone may do without: it gets a temporary
+    folder of that machine. On a cluster that would lose data, so there it fails.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="lodestone-")
+        if found.isDefined():
+            at = found.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="lodestone-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    ``replaces`` is an earlier result that nothing reads any more; its files go.
+    What remains goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    if replaces is not None:
+        forget(replaces)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lodestone_path = path
+    return back
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of results of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_lodestone_path", None)
+        if path:
+            fs, where = _files(df.sparkSession, path)
+            fs.delete(where, True)
+
+
+def releasing(f):
+    """``f`` for ``mapInArrow``, giving memory back to the system at the end: workers are used again for the next stage."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps what it has
+                pass
+
+    return run
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that stand for an identifier and a text, null ones included; rows with one key are the same document."""
+    def told(c: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+    return F.unhex(F.md5(F.concat(told(doc_id), F.lit("\u0000"), told(text)).cast("binary")))
 
 
 def held_out(doc_id="doc_id"):

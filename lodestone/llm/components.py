@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that isn't smaller than all its neighbours vanishes, so the rounds grow with
     the logarithm of the longest chain. A node with very many edges meets only
     aggregates with map-side combine and joins that adaptive execution can split.
-    Empty input gives an empty result. Edges with a null end are ignored.
+    Nodes may be of any ordered type. Empty input gives an empty result. Edges
+    with a null end are ignored. What a round replaces is deleted.
     """
     edges = materialize(
         edges.where("a is not null and b is not null and a <> b")
@@ -30,21 +31,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hooks = materialize(hooks, "cc-hooks")
         while True:
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            jumped = materialize(hooks.join(above, "up", "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "cc-hooks")
-            hooks = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
+            jumped = hooks.join(above, "up", "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved"))
+            hooks = materialize(jumped, "cc-hooks", replaces=hooks)
+            if hooks.where("moved").isEmpty():
                 break
-        up = hooks.select(F.col("node"), "up")
+        up = hooks.select("node", "up")
         if labels is None:
-            labels = up
+            labels = materialize(up.toDF("node", "component"), "cc-labels")
         else:
-            labels = labels.join(up.select(F.col("node").alias("component"), F.col("up").alias("over")), "component", "left").select("node", F.coalesce("over", "component").alias("component")).unionByName(
-                up.withColumnRenamed("up", "component")
-            )
-        labels = materialize(labels.toDF("node", "component"), "cc-labels")
+            more = labels.join(up.select(F.col("node").alias("component"), F.col("up").alias("over")), "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+            labels = materialize(more.unionByName(up.withColumnRenamed("up", "component")), "cc-labels", replaces=labels)
         ends = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a", "left").select(F.coalesce("ua", "a").alias("a"), "b")
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b", "left").select("a", F.coalesce("ub", "b").alias("b"))
-        edges = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+        edges = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges", replaces=edges)
+        forget(hooks)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = labels.select(F.col("component").alias("node"), "component").distinct()

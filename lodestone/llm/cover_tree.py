@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .components import connected_components
 
 SLACK = 1e-9
@@ -276,7 +276,7 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"), F.col(label).alias("label"))
     ready = materialize(
-        source.mapInArrow(_prepared, f"vec_id long, label {source.schema['label'].dataType.simpleString()}, x array<double>, near array<long>, far array<double>")
+        source.mapInArrow(releasing(_prepared), f"vec_id long, label {source.schema['label'].dataType.simpleString()}, x array<double>, near array<long>, far array<double>")
         .withColumn("code", F.when(F.col("x").isNotNull() & F.col("label").isNotNull(), F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json(F.struct("x"))), 256))),
         "cover-vectors",
     )
@@ -302,7 +302,7 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     member = placed.join(cells.select("unit", "cell", "slices"), ["unit", "cell"]).withColumn("block", F.col("cell") * 1000003 + F.pmod(F.col("cls"), F.col("slices")))
     units = member.select("unit", "block", "cls", "copies", "x").join(sides, ["unit", "block"])
     keys = ["unit", "i", "j"]
-    found = units.select("unit", "i", "j", "cls", "copies", "block", "x").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_unit(least), "a long, b long, links long")
+    found = units.select("unit", "i", "j", "cls", "copies", "block", "x").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_unit(least)), "a long, b long, links long")
     found = materialize(found, "cover-links")
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b")).withColumnRenamed("node", "cls")

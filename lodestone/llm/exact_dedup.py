@@ -2,8 +2,8 @@
 
 Pass 1 runs where the text is read: every input partition inserts its full byte
 strings into radix tries, one subtree for each length and content hash. When
-the subtrees outgrow ``budget`` bytes they are spilled: their terminals leave as
-rows, and the subtrees are dropped. A third of all rows in one group thus
+they outgrow ``budget`` bytes the largest subtrees are spilled, until half of it
+is free: their terminals leave as rows, and the subtrees are dropped. A third of all rows in one group thus
 becomes one row for each partition before anything is shuffled. Pass 2 deals
 the terminals' texts by length and hash, and inserts them again; a subtree is
 dropped as soon as the sorted input leaves its length and hash.
@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 
-LOCAL = "doc_id long, owner long, carrier boolean, text_sha256 string, n_bytes long, lowest long, highest long, copies long, body binary"
+LOCAL = "doc_id long, owner long, carrier boolean, text_sha256 string, n_bytes long, lowest long, highest long, copies long, body binary, bucket string"
 OWNERS = "owner long, keep_owner long, keep_id long, smallest_id long, group_size long"
 
 
@@ -90,61 +90,166 @@ def content_hash(body: bytes) -> str:
     return hashlib.sha256(body).hexdigest()
 
 
+class Subtree:
+    """The trie of one length and content hash, the rows met in it, and about how many bytes they hold."""
+
+    __slots__ = ("firsts", "held", "rows", "trie")
+
+    def __init__(self) -> None:
+        self.trie, self.rows, self.firsts, self.held = PatriciaTrie(), [], [], 0
+
+
+def _largest(subtrees: dict, budget: int) -> list:
+    """The keys of the largest subtrees, as many as leave half of the budget."""
+    held, out = sum(t.held for t in subtrees.values()), []
+    for key in sorted(subtrees, key=lambda k: -subtrees[k].held):
+        if held <= budget // 2:
+            break
+        held -= subtrees[key].held
+        out.append(key)
+    return out
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+LOCAL_ARROW = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("carrier", pa.bool_()), ("text_sha256", pa.string()), ("n_bytes", pa.int64()), ("lowest", pa.int64()), ("highest", pa.int64()), ("copies", pa.int64()), ("body", pa.binary()), ("bucket", pa.string())])
+
+
 def _local(budget: int, hashed):
     def run(batches):
         ordinal = (TaskContext.get().partitionId()) << 36
-        tries: dict[tuple[int, str], PatriciaTrie] = {}
-        rows: list[tuple] = []  # (doc_id, terminal, sha)
-        firsts: list[tuple] = []  # of each terminal: (terminal, body)
+        subtrees: dict[tuple[int, str], Subtree] = {}
         held = 0
 
-        def spill():
+        def spill(keys):
             nonlocal ordinal, held
-            bodies = {}
-            for terminal, body in firsts:
-                terminal.tag = ordinal
-                ordinal += 1
-                bodies[terminal.tag] = body
-            columns = [[] for _ in range(9)]
-            for i, (doc_id, terminal, sha) in enumerate(rows):
-                first = bodies.pop(terminal.tag, None)
-                own = (terminal.lowest, terminal.highest, terminal.copies) if first is not None else (None, None, None)
-                for column, value in zip(columns, (doc_id, terminal.tag, terminal.carrier == i, sha, sha_length[i], *own, first), strict=True):
-                    column.append(value)
-            held = 0
-            tries.clear()
-            rows.clear()
-            firsts.clear()
-            sha_length.clear()
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in LOCAL.split(", ")])
-
-        sha_length: list[int] = []
+            out = []
+            for key in keys:
+                subtree = subtrees.pop(key)
+                held -= subtree.held
+                bodies = {}
+                for terminal, body in subtree.firsts:
+                    terminal.tag = ordinal
+                    ordinal += 1
+                    bodies[terminal.tag] = body
+                for i, (doc_id, terminal, sha) in enumerate(subtree.rows):
+                    first = bodies.pop(terminal.tag, None)
+                    own = (terminal.lowest, terminal.highest, terminal.copies) if first is not None else (None, None, None)
+                    out.append((doc_id, terminal.tag, terminal.carrier == i, sha, key[0], *own, first, None if first is None else key[1]))
+            return _columns(out, LOCAL_ARROW)
+
         for batch in batches:
             for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = body.as_py().lower()  # of bytes: A-Z only
                 sha = hashlib.sha256(body).hexdigest()
                 key = (len(body), sha if hashed is content_hash else hashed(body))
-                trie = tries.get(key)
-                if trie is None:
-                    trie = tries[key] = PatriciaTrie()
-                terminal, new = trie.insert(body)
-                terminal.add(doc_id, doc_id, len(rows))
-                rows.append((doc_id, terminal, sha))
-                sha_length.append(len(body))
-                held += 200
+                subtree = subtrees.get(key)
+                if subtree is None:
+                    subtree = subtrees[key] = Subtree()
+                terminal, new = subtree.trie.insert(body)
+                terminal.add(doc_id, doc_id, len(subtree.rows))
+                subtree.rows.append((doc_id, terminal, sha))
+                size = 200
                 if new:
-                    firsts.append((terminal, body))
-                    held += len(body)
+                    subtree.firsts.append((terminal, body))
+                    size += len(body)
+                subtree.held += size
+                held += size
                 if held > budget:
-                    yield spill()
-        if rows:
-            yield spill()
+                    yield spill(_largest(subtrees, budget))
+        if subtrees:
+            yield spill(list(subtrees))
 
     return run
 
 
-def _owners(hashed):
+def _survivors_local(budget: int, kinds: pa.Schema):
+    """Of every text one row of the partition: that with the greatest sort identifier. Columns: sort identifier, body, then the row's own."""
+
+    def run(batches):
+        subtrees: dict[tuple[int, bytes], Subtree] = {}
+        held = 0
+
+        def spill(keys):
+            nonlocal held
+            out = []
+            for key in keys:
+                subtree = subtrees.pop(key)
+                held -= subtree.held
+                out += [(*key, terminal.highest, *terminal.carrier) for terminal, _ in subtree.firsts]
+            return _columns(out, kinds)
+
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            for doc_id, body, row in zip(batch.column(0).to_pylist(), batch.column(1), rows, strict=True):
+                body = body.as_py().lower()
+                key = (len(body), hashlib.sha256(body).digest())
+                subtree = subtrees.get(key)
+                if subtree is None:
+                    subtree = subtrees[key] = Subtree()
+                terminal, new = subtree.trie.insert(body)
+                terminal.add(doc_id, doc_id, row)
+                if new:
+                    subtree.firsts.append((terminal, None))
+                    subtree.held = 300 + 2 * len(body)
+                    held += subtree.held
+                if held > budget:
+                    yield spill(_largest(subtrees, budget))
+        if subtrees:
+            yield spill(list(subtrees))
+
+    return run
+
+
+def _survivors(text_at: int, kinds: pa.Schema):
+    """Of rows in the order of length and hash, one of each text; a subtree is dropped as soon as its length and hash end."""
+
+    def run(batches):
+        trie, at, members, out = PatriciaTrie(), None, [], []
+        for batch in batches:
+            for n, sha, doc_id, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (n, sha) != at:
+                    out += [t.carrier for t in members]
+                    trie, at, members = PatriciaTrie(), (n, sha), []
+                terminal, new = trie.insert((row[text_at] or "").encode().lower())
+                terminal.add(doc_id, doc_id, tuple(row))
+                if new:
+                    members.append(terminal)
+                if len(out) >= 256:
+                    yield _columns(out, kinds)
+                    out = []
+        out += [t.carrier for t in members]
+        yield _columns(out, kinds)
+
+    return run
+
+
+def exact_survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, budget: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the row with the largest identifier.
+
+    Equality and ties are those of ``exact_dedup``; of rows that repeat the
+    identifier that stays, one stays. Each partition gives up its own copies
+    first, so a group that holds a third of all rows is a row for each partition
+    when texts are dealt out, once. Column names may be any.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns)]
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"), *own)
+    named = source.select(*[f"own_{k}" for k in range(len(own))])
+    kinds = to_arrow_schema(named.schema)
+    head = pa.schema([("n_bytes", pa.int64()), ("sha", pa.binary()), ("id", pa.int64())])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
+    ends = source.mapInArrow(releasing(_survivors_local(budget, pa.schema([*head, *kinds]))), f"n_bytes long, sha binary, id long, {fields}")
+    dealt = ends.repartition("n_bytes", "sha").sortWithinPartitions("n_bytes", "sha")
+    out = dealt.mapInArrow(releasing(_survivors(docs.columns.index(text), kinds)), fields)
+    return out.toDF(*docs.columns)
+
+
+def _owners():
     def run(batches):
         trie, at, members = PatriciaTrie(), None, []
         out: list[tuple] = []
@@ -163,9 +268,9 @@ def _owners(hashed):
         for batch in batches:
             cols = [batch.column(i) for i in range(6)]
             for i in range(batch.num_rows):
-                owner, sha, lowest, highest, copies = (cols[k][i].as_py() for k in (0, 1, 2, 3, 4))
+                owner, bucket, lowest, highest, copies = (cols[k][i].as_py() for k in (0, 1, 2, 3, 4))
                 body = cols[5][i].as_py()
-                key = (len(body), sha if hashed is content_hash else hashed(body))
+                key = (len(body), bucket)
                 if key != at:
                     close()
                     trie, at = PatriciaTrie(), key
@@ -193,12 +298,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     """
     sign = F.lit(1 if keep == "largest" else -1)
     source = docs.select((F.col(doc_id).cast("long") * sign).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    local = materialize(source.mapInArrow(_local(budget, hashed), LOCAL), "exact-local")
-    bucket = F.col("text_sha256") if hashed is content_hash else F.lit("")
-    ends = local.where("body is not null").select("owner", "text_sha256", "lowest", "highest", "copies", "body", "n_bytes", bucket.alias("bucket"))
+    local = materialize(source.mapInArrow(releasing(_local(budget, hashed)), LOCAL), "exact-local")
+    ends = local.where("body is not null").select("owner", "bucket", "lowest", "highest", "copies", "body", "n_bytes")
     ends = ends.repartition("n_bytes", "bucket")
-    order = ["n_bytes", "bucket"] if hashed is content_hash else [F.col("n_bytes"), F.udf(lambda b: hashed(bytes(b)))("body")]
-    owners = ends.sortWithinPartitions(*order).drop("n_bytes", "bucket").mapInArrow(_owners(hashed), OWNERS)
+    owners = ends.sortWithinPartitions("n_bytes", "bucket").drop("n_bytes").mapInArrow(releasing(_owners()), OWNERS)
     found = local.select("doc_id", "owner", "carrier", "text_sha256", "n_bytes").join(owners, "owner")
     return found.select(
         (F.col("doc_id") * sign).alias("doc_id"),

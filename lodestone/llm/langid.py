@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, releasing
 from .sampling import labelled_sample
 
 UNDETERMINED = "und"
@@ -198,7 +198,7 @@ def identify_language(docs: DataFrame, model: PPMModel | None, doc_id: str = "do
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double" + kinds)
+    return source.mapInArrow(releasing(run), "doc_id long, lang_pred string, score double, bits_per_byte double" + kinds)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 
 TERM = re.compile(r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]")
 #: What a line of a licence statement contains (fixed list).
@@ -142,7 +142,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", *, t
                 out.append((p, name, round(cosine, 6), name is not None and (named or size >= file_share * len(t)), bool(found)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=["path", "license_found", "cosine", "is_license_file", "states"])
 
-    found = materialize(files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(run, NAMES), "license-found")
+    found = materialize(files.select(F.col(path).cast("string").alias("path"), F.col(text).alias("text")).mapInArrow(releasing(run), NAMES), "license-found")
     folder = F.regexp_extract("path", r"^(.*)/", 1)
     owners = found.where("is_license_file and path is not null").select(folder.alias("folder"), "path", "license_found", "cosine")
     owners = owners.groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path"), F.col("license_found"))).alias("o")).select("folder", F.col("o.license_found").alias("above"), F.col("o.path").alias("inherited_from"))

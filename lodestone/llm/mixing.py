@@ -59,8 +59,8 @@ def label_quality(labels: DataFrame, low: float = 0.25) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 0, low).otherwise(1.0).alias("quality"))
 
 
-def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, quality: DataFrame | None = None, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, ranges: int = 4096) -> DataFrame:
-    """One row for each input row: ``doc_id, source, size, source_size, target, taken, epochs``.
+def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, quality: DataFrame | None = None, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7, ranges: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: ``doc_id, source, size, source_size, target, taken, epochs``, and the columns to ``carry`` along.
 
     ``size`` is the number of words, 0 for null and empty texts; ``quality(doc_id,
     quality)`` weighs documents (1 where it has none). Every document is taken
@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     Repeated rows are documents of their own; equal keys go by identifier and
     size. An empty table gives an empty result. Reruns agree.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     if quality is not None:
         weighed = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
         sized = sized.join(weighed, "doc_id", "left")
@@ -99,4 +99,5 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         "target",
         (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"),
         "epochs",
+        *(F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)),
     )

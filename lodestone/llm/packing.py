@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 #: Texts of these characters alone are split here as the tokenizer splits them; all others go through it whole.
@@ -95,7 +95,7 @@ def tokenize_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, ca
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(releasing(run), PIECES)
 
 
 # ---- the search over counts of lengths ----
@@ -343,4 +343,4 @@ def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row", "ids_crc32", "start")
     numbered = pieces.withColumn("n", F.row_number().over(order).cast("long"))
-    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(releasing(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

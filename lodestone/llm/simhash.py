@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -213,7 +213,7 @@ def trie_links(fps: DataFrame, budget: int, max_group: int = 20_000) -> DataFram
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     units = units.where("m = 1 or own <> other").select(F.col("turn").cast("long").alias("turn"), F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("v").cast("long").alias("v"), "fp")
     keys = ["turn", "i", "j", "v"]
-    return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(budget), "a long, b long")
+    return units.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_joined(budget)), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int = 5, budget: int = 6) -> DataFrame:
@@ -229,7 +229,7 @@ def simhash_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     An empty table gives an empty result; further columns are ignored.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    marked = materialize(source.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "simhash-fp")
+    marked = materialize(source.mapInArrow(releasing(_fingerprints(shingle)), "doc_id long, fp long"), "simhash-fp")
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "simhash-nodes")
     parts = connected_components(trie_links(nodes.select("fp"), budget)).withColumnRenamed("node", "fp")
     named = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

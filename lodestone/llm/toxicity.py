@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, releasing
 from .sampling import labelled_sample
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -244,7 +244,7 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(counts), made], names=["doc_id", "score", "predicted", "n_offending", "spans"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "doc_id long, score double, predicted int, n_offending long, spans array<struct<start:long,end:long>>")
+    return source.mapInArrow(releasing(run), "doc_id long, score double, predicted int, n_offending long, spans array<struct<start:long,end:long>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,10 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from lodestone.llm import packing, queries
 from lodestone.llm.mixing import mix_sources
-from lodestone.llm.near_dups import near_dedup
 from lodestone.llm.sharding import extendible_shards
 
 SF = "/root/testdata/sf0.001"
@@ -149,54 +147,3 @@ def test_queries_match_sql(spark, name):
     cols = sorted(df.columns)
     assert sorted(names) == cols
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([r[names.index(c)] for c in cols]) for r in cur.fetchall())
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(10_001, "12 !", "en", "src0", 4), (10_002, None, None, None, None), (10_003, "The same words here", "en", "src1", 19), (10_004, "the SAME words here", "en", "src1", 19)], docs.schema)
-    docs = docs.unionByName(extra)
-    seen = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, SF), name)
-        assert tuple(docs.columns) == corpus_pipeline.COLUMNS
-        seen.append({r.doc_id for r in docs.select("doc_id").collect()})
-    assert not {10_001, 10_002} & seen[0]
-    assert {10_003, 10_004} & seen[1] == {10_004}
-    assert seen[2] <= seen[1]
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
-    empty = spark.createDataFrame([], docs.schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, SF).count() == 0
-
-
-def shingle_groups(rows, least=0.8):
-    """What each identifier's component is called, by comparing all pairs."""
-    words = {i: t.lower().split() for i, t in rows}
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
-    name = {i: i for i in sets}
-    for a, b in ((a, b) for a in sets for b in sets if a < b):
-        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
-            old, new = max(name[a], name[b]), min(name[a], name[b])
-            name = {i: new if n == old else n for i, n in name.items()}
-    return name
-
-
-@pytest.mark.parametrize("max_group", [4000, 7])
-def test_near_copies_match_all_pairs(spark, max_group):
-    rng = np.random.default_rng(3)
-    rows = []
-    for _ in range(12):
-        base = [f"w{k}" for k in rng.integers(0, 3000, int(rng.integers(3, 150)))]
-        for changes in (0, 1, 2, 3, 4, 5, 6):
-            w = list(base)
-            for at in rng.integers(0, len(w), changes):
-                w[at] = f"x{rng.integers(10**6)}"
-            rows.append((len(rows), " ".join([*w, *base[:2]])))
-    rows.append((len(rows), "one"))
-    want = shingle_groups(rows)
-    df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.component_id for r in near_dedup(df, shingle=5, max_group=max_group).collect()}
-    assert got == want
-    assert len(set(want.values())) < len(rows)
-    kept = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, SF).collect()}
-    assert kept == set(want.values())
