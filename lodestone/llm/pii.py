@@ -7,7 +7,7 @@ values never get the same one, and the result passes the same check:
 * card numbers (Luhn) and IBANs (mod 97): digits permuted, check digits made anew
 * telephone numbers: digits permuted, the country code stays
 * social security numbers and IPv4 addresses: permuted among the valid ones
-* dates of 1900 to 2099: permuted among the days of these years, written as before
+* dates of 1900 to 2099: permuted among the days of these years that the same written form can stand for
 * e-mail addresses: letters and digits of the local part permuted, case and domain stay
 
 Numbers that fail their check aren't personal data and stay as they are.
@@ -38,8 +38,7 @@ FORMATS = {
     "card": rf"(?<![\w.-])\d(?:(?:[ -]{_OWN})?\d){{12,18}}(?!\w|[.-]\d)",
 }
 ANY = "|".join(FORMATS.values())
-#: Days from 1900-01-01 to 2099-12-31, 17 times 4297.
-FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
+FIRST_YEAR, YEARS = 1900, 200
 #: Valid area numbers of social security numbers; groups times serials.
 AREAS, SERIALS = 898, 99 * 9999
 
@@ -66,6 +65,12 @@ def _power(base: int, n: Column, most: int) -> Column:
     return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(most + 1)]), n.cast("int") + 1)
 
 
+def shuffled(one: Column, alphabet: str, key: str, tweak: Column) -> Column:
+    """The keyed shuffle of the alphabet, for a single character: a Feistel network with an empty half only adds a constant."""
+    order = F.transform(F.array(*map(F.lit, alphabet)), lambda c: F.struct(F.sha2(F.concat_ws("|", F.lit(key), tweak, F.lit("one"), c), 256).alias("h"), c.alias("c")))
+    return F.element_at(F.array_sort(order), F.ascii(one) - ord(alphabet[0]) + 1)["c"]
+
+
 def permute_digits(digits: Column, key: str, tweak: str | Column) -> Column:
     """The keyed permutation of strings of as many digits, up to 36."""
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
@@ -74,7 +79,7 @@ def permute_digits(digits: Column, key: str, tweak: str | Column) -> Column:
     left, right = (F.coalesce(F.substring(digits, at, size).try_cast("long"), F.lit(0)) for at, size in ((F.lit(1), u), (u + 1, n)))
     out = feistel(left, right, (_power(10, u, 18), _power(10, n - u, 18)), key, F.concat(tweak, n.cast("string")))
     both = F.transform(F.array(out), lambda s: F.concat(F.when(u > 0, F.lpad(s["a"].cast("string"), u, "0")).otherwise(F.lit("")), F.lpad(s["b"].cast("string"), n - u, "0")))
-    return F.when(n > 0, both[0]).otherwise(digits)
+    return F.when(n == 1, shuffled(digits, "0123456789", key, tweak)).when(n > 1, both[0]).otherwise(digits)
 
 
 def _blocks(value: Column, most: int, permuted, tweak: str) -> Column:
@@ -107,7 +112,7 @@ def _permute_letters(letters: Column, key: str, tweak: Column) -> Column:
 
     out = feistel(number(F.substring(head, F.lit(1), u)), number(F.substring(head, u + 1, n)), (_power(26, u, 13), _power(26, n - u, 13)), key, F.concat(tweak, n.cast("string")))
     both = F.transform(F.array(out), lambda s: F.concat(text(s["a"], u), text(s["b"], n - u)))
-    return F.when(n > 0, both[0]).otherwise(letters)
+    return F.when(n == 1, shuffled(letters, "abcdefghijklmnopqrstuvwxyz", key, tweak)).when(n > 1, both[0]).otherwise(letters)
 
 
 def refill(value: Column, kind: str, replacement: Column) -> Column:
@@ -214,24 +219,48 @@ def _ssn(v: Column, key: str) -> Column:
     return F.when(valid, F.transform(F.array(out), written)[0])
 
 
+def _days(first: int, second: int, month_first: bool) -> list[str]:
+    """``MM-DD`` of all days that a written form with so many digits can stand for, but for the 29th of February."""
+    months, days = (first, second) if month_first else (second, first)
+    ends = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+    return [f"{m:02}-{d:02}" for m in range(1, 10 if months == 1 else 13) for d in range(13 if month_first else 1, 10 if days == 1 else ends[m - 1] + 1)]
+
+
 def _date(v: Column, key: str) -> Column:
+    """Within the written form: order, separator, number of digits. A date whose second number is over 12 has the month first, and so has its pseudonym."""
     iso = v.rlike(r"^\d{4}-")
     mark = F.when(v.contains("."), F.lit(".")).otherwise(F.lit("/"))
     parts = F.split(v, "[-./]")
     first, second = parts[0].cast("int"), parts[1].cast("int")
     month_first = ~iso & (second > 12)  # else the day comes first
-    year = F.when(iso, parts[0]).otherwise(parts[2])
+    year = F.when(iso, parts[0]).otherwise(parts[2]).cast("int")
     month = F.when(iso, second).when(month_first, first).otherwise(second)
     day = F.when(iso, parts[2].cast("int")).when(month_first, second).otherwise(first)
-    found = F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
-    number = F.datediff(found, F.lit(FIRST_DAY).cast("date"))
-    out = feistel(F.floor(number / DAYS[1]), number % DAYS[1], (F.lit(DAYS[0]), F.lit(DAYS[1])), key, F.lit("date"))
-
-    def written(s: Column) -> Column:
-        d = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int"))
-        return F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(month_first, F.concat_ws("", F.date_format(d, "MM"), mark, F.date_format(d, "dd"), mark, F.date_format(d, "yyyy"))).otherwise(F.concat_ws("", F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy")))
-
-    return F.when(found.isNotNull(), F.transform(F.array(out), written)[0])
+    place = F.concat_ws("-", F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+
+    # the days of each written form: as text, cut apart once
+    forms = [(i, j, f) for i in (1, 2) for j in (1, 2) for f in (False, True) if j == 2 or not f]
+    names = ["date", *(f"date{i}{j}{'m' if f else 'd'}" for i, j, f in forms)]
+    days = [_days(2, 2, False), *(_days(*form) for form in forms)]
+    form = F.when(iso, F.lit("date")).otherwise(F.concat(F.lit("date"), F.length(parts[0]).cast("string"), F.length(parts[1]).cast("string"), F.when(month_first, "m").otherwise("d")))
+    listed = F.split(F.element_at(F.array(*(F.lit(" ".join(d)) for d in days)), F.array_position(F.array(*map(F.lit, names)), form).cast("int")), " ")
+
+    def written(years: Column, md: Column) -> Column:
+        month_text, day_text = (F.substring(md, F.lit(at + 2) - n, n) for at, n in ((1, F.length(F.when(month_first, parts[0]).otherwise(parts[1]))), (4, F.length(F.when(month_first, parts[1]).otherwise(parts[0])))))
+        short = F.when(month_first, F.concat(month_text, mark, day_text)).otherwise(F.concat(day_text, mark, month_text))
+        return F.when(iso, F.concat_ws("-", years.cast("string"), md)).otherwise(F.concat(short, mark, years.cast("string")))
+
+    def usual(d: Column) -> Column:
+        out = feistel(year - FIRST_YEAR, F.array_position(d, place) - 1, (F.lit(YEARS), F.size(d)), key, form)
+        return F.transform(F.array(out), lambda s: written(s["a"] + FIRST_YEAR, F.element_at(d, (s["b"] + 1).cast("int"))))[0]
+
+    # the 29ths of February of 1904 to 2096, 7 times 7
+    number = F.floor(year / 4) - 476
+    leaps = feistel(F.floor(number / 7), number % 7, (F.lit(7), F.lit(7)), key, F.concat(form, F.lit("leap")))
+    leaps = F.transform(F.array(leaps), lambda s: written((s["a"] * 7 + s["b"] + 476) * 4, F.lit("02-29")))[0]
+    usual_made = F.transform(F.array(listed), lambda d: F.when(F.array_contains(d, place), usual(d)))[0]
+    return F.when((place == "02-29") & leap & (year != 1900), leaps).otherwise(usual_made)
 
 
 def _phone(v: Column, key: str) -> Column:
