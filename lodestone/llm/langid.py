@@ -36,8 +36,8 @@ class PPMModel:
     bits: np.ndarray
 
     @staticmethod
-    def fit(texts_by_language: dict[str, list[bytes]], order: int = 3, least: int = 2) -> PPMModel:
-        """``least``: contexts seen less often are not kept."""
+    def fit(texts_by_language: dict[str, list[bytes]], order: int = 3, least: int = 2, most_bytes: int = 256 << 20) -> PPMModel:
+        """``least``: contexts seen less often are not kept; it rises until the table of contexts, symbols and languages has ``most_bytes`` at most."""
         languages = sorted(texts_by_language)
         seen = np.zeros(256, bool)
         for texts in texts_by_language.values():
@@ -60,15 +60,17 @@ class PPMModel:
                         code = code[:-1] * n + s[k:]
                     grams[k].append(code)
             counts.append([np.unique(np.concatenate(g), return_counts=True) if g else (np.empty(0, np.int64), np.empty(0, np.int64)) for g in grams])
-        # contexts of each order that any language keeps
-        contexts = [np.zeros(1, np.int64)]
+        totals = []  # of each order: contexts and, by language, how often they were seen
         for k in range(1, order + 1):
-            found = []
-            for c in counts:
-                ids, where = np.unique(c[k][0] // n, return_inverse=True)
-                total = np.bincount(where, c[k][1], len(ids)) if len(ids) else np.empty(0)
-                found.append(ids[total >= least])
-            contexts.append(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64))
+            found = [np.unique(c[k][0] // n, return_inverse=True) for c in counts]
+            totals.append([(ids, np.bincount(where, c[k][1], len(ids)) if len(ids) else np.empty(0)) for (ids, where), c in zip(found, counts, strict=True)])
+        while True:
+            # contexts of each order that any language keeps
+            contexts = [np.zeros(1, np.int64)]
+            contexts += [np.unique(np.concatenate([ids[total >= least] for ids, total in by])) if by else np.empty(0, np.int64) for by in totals]
+            if 4 * sum(map(len, contexts)) * n * len(languages) <= most_bytes or sum(map(len, contexts)) == 1:
+                break
+            least *= 2
         base = np.cumsum([0, *(len(c) for c in contexts)])
         bits = np.empty((base[-1], n, len(languages)), np.float32)
         for j, c in enumerate(counts):
@@ -173,14 +175,15 @@ def identify_language(docs: DataFrame, model: PPMModel | None, doc_id: str = "do
     several are equal; ``score`` is its share among the languages, each weighted
     by two to the power of minus its code length. Null and empty texts, texts
     without a letter, and every text when there is no model, are ``und`` with
-    score 0. Whole texts are scored. Repeated rows and null identifiers are rows
-    like any other; an empty table gives an empty result.
+    score 0. Whole texts are scored, of any length. Repeated rows and null
+    identifiers are rows like any other; an empty table gives an empty result;
+    further columns, with whatever names, are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``most_bytes``
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, max(b.num_rows, 1), 2000)):
             ids, column = batch.column(0), batch.column(1)
             lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best, score, rate = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))

@@ -40,8 +40,8 @@ class CRF:
         return marginals(self.odds[emissions], starts, ends, self.move)
 
 
-def marginals(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Forward and backward odds, all sequences a step at a time, longest first."""
+def chains(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the token's own) and backward odds, all sequences a step at a time, longest first."""
     lengths = ends - starts
     order = np.argsort(-lengths, kind="stable")
     lo, n = starts[order], lengths[order]
@@ -61,10 +61,28 @@ def marginals(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.n
         x = odds[before + 1] * r[:k]
         r = (m10 + m11 * x) / (m00 + m01 * x)
         backward[before] = r
+    return forward, backward
+
+
+def marginals(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Probability of tag 1 for each token."""
+    forward, backward = chains(odds, starts, ends, move)
     both = forward * backward
     return both / (1 + both)
 
 
+def pair_marginals(odds: np.ndarray, forward: np.ndarray, backward: np.ndarray, inner: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Sums over the tokens ``inner`` of the probabilities of each pair of tags of the token before and the token."""
+    r, x = forward[inner - 1], odds[inner] * backward[inner]
+    pairs = np.stack([np.full(len(inner), move[0, 0]), move[0, 1] * x, move[1, 0] * r, move[1, 1] * r * x])
+    return (pairs / pairs.sum(0)).sum(1).reshape(2, 2)
+
+
+def tokens_of(text: str) -> list[str]:
+    """The lower-cased tokens of a text. Lower-casing the whole is the same, but for the one letter that becomes two."""
+    return TOKEN.findall(text.lower()) if "\u0130" not in text else [w.lower() for w in TOKEN.findall(text)]
+
+
 #: Lengths of the word beginnings that may offend by themselves.
 BEGINNINGS = (7, 6, 5, 4)
 
@@ -124,8 +142,8 @@ class Emissions(dict):
 
 
 def fit_crf(rows: list[tuple[int, str]], *, most_words: int = 50_000, rounds: int = 40) -> CRF:
-    """Fit the field by gradient ascent, then the weights of a document's marginals by Newton's method."""
-    tokenised = [(toxic, TOKEN.findall(text.lower())) for toxic, text in rows]
+    """Fit the field, emissions and transitions, by gradient ascent, then the weights of a document's marginals by Newton's method."""
+    tokenised = [(toxic, tokens_of(text)) for toxic, text in rows]
     offending = label_tokens(tokenised)
     common = Counter(w for _, tokens in tokenised for w in tokens)
     bad = Emissions({w: 1 for w in offending})
@@ -149,16 +167,20 @@ def fit_crf(rows: list[tuple[int, str]], *, most_words: int = 50_000, rounds: in
         inner[starts] = False
         inner = np.flatnonzero(inner)
         seen = np.bincount(x, minlength=len(weight)) + 1.0
-        pairs = np.array([[((y[inner - 1] == a) & (y[inner] == b)).mean() if len(inner) else 0.25 for b in (0, 1)] for a in (0, 1)])
-        move = np.log(pairs + 1e-4) - np.log((pairs + 1e-4).sum(1, keepdims=True))
-        move -= move[:, :1]
+        pairs = np.array([[((y[inner - 1] == a) & (y[inner] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
+        # the odds of the counts begin the ascent; the weights towards tag 0 stay zero, as only differences matter
+        move = np.log(pairs + 0.5) - np.log(pairs[:, :1] + 0.5)
         bias = 0.0
         for k in range(rounds):
-            p = marginals(np.exp(np.clip(weight[x] + bias, -30, 30)), starts, ends, np.exp(move))
+            odds = np.exp(np.clip(weight[x] + bias, -30, 30))
+            forward, backward = chains(odds, starts, ends, np.exp(move))
+            p = forward * backward / (1 + forward * backward)
             step = 4.0 / (1 + 0.05 * k)
             gradient = np.bincount(x, y - p, len(weight))
+            expected = pair_marginals(odds, forward, backward, inner, np.exp(move))
             weight += step * (gradient - 0.01 * weight) / np.sqrt(seen)
             weight = np.clip(weight, -12, 12)
+            move[:, 1] = np.clip(move[:, 1] + 0.5 * (pairs[:, 1] - expected[:, 1]) / (pairs[:, 1] + expected[:, 1] + 1), -12, 12)
             bias += 0.5 * float((y - p).mean()) / max(float(p.mean()), 1e-4)
             bias = float(np.clip(bias, -12, 12))
     weight[0] = min(weight[0], 0.0)
@@ -203,8 +225,9 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
     ``spans`` has the character offsets (start, end) of tokens whose marginal is
     ``span`` or more; neighbours are merged. Null and empty texts have no token
     and get the score of a text with no sign of anything. Whole texts are
-    scored. Repeated rows and null identifiers are rows like any other; an empty
-    table gives an empty result.
+    scored, of any length, and offsets are those of the text as it is. Repeated
+    rows and null identifiers are rows like any other; an empty table gives an
+    empty result; further columns, with whatever names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # bounded by the sample
 
@@ -214,7 +237,7 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             # words become numbers text by text: a batch's words at once would be many times its size
-            parts = [np.array([number[w] for w in TOKEN.findall(t.lower())], np.int32) for t in texts]
+            parts = [np.array([number[w] for w in tokens_of(t)], np.int32) for t in texts]
             n = np.array([len(p) for p in parts], np.int64)
             ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
             del parts
@@ -231,8 +254,7 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
             spans, counts = [[] for _ in texts], np.zeros(len(texts), np.int64)
             hit = np.flatnonzero(p >= span)
             for i in np.unique(np.searchsorted(ends, hit, "right")):
-                low = texts[i].lower()
-                at = [x.span() for x in TOKEN.finditer(low)]
+                at = [x.span() for x in TOKEN.finditer(texts[i])]
                 mine = hit[(hit >= starts[i]) & (hit < ends[i])] - starts[i]
                 counts[i] = len(mine)
                 for k in mine:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import pii
 from lodestone.llm.langid import PPMModel, identify_language, language_id
 from lodestone.llm.licenses import scan_licenses
-from lodestone.llm.toxicity import fit_crf, label_tokens, marginals, score_toxicity, toxicity
+from lodestone.llm.sampling import labelled_sample
+from lodestone.llm.toxicity import chains, fit_crf, label_tokens, marginals, pair_marginals, score_toxicity, tokens_of, toxicity
 
 KEY = "k"
 
@@ -258,6 +260,94 @@ def test_marginals_match_enumeration():
         assert np.allclose(got[lo:hi], hits / total)
 
 
+def test_pair_marginals_match_enumeration():
+    rng = np.random.default_rng(1)
+    move = np.array([[1.0, 0.3], [1.0, 2.5]])
+    odds, starts, ends = rng.uniform(0.1, 5, 9), np.array([0, 4]), np.array([4, 9])
+    inner = np.array([1, 2, 3, 5, 6, 7, 8])
+    want = np.zeros((2, 2))
+    for lo, hi in zip(starts, ends, strict=True):
+        total, pairs = 0.0, np.zeros((2, 2))
+        for tags in np.ndindex(*[2] * (hi - lo)):
+            w = np.prod([odds[lo + t] if y else 1 for t, y in enumerate(tags)]) * np.prod([move[a, b] for a, b in zip(tags, tags[1:], strict=False)])
+            total += w
+            for a, b in zip(tags, tags[1:], strict=False):
+                pairs[a, b] += w
+        want += pairs / total
+    assert np.allclose(pair_marginals(odds, *chains(odds, starts, ends, move), inner, move), want)
+
+
+def test_offsets_are_those_of_the_text(spark):
+    crf = fit_crf(corpus())
+    texts = ["\u0130\u0130\u0130 baren Nasty baren", "x" * 60_000 + " nasty", "NASTY nasty\n\u0130"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    rows = score_toxicity(df, crf).collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert r.spans
+        for s in r.spans:
+            assert {w.lower() for w in texts[r.doc_id][s.start : s.end].split()} == {"nasty"}
+    assert tokens_of("ba\u0130 Ren")[1] == "ren"
+
+
+def test_scores_match_a_plain_forward_backward(spark):
+    crf = fit_crf(corpus())
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(40, 3))]
+    got = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), crf).collect()}
+    number = lambda w: crf.vocabulary.get(w) or next((crf.vocabulary[w[:k] + "*"] for k in (7, 6, 5, 4) if len(w) > k and w[:k] + "*" in crf.vocabulary), 0)
+    for i, text in rows:
+        e = [crf.odds[number(w)] for w in text.lower().split()]
+        forward = [np.array([1.0, e[0]])]
+        for x in e[1:]:
+            f = (forward[-1] @ crf.move) * [1.0, x]
+            forward.append(f / f.sum())
+        backward = [np.ones(2)]
+        for x in e[:0:-1]:
+            b = crf.move @ ([1.0, x] * backward[-1])
+            backward.append(b / b.sum())
+        p = [(f * b)[1] / (f * b).sum() for f, b in zip(forward, backward[::-1], strict=True)]
+        want = 1 / (1 + np.exp(-np.dot([1.0, max(p), np.log1p(sum(p))], crf.document)))
+        assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_held_out_labels_change_nothing(spark):
+    texts = [t for _, t in corpus(200, 1)]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    runs = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(i, int((i % 4 == 0) != (flip and held(i)))) for i in range(200)], "doc_id long, toxic int")
+        other = df.withColumn("lang", F.when(F.lit(flip) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2), "xx").otherwise(F.col("lang")))
+        tox = sorted((r.doc_id, r.score, r.held_out) for r in toxicity(df, labels).collect())
+        lang = sorted((r.doc_id, r.lang_pred, r.score, r.held_out) for r in language_id(other).collect())
+        assert [h for _, _, h in tox] == [h for *_, h in lang] == [held(i) for i in range(200)]
+        runs.append((tox, lang))
+    assert runs[0] == runs[1]
+
+
+def test_sample_of_repeated_rows(spark):
+    rows = [(1, "same text", "a")] * 3000 + [(1, f"text {i}", "b") for i in range(3000)] + [(4, "one", "c"), (1, None, "c"), (1, "", "c"), (None, "x", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").withColumn("size", F.octet_length("text"))
+    assert not held(1) and not held(4)
+    got = labelled_sample(df, 100, 1000)
+    by = {k: [r for r in got if r["label"] == k] for k in "abc"}
+    assert [len(by[k]) for k in "abc"] == [1, 100, 1]
+    assert len({r["text"] for r in by["b"]}) == 100
+    assert got == labelled_sample(df.repartition(5), 100, 1000)
+
+
+def test_language_table_is_bounded():
+    texts = {"a": [b"the cat and the hat " * 5], "b": ["\u4e2d\u6587\u5b57\u7b26".encode() * 9, bytes(range(65, 123)) * 3]}
+    whole, small = PPMModel.fit(texts), PPMModel.fit(texts, most_bytes=20_000)
+    assert small.bits.nbytes <= 20_000 < whole.bits.nbytes
+    data = np.frombuffer(b"the cat", np.uint8)
+    for model in (whole, small):
+        assert model.code_lengths(data, np.zeros(1, np.int64))[0].argmin() == 0
+
+
 def corpus(n=400, seed=0):
     rng = np.random.default_rng(seed)
     words = [f"{a}{b}" for a in ("ba", "de", "li", "mo", "su", "ta") for b in ("ren", "lin", "tas", "vor", "mek")]
