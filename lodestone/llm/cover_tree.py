@@ -1,8 +1,9 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
 On the unit sphere, cosine >= c means a distance of at most ``sqrt(2 - 2c)``. The
-vectors of a label are cut in cells around pivots, the top of the tree; pairs of
-cells go on if their covering radii let them hold a pair that close. In a task,
+vectors of a label are cut in cells around pivots, the top of the tree: points of
+the data, each the farthest from those before. Pairs of cells go on if their
+covering radii, and the planes between their pivots, let them hold a pair that close. In a task,
 the vectors of a cell form nested nets with halving radii, and pairs of nodes
 descend together: a pair whose centres are farther apart than the threshold and
 both radii is pruned, and one whose centres and radii stay inside the threshold
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from .common import materialize, releasing
 from .components import connected_components
 
 SLACK = 1e-9
-PIVOTS = 64
+PIVOTS = 128
 
 
 class CoverTree:
@@ -161,11 +163,11 @@ def _unit(least: float):
         at, held = None, []
 
         def close():
-            cls = np.concatenate([h[0] for h in held])
+            code = pa.concat_arrays([h[0] for h in held])
             copies = np.concatenate([h[1] for h in held]).astype(np.int64)
             block = np.concatenate([h[2] for h in held])
             x = np.concatenate([h[3] for h in held])
-            n = len(cls)
+            n = len(code)
             links, up = np.zeros(n, np.int64), np.arange(n)
 
             def find(i):
@@ -206,63 +208,108 @@ def _unit(least: float):
                         union(q, int(ra[0]))
             root = np.array([find(k) for k in range(n)])
             some = links > 0
-            return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[root[some]]), pa.array(links[some])], names=["a", "b", "links"])
+            return pa.RecordBatch.from_arrays([code.filter(pa.array(some)), code.take(pa.array(root[some])), pa.array(links[some])], names=["a", "b", "links"])
 
         for batch in batches:
-            label, i, j, cls, copies, block = (batch.column(k).to_numpy() for k in range(6))
+            label, i, j, copies, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 5))
             flat = batch.column(6)
-            x = flat.flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.empty((0, 1))
             cuts = np.flatnonzero((label[1:] != label[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(label)], strict=True):
                 if hi == lo:
                     continue
-                key = (int(label[lo]), int(i[lo]), int(j[lo]))
+                key = (label[lo], int(i[lo]), int(j[lo]))
                 if key != at and held:
                     if (made := close()) is not None:
                         yield made
                     held = []
                 at = key
-                held.append((cls[lo:hi], copies[lo:hi], block[lo:hi], x[lo:hi]))
+                held.append((batch.column(3).slice(lo, hi - lo), copies[lo:hi], block[lo:hi], flat.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)))
         if held and (made := close()) is not None:
             yield made
 
     return run
 
 
+def _units(column: pa.Array) -> list[np.ndarray | None]:
+    """Unit vectors in double precision; what isn't a vector gets None."""
+    out: list[np.ndarray | None] = []
+    for v in column:
+        v = v.as_py()
+        u = None
+        if v and None not in v:
+            x = np.array(v, float)
+            norm = np.sqrt(x @ x) if np.isfinite(x).all() else 0.0
+            if norm > 0 and np.isfinite(norm):
+                u = x / norm
+        out.append(u)
+    return out
+
+
 def _prepared(batches):
-    """Unit vectors in double precision and, for each power of two of pivots, the nearest pivot and the distance to it. What isn't a vector gets null."""
-    pivots: dict[int, np.ndarray] = {}
     for batch in batches:
-        rows, units = [], []
-        for k, v in enumerate(batch.column(1)):
-            v = v.as_py()
-            if v and None not in v:
-                x = np.array(v, float)
-                norm = np.sqrt(x @ x) if np.isfinite(x).all() else 0.0
-                if norm > 0 and np.isfinite(norm):
-                    rows.append(k)
-                    units.append(x / norm)
-        out: list = [None] * batch.num_rows
-        near: list = [None] * batch.num_rows
-        far: list = [None] * batch.num_rows
-        for k, u in zip(rows, units, strict=True):
-            out[k] = u.tolist()
-        by: dict[int, list[int]] = {}
-        for n, u in enumerate(units):
-            by.setdefault(len(u), []).append(n)
-        for dim, members in by.items():
-            if dim not in pivots:
-                p = np.random.default_rng(dim).normal(size=(PIVOTS, dim))
-                pivots[dim] = p / np.linalg.norm(p, axis=1)[:, None]
-            cosine = np.stack([units[n] for n in members]) @ pivots[dim].T
-            best = np.stack([cosine[:, : 1 << k].argmax(1) for k in range(7)], 1)
-            distance = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(cosine, best, 1)))
-            for r, n in enumerate(members):
-                near[rows[n]], far[rows[n]] = best[r].tolist(), distance[r].tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64()))], names=["vec_id", "label", "x", "near", "far"])
-
-
-def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", *, least: float = 0.93, block: int = 4096) -> DataFrame:
+        units = [None if u is None else u.tolist() for u in _units(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(units, pa.list_(pa.float64()))], names=["vec_id", "label", "x"])
+
+
+def far_points(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` rows, each the farthest from those before it: every prefix is the top of a cover tree."""
+    chosen, cosine = [0], x @ x[0]
+    while len(chosen) < min(n, len(x)):
+        at = int(cosine.argmin())
+        if cosine[at] >= 1 - SLACK:
+            break
+        chosen.append(at)
+        cosine = np.maximum(cosine, x @ x[at])
+    return x[chosen]
+
+
+def data_pivots(classes: DataFrame, sample: int = 4096) -> dict[int, np.ndarray]:
+    """For each number of components the pivots, from a sample of at most ``sample`` vectors: those whose codes come first."""
+    rows = classes.select("code", "x").orderBy("code").limit(sample).collect()  # bounded: sample
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r["x"]), []).append(r["x"])
+    return {dim: far_points(np.array(x), PIVOTS) for dim, x in by.items()}
+
+
+def _placed(pivots: dict[int, np.ndarray], least: float):
+    """The cell of each vector, how far it lies from the cell's pivot, and the cells that may hold a vector it links with.
+
+    Those in another cell lie beyond the plane halfway between the two pivots;
+    cells whose plane is farther than the threshold are left out.
+    """
+    t = float(np.sqrt(2 - 2 * least)) + SLACK
+
+    def run(batches):
+        for batch in batches:
+            power = batch.column(1).to_numpy()
+            flat = batch.column(2)
+            cell, reach, visits = np.zeros(len(power), np.int64), np.full(len(power), 2.0), [None] * len(power)
+            dims = pa.compute.list_value_length(flat).to_numpy(zero_copy_only=False)
+            for dim, k in {(int(d), int(p)) for d, p in zip(dims, power, strict=True)}:
+                rows = np.flatnonzero((dims == dim) & (power == k))
+                p = pivots.get(dim, np.zeros((0, dim)))[: 1 << k]
+                if k == 0 or not len(p):
+                    for r in rows:
+                        visits[r] = [0]
+                    continue
+                x = flat.take(pa.array(rows)).flatten().to_numpy().reshape(-1, dim)
+                apart = np.sqrt(np.maximum(SLACK, 2 - 2 * (p @ p.T)))
+                cosine = x @ p.T
+                own = cosine.argmax(1)
+                most = np.take_along_axis(cosine, own[:, None], 1)
+                cell[rows] = own
+                reach[rows] = np.sqrt(np.maximum(0, 2 - 2 * most[:, 0]))
+                may = (most - cosine) / apart[own] <= t
+                may[np.arange(len(rows)), own] = True
+                for r, m in zip(rows, may, strict=True):
+                    visits[r] = np.flatnonzero(m).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array(reach), pa.array(visits, pa.list_(pa.int64()))], names=["code", "cell", "reach", "visits"])
+
+    return run
+
+
+def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", *, least: float = 0.93, block: int = 8192) -> DataFrame:
     """One row for each input row: ``vec_id, n_links, component_id, kept``.
 
     Two vectors link if their labels are equal and not null, they have the same
@@ -270,43 +317,55 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     more. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows with a null label, link with nothing and keep their own
     component. ``n_links`` counts the other rows that a row links with; equal
-    vectors are one vector with copies, so a group of copies is never expanded.
-    Repeated rows are copies. Null identifiers never name a component unless
-    nothing else is there. An empty table gives an empty result.
+    unit vectors are one vector with copies, so a group of copies is never
+    expanded. Repeated rows are copies. Null identifiers never name a component
+    unless nothing else is there. An empty table gives an empty result; further
+    columns, with whatever names, are ignored.
+
+    A label with over ``block`` vectors is cut in cells around pivots, and cells
+    in blocks. Two blocks meet if the balls and the planes between their pivots
+    let them, with only those vectors that the planes let go.
     """
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"), F.col(label).alias("label"))
+    kind = source.schema["label"].dataType.simpleString()
     ready = materialize(
-        source.mapInArrow(releasing(_prepared), f"vec_id long, label {source.schema['label'].dataType.simpleString()}, x array<double>, near array<long>, far array<double>")
+        source.mapInArrow(releasing(_prepared), f"vec_id long, label {kind}, x array<double>")
         .withColumn("code", F.when(F.col("x").isNotNull() & F.col("label").isNotNull(), F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.to_json(F.struct("x"))), 256))),
         "cover-vectors",
     )
     linked = ready.where("code is not null")
-    classes = linked.groupBy("code").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"), F.first("near").alias("near"), F.first("far").alias("far"))
-    classes = classes.withColumn("cls", F.xxhash64("code")).withColumn("dim", F.size("x"))
-    classes = materialize(classes, "cover-classes")
+    # of 256 bits, codes stand for label and vector all through
+    classes = linked.groupBy("code").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"))
+    classes = materialize(classes.withColumn("dim", F.size("x")), "cover-classes")
+    pivots = data_pivots(classes)
     group = ["label", "dim"]
     sizes = classes.groupBy(*group).agg(F.count("*").alias("n"))
     # as many cells as blocks, a power of two, up to the number of pivots
-    power = F.least(F.lit(6), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / block)))).cast("int")
-    sizes = sizes.withColumn("power", power).withColumn("unit", F.xxhash64(F.col("label").cast("string"), "dim")).drop("n")
-    placed = classes.join(sizes, group).withColumn("cell", F.element_at("near", F.col("power") + 1)).withColumn("reach", F.element_at("far", F.col("power") + 1))
-    cells = materialize(placed.groupBy("unit", "dim", "cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")), "cover-cells")
+    power = F.least(F.lit(int(np.log2(PIVOTS))), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / block)))).cast("int")
+    sizes = sizes.withColumn("power", power).drop("n")
+    placed = classes.join(sizes, group).select("code", "power", "x", "label", "dim")
+    where = placed.select("code", "power", "x").mapInArrow(releasing(_placed(pivots, least)), "code string, cell long, reach double, visits array<long>")
+    member = materialize(where.join(classes.select("code", "label", "dim", "copies", "x"), "code"), "cover-placed")
+    cells = materialize(member.groupBy(*group, "cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")), "cover-cells")
     cells = cells.withColumn("slices", F.ceil(F.col("n") / block).cast("int"))
-    blocks = cells.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("unit", "dim", "cell", "radius", (F.col("cell") * 1000003 + F.col("slice")).alias("block"))
-    other = blocks.select("unit", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("block").alias("block2"))
+    member = member.join(cells.select(*group, "cell", "slices"), [*group, "cell"]).withColumn("block", F.col("cell") * 1000003 + F.pmod(F.xxhash64("code"), F.col("slices")))
+    blocks = cells.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(*group, "cell", "radius", (F.col("cell") * 1000003 + F.col("slice")).alias("block"))
+    other = blocks.select(*group, F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("block").alias("block2"))
     reach = float(np.sqrt(2 - 2 * least)) + SLACK
-    pairs = blocks.join(other, "unit").where(F.col("block") <= F.col("block2"))
-    pairs = pairs.withColumn("apart", _apart(F.col("dim"), F.col("cell"), F.col("cell2"))).where(F.col("apart") <= F.col("radius") + F.col("radius2") + reach)
-    pairs = pairs.select("unit", F.col("block").alias("i"), F.col("block2").alias("j"))
-    sides = pairs.select("unit", F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i <> j").select("unit", F.col("j").alias("block"), "i", "j"))
-    member = placed.join(cells.select("unit", "cell", "slices"), ["unit", "cell"]).withColumn("block", F.col("cell") * 1000003 + F.pmod(F.col("cls"), F.col("slices")))
-    units = member.select("unit", "block", "cls", "copies", "x").join(sides, ["unit", "block"])
+    far = [(dim, i, j, float(np.sqrt(max(0.0, 2 - 2 * c)))) for dim, p in pivots.items() for i, row in enumerate(p @ p.T) for j, c in enumerate(row)]
+    apart = vectors.sparkSession.createDataFrame(far or [(0, 0, 0, 0.0)], "dim int, cell long, cell2 long, apart double")  # bounded: PIVOTS squared for each number of components of the sample
+    pairs = blocks.join(other, group).where(F.col("block") <= F.col("block2")).join(apart, ["dim", "cell", "cell2"], "left")
+    pairs = pairs.where(F.coalesce("apart", F.lit(0.0)) <= F.col("radius") + F.col("radius2") + reach)
+    ends = [*group, F.col("block").alias("i"), F.col("block2").alias("j")]
+    sides = pairs.select("block", F.col("cell2").alias("to"), *ends).unionByName(pairs.where("block <> block2").select(F.col("block2").alias("block"), F.col("cell").alias("to"), *ends))
+    units = member.join(sides, [*group, "block"]).where(F.array_contains("visits", F.col("to")))
+    units = units.withColumn("unit", F.concat_ws("|", "dim", F.col("label").cast("string")))
     keys = ["unit", "i", "j"]
-    found = units.select("unit", "i", "j", "cls", "copies", "block", "x").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_unit(least)), "a long, b long, links long")
+    found = units.select(*keys, "code", "copies", "block", "x").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(_unit(least)), "a string, b string, links long")
     found = materialize(found, "cover-links")
-    counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select("a", "b")).withColumnRenamed("node", "cls")
-    named = classes.select("code", "cls", "lowest", "copies").join(counts, "cls", "left").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    counts = found.groupBy(F.col("a").alias("code")).agg(F.sum("links").alias("links"))
+    parts = connected_components(found.select("a", "b")).withColumnRenamed("node", "code")
+    named = classes.select("code", "lowest", "copies").join(counts, "code", "left").join(parts, "code", "left").withColumn("component", F.coalesce("component", "code"))
     names = named.groupBy("component").agg(F.min("lowest").alias("component_id"))
     named = named.join(names, "component").select("code", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     rows = ready.select("vec_id", F.coalesce("code", F.concat(F.lit("-"), F.col("vec_id").cast("string"))).alias("code"))
@@ -316,21 +375,3 @@ def embedding_dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         F.coalesce("component_id", "vec_id").alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
     )
-
-
-def _apart(dim, cell, cell2):
-    """Distance of two pivots, from a table of the fixed directions for the dimension at hand."""
-
-    @F.pandas_udf("double")
-    def distance(d, a, b):
-        import pandas as pd
-
-        out = np.zeros(len(d))
-        for one in np.unique(d.to_numpy()):
-            p = np.random.default_rng(int(one)).normal(size=(PIVOTS, int(one)))
-            p /= np.linalg.norm(p, axis=1)[:, None]
-            at = (d == one).to_numpy()
-            out[at] = np.sqrt(np.maximum(0, 2 - 2 * (p[a[at]] * p[b[at]]).sum(1)))
-        return pd.Series(out)
-
-    return distance(dim, cell, cell2)

@@ -49,9 +49,9 @@ def target_sizes(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 
 
 def exponential_key(doc_id: Column, quality: Column, seed: int) -> Column:
-    """Efraimidis and Spirakis' key: the smaller, the earlier a document is drawn."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(u) / F.greatest(quality, F.lit(1e-6))
+    """Efraimidis and Spirakis' key, from 60 bits of an MD5: the smaller, the earlier a document is drawn."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 60))) / F.greatest(quality, F.lit(1e-6))
 
 
 def label_quality(labels: DataFrame, low: float = 0.25) -> DataFrame:
@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         sized = sized.withColumn("quality", F.lit(1.0))
     sized = materialize(
         sized.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # never null
-        .withColumn("key", exponential_key(F.coalesce("doc_id", F.lit(-1)), F.coalesce("quality", F.lit(1.0)), seed))
+        .withColumn("key", exponential_key(F.col("doc_id"), F.coalesce("quality", F.lit(1.0)), seed))
         # equal steps of the key's distribution function cut every source in ranges of about as many documents
         .withColumn("part", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int")),
         "mix-sizes",

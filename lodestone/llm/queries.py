@@ -98,6 +98,49 @@ ORACLE_SQL = {
         SELECT d.doc_id, d.bytes, s.shard, s.depth, s.shard_bytes, 0::BIGINT AS page
         FROM docs d JOIN shards s ON lpad(bin(d.bits), 60, '0')[1:s.depth] = s.shard
     """,
+    "op2_embedding_dedup": """
+        WITH RECURSIVE fine AS (
+            SELECT vec_id, label, x, sqrt(square) AS norm
+            FROM (SELECT vec_id, label, x, CASE WHEN len(x) > 0 AND list_count(x) = len(x) THEN list_dot_product(x, x) END AS square
+                  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings) WHERE label IS NOT NULL)
+            WHERE square > 0 AND isfinite(square)
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+            WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93
+        ), reach AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), found AS (
+            SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+                   least(e.vec_id, (SELECT min(r.b) FROM reach r WHERE r.a = e.vec_id))::BIGINT AS component_id
+            FROM embeddings e
+        )
+        SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
+    """,
+    "op10_mix_sources": r"""
+        WITH quality AS (
+            SELECT doc_id, max(CASE WHEN quality = 0 THEN 0.25 ELSE 1.0 END)::DOUBLE AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), sized AS (
+            SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   -ln((('0x' || md5('7|' || d.doc_id)[1:15])::BIGINT::DOUBLE + 0.5::DOUBLE) / (2::DOUBLE ** 60)) / greatest(coalesce(q.quality, 1), 1e-6::DOUBLE) AS key
+            FROM documents d LEFT JOIN quality q ON d.doc_id = q.doc_id
+        ), weighed AS (
+            SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM sized GROUP BY source
+        ), ranked AS (
+            SELECT *, source_size / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS pool, sum(weight) OVER () AS weights,
+                   2::DOUBLE * coalesce(sum(source_size) OVER before, 0) AS stopped, coalesce(sum(weight) OVER before, 0) AS gone
+            FROM weighed WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), levels AS (
+            SELECT *, (pool - stopped) / (weights - gone) AS level, (pool - stopped) / (weights - gone) * weight > 2::DOUBLE * source_size AS stops FROM ranked
+        ), targets AS (
+            SELECT source, source_size, CASE WHEN stops OR last IS NULL THEN 2::DOUBLE * source_size ELSE least(2::DOUBLE * source_size, last * weight) END AS target
+            FROM levels, (SELECT (SELECT level FROM levels WHERE NOT stops ORDER BY ratio, level LIMIT 1) AS last)
+        ), drawn AS (
+            SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS epochs,
+                   coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken, source, epochs FROM drawn
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256

@@ -40,17 +40,55 @@ def fewest(items, capacity):
     return best[0]
 
 
+def check_packing(items, capacity, optimum):
+    """Every piece once, no bin too full, never fewer bins than the optimum, and nothing called proven that isn't."""
+    counts = {n: items.count(n) for n in set(items)}
+    fillings, bound, proven = packing.bin_completion(counts, capacity)
+    used = [n for times, f in fillings for n in f * times]
+    assert sorted(used) == sorted(items)
+    assert all(sum(f) <= capacity for _, f in fillings)
+    bins = sum(times for times, _ in fillings)
+    assert bound <= optimum <= bins
+    assert not proven or bins == optimum
+    return bins, proven
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=9))
 def test_bin_completion_is_optimal(items):
-    counts = {n: items.count(n) for n in items}
-    fillings, bound, proven = packing.bin_completion(counts, 20)
-    used = [n for times, f in fillings for _ in range(times) for n in f]
-    assert sorted(used) == sorted(items)
-    assert all(sum(f) <= 20 for _, f in fillings)
-    n = sum(t for t, _ in fillings)
-    assert bound <= fewest(items, 20) <= n
-    assert not proven or n == fewest(items, 20) or n == bound
+    optimum = fewest(items, 20)
+    assert check_packing(items, 20, optimum) == (optimum, True)
+
+
+def test_bin_completion_of_whole_bins():
+    """Bins cut at random: as many bins as were cut are the least. The search ends on nearly all of them, and no proof is false."""
+    rng = np.random.default_rng(11)
+    met = 0
+    for _ in range(300):
+        capacity, items = 60, []
+        while len(items) < 17:
+            cuts = np.unique(rng.integers(8, capacity - 7, rng.integers(1, 4)))
+            items += np.diff([0, *cuts.tolist(), capacity]).tolist()
+        met += check_packing(items, capacity, sum(items) // capacity)[0] == sum(items) // capacity
+    assert met >= 290
+    assert check_packing([28, 27, 22, 22, 20, 20, 20, 19, 19, 19, 15, 11, 11, 10, 10, 10, 9, 8], 60, 5) == (5, True)
+
+
+def test_words_are_encoded_as_in_their_texts():
+    vocabulary = packing.default_vocabulary()
+    encoder, tokenizer = packing.Encoder(vocabulary), Tokenizer.from_file(vocabulary)
+    assert encoder.short
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet="aBz'stéßÉ×÷12.,-<|> \t\n\r\x0b\x00ñ한e\u0301", max_size=30), max_size=6))
+    def check(texts):
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == want
+
+    check()
+    other = packing.Encoder(vocabulary.replace("word_bpe_49k", "byte_bpe_50k"))
+    assert not other.short
+    assert other.encode(["Some words"]) == [np.array(other.tokenizer.encode("Some words").ids, "<u4").tobytes()]
 
 
 def test_packing_round_trip(spark):
@@ -138,12 +176,35 @@ def test_sampling_prefers_quality(spark):
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_queries_match_sql(spark, name):
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_queries_match_sql(spark, name, sf):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     cur = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]
-    df = queries.QUERIES[name](spark, SF)
+    df = queries.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     assert sorted(names) == cols
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([r[names.index(c)] for c in cols]) for r in cur.fetchall())
+
+
+def test_linked_vectors_match_sql(spark, tmp_path):
+    """The given small tables hold no links; these do, with copies, scaled copies and repeated rows."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 16))
+    rows = [(i, [float(np.float32(x)) for x in base[i % 12] + 0.07 * rng.normal(size=16)], i % 3) for i in range(240)]
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(6)] + [(400, [2 * x for x in rows[0][1]], 0), (401, None, 0), (402, [0.0] * 16, 0), (403, rows[0][1], None), (404, rows[0][1][:8], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op2_embedding_dedup"]).fetchall())
+    assert sum(r[1] for r in want) > 500
+    from lodestone.llm.cover_tree import embedding_dedup
+
+    assert sorted(map(tuple, queries.QUERIES["op2_embedding_dedup"](spark, str(tmp_path)).collect())) == want
+    for block in (40, 5):
+        assert sorted(map(tuple, embedding_dedup(df, least=0.93, block=block).collect())) == want
+    again = sorted(map(tuple, embedding_dedup(df.unionAll(df.where("vec_id = 0")), least=0.93).where("vec_id = 0").collect()))
+    assert again == [(0, want[0][1] + 1, want[0][2], want[0][3])] * 2
