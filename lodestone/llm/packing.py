@@ -9,6 +9,7 @@ numbering the pieces of each length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -23,41 +24,83 @@ from pyspark.sql import functions as F
 from .common import materialize, releasing
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-#: Texts of these characters alone are split here as the tokenizer splits them; all others go through it whole.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\|")
-#: The vocabulary's own split into words (fixed value), for lower-cased plain texts.
+#: Settings of a vocabulary whose words can be encoded one by one (fixed values): how it splits, and how a word ends.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+#: The same split, for lower-cased texts of the characters of PLAIN alone; all other texts go through the tokenizer whole.
 PIECE_OF_CHUNK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-MOST_CACHED = 1_000_000
+PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F)) + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])).encode("latin-1")
+MOST_CACHED = 300_000
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+def _word_by_word(settings: dict) -> bool:
+    """Whether a tokenizer's own settings are those that the short way below stands for."""
+    normal = settings.get("normalizer") or {}
+    split = ((settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    model = settings.get("model") or {}
+    return (
+        [n.get("type") for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and split.get("pattern") == {"Regex": WORD_SPLIT}
+        and split.get("behavior") == "Removed"
+        and split.get("invert") is True
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == WORD_END
+        and not model.get("dropout")
+        and all("<|" in x["content"] for x in settings.get("added_tokens") or [])
+    )
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks between white space."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks between white space.
+
+    Where the vocabulary's settings allow, words that are met for the first time
+    are encoded together, and cut apart after each token that ends a word.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.short = _word_by_word(json.loads(self.tokenizer.to_str()))
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[str]):
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            if len(cuts) != len(some) + 1 or cuts[-1] != len(raw):  # not as expected: one by one
+                yield from zip(some, self._whole(some), strict=True)
+            else:
+                yield from zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if PLAIN.search(t) else t.lower().split() for t in texts]
-        if len(self.chunks) > MOST_CACHED or len(self.words) > MOST_CACHED:
-            self.chunks.clear()
-            self.words.clear()
+        plain = [t.lower().split() if self.short and _is_plain(t) else None for t in texts]
         chunks = self.chunks
-        unknown = {c for p in plain if p for c in p if c not in chunks}
-        split = {c: PIECE_OF_CHUNK.findall(c) for c in unknown}
-        words = list({w for found in split.values() for w in found if w not in self.words})
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        met = set().union(*filter(None, plain))
+        split = {c: PIECE_OF_CHUNK.findall(c) for c in met.difference(chunks)}
+        if len(chunks) + len(split) > MOST_CACHED:  # what this batch has is likely to come again
+            self.chunks = chunks = {c: chunks[c] for c in met.intersection(chunks)}
+        words = dict(self._words(list(set().union(*split.values()))))
         for c, found in split.items():
-            chunks[c] = b"".join([self.words[w] for w in found])
-        whole = [t for t, p in zip(texts, plain, strict=True) if p is None]
-        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else [])
-        return [np.array(next(rest).ids, "<u4").tobytes() if p is None else b"".join([chunks[c] for c in p]) for p in plain]
+            chunks[c] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if p is None]))
+        get = chunks.__getitem__
+        return [next(rest) if p is None else b"".join(map(get, p)) for p in plain]
 
 
 @lru_cache(maxsize=2)
@@ -163,46 +206,46 @@ def _open(open_bins, rooms, done, room, times, filling):
     open_bins[room].append((times, filling))
 
 
-def completions(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, fullest first, at most ``most``.
+def completions(lengths: list[int], counts: dict[int, int], room: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated ways to fill ``room``, fullest first, and whether these are all.
 
     A filling is dominated if one of its pieces, or a pair, can be replaced by
     a single longer piece that still fits: what is replaced is easier to place
-    later. Nothing but a filling of fewer pieces can dominate one without waste,
-    so those of up to three pieces are looked up first. ``lengths`` falls.
+    later. A single piece that leaves no room dominates everything else. Past
+    ``16 * most`` fillings the search for more ends; then those without waste
+    are looked up, and ``most`` are given. ``lengths`` falls.
     """
-    exact = _exact(lengths, counts, room, most)
-    if exact:
-        return exact
+    if room == 0:
+        return [()], True
+    if counts.get(room, 0) > 0:
+        return [(room,)], True
     found: list[tuple[int, ...]] = []
+    steps, limit = 0, 16 * most
 
-    def extend(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= 4 * most:
-            return
+    def extend(at: int, left: int, chosen: tuple[int, ...]) -> bool:
+        nonlocal steps
         fits = False
         for k in range(at, len(lengths)):
             n = lengths[k]
+            steps += 1
             if n <= left and counts[n] > chosen.count(n):
                 fits = True
-                extend(k, left - n, (*chosen, n))
-                if len(found) >= 4 * most or (found and sum(found[0]) == room and len(found) >= most):
-                    return
-        if not fits:
+                if not extend(k, left - n, (*chosen, n)):
+                    return False
+        if not fits and not any(n <= left and counts[n] > chosen.count(n) for n in lengths[:at]):  # else another filling has it all and more
             found.append(chosen)
+        return len(found) < limit and steps < 64 * limit
 
-    extend(0, room, ())
+    whole = extend(0, room, ())
+    if not whole:
+        found = _exact(lengths, counts, room, most) + found
     kept = [f for f in dict.fromkeys(found) if not _dominated(f, room - sum(f), lengths, counts)]
-    kept = kept or [()]
     kept.sort(key=lambda f: (-sum(f), len(f), tuple(-n for n in f)))
-    return kept[:most]
+    return (kept, True) if whole else ((kept or [()])[:most], False)
 
 
 def _exact(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Fillings without waste, of one, two or three pieces, fewest and longest pieces first."""
-    if room == 0:
-        return [()]
-    if counts.get(room, 0) > 0:
-        return [(room,)]
+    """Fillings without waste, of two or three pieces, longest pieces first; not all of them."""
 
     def pairs(space: int, ceiling: int, used: int | None):
         for n in lengths:
@@ -235,55 +278,70 @@ def _dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts:
     return False
 
 
-def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 1_500, width: int = 8) -> tuple[list[tuple[int, tuple[int, ...]]], int, bool]:
+def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 4_000, width: int = 8) -> tuple[list[tuple[int, tuple[int, ...]]], int, bool]:
     """Fillings ``(times, lengths)``, the lower bound, and whether the number of bins is proven to be the least.
 
     The first incumbent is best-fit decreasing. If it doesn't meet the lower
     bound, the search fills the bin of the largest piece in every undominated
     way, fullest first, and leaves a branch when the bins used plus the bound of
-    the rest reach the incumbent; each branch is tried with best fit for the
-    rest as the next incumbent. A filling is repeated while its pieces last.
-    ``nodes`` and ``width`` bound the search, never what is packed: past them
-    the incumbent stands.
+    the rest reach the incumbent; branches are tried with best fit for the rest
+    as the next incumbent. A filling is used as often as its pieces last, and in
+    a further branch once. ``nodes`` and ``width`` bound the search, never what
+    is packed. A result counts as proven if it meets the bound, or if the search
+    ended by itself and no enumeration was cut short.
     """
     counts = {n: c for n, c in counts.items() if c}
     bound = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
     best = sum(t for t, _ in incumbent)
-    spent = 0
+    spent, complete = 0, True
+    seen: set[tuple] = set()
     stack: list[tuple[dict[int, int], tuple | None, int, int]] = [(counts, None, 0, 0)]
     while stack and best > bound and spent < nodes:
         left, path, used, depth = stack.pop()
         spent += 1
-        if left and used + lower_bound(left, capacity) >= best:
+        if not left or used + lower_bound(left, capacity) >= best:
+            if not left and used < best:
+                best, incumbent = used, _steps(path)
             continue
+        if len(left) <= 64:  # the same rest reached with as few bins before
+            state = (used, tuple(sorted(left.items())))
+            if state in seen:
+                continue
+            seen.add(state)
         if depth % 32 == 0 or len(left) <= 64:
-            rest = best_fit(left, capacity) if left else []
+            rest = best_fit(left, capacity)
             if used + sum(t for t, _ in rest) < best:
-                best = used + sum(t for t, _ in rest)
-                incumbent = rest
-                while path is not None:
-                    path, step = path
-                    incumbent = [*incumbent, step]
-                continue
-        if not left:
-            continue
+                best, incumbent = used + sum(t for t, _ in rest), rest + _steps(path)
+                if used + lower_bound(left, capacity) >= best:
+                    continue
         lengths = sorted(left, reverse=True)
         largest = lengths[0]
         others = dict(left)
         others[largest] -= 1
+        fillings, whole = completions(lengths, others, capacity - largest, width)
+        complete &= whole
         branches = []
-        for filling in completions(lengths, others, capacity - largest, width):
-            whole = (largest, *filling)
-            times = min(left[n] // whole.count(n) for n in set(whole))
-            after = dict(left)
-            for n in whole:
-                after[n] -= times
-                if not after[n]:
-                    del after[n]
-            branches.append((after, (path, (times, whole)), used + times, depth + 1))
+        for filling in fillings:
+            full = (largest, *filling)
+            most = min(left[n] // full.count(n) for n in set(full))
+            for times in (most, 1) if most > 1 else (1,):
+                after = dict(left)
+                for n in full:
+                    after[n] -= times
+                    if not after[n]:
+                        del after[n]
+                branches.append((after, (path, (times, full)), used + times, depth + 1))
         stack.extend(reversed(branches))
-    return incumbent, bound, best == bound or not stack
+    return incumbent, bound, best == bound or (complete and not stack)
+
+
+def _steps(path: tuple | None) -> list:
+    out = []
+    while path is not None:
+        path, step = path
+        out.append(step)
+    return out
 
 
 def slots(fillings: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
@@ -300,18 +358,25 @@ def slots(fillings: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
     return out
 
 
-def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, capacity: int = 4096, vocabulary: str | None = None, end_id: int = 1, salt: int = 32) -> DataFrame:
+def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, capacity: int = 4096, vocabulary: str | None = None, end_id: int = 1, per_salt: int = 100_000) -> DataFrame:
     """A row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Texts become ids by ``vocabulary``, then ``end_id``. Only documents of more
-    than ``capacity`` ids are cut, every ``capacity`` ids. Null and empty texts
-    have the one id ``end_id``. Every row is packed, repeated rows too; null
-    identifiers are rows like any other. An empty table gives an empty result.
+    than ``capacity`` ids are cut, every ``capacity`` ids, however long they are.
+    Null and empty texts have the one id ``end_id``. Every row is packed,
+    repeated rows too; null identifiers are rows like any other. Pieces of one
+    length are interchangeable and take their places in the order of identifier,
+    piece and row. An empty table gives an empty result; further columns, with
+    whatever names, are ignored. Lengths with many pieces are numbered in
+    stretches of about ``per_salt``.
     """
     pieces = tokenize_pieces(docs, doc_id, text, vocabulary or default_vocabulary(), capacity, end_id)
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(salt)).cast("int")), "packing-pieces")
+    pieces = materialize(pieces.withColumn("hash", F.xxhash64("doc_id", "piece", "row")), "packing-pieces")
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # bounded: capacity
+    hot = [x for r in lengths if r["n"] > per_salt for x in (F.lit(r["length"]), F.lit(-(-r["n"] // per_salt)))]
+    pieces = pieces.withColumn("salt", F.coalesce(F.pmod("hash", F.create_map(*hot)[F.col("length")]), F.lit(0)).cast("long") if hot else F.lit(0).cast("long"))
     sizes = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counted = [tuple(r) for r in sizes.collect()]  # bounded: capacity times salt
+    counted = [tuple(r) for r in sizes.collect()]  # bounded: capacity, and one for each per_salt pieces
     counts: dict[int, int] = {}
     before = {}
     for length, s, n in sorted(counted):
