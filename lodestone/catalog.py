@@ -150,7 +150,8 @@ def _evaluated(spark, sf_dir) -> DataFrame:
     """A row for each benchmark passage: the ranked documents, those that contain it, and metrics at 1, 3, 5 and 10."""
     hits = _bm25(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda h: h["item_id"].cast("string")).alias("retrieved"))
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gold = docs.select("doc_id", F.col("text").alias("body")).join(passages, F.col("body").contains(F.col("text"))).groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("gold"))
+    met = R.containing(docs.select(F.col("doc_id").alias("text_id"), "text"), passages.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
+    gold = met.groupBy(F.col("passage_id").alias("query_id")).agg(F.collect_set(F.col("text_id").cast("string")).alias("gold"))
     rows = passages.select(F.col("item_id").alias("query_id")).join(hits, "query_id", "left").join(gold, "query_id", "left")
     at = [F.struct(F.lit(k).cast(LONG).alias("k"), *[c.alias(n) for n, c in M.rank_metrics(F.col("retrieved"), F.col("gold"), k).items()]) for k in (1, 3, 5, 10)]
     return rows.select(F.col("query_id").alias("item_id"), "retrieved", "gold", F.array(*at).alias("at_k"))
@@ -246,9 +247,11 @@ def pr05_filter_fallback(spark, sf_dir):
 
 @query(f"{_DENSE} SELECT query_id, TRUE AS agree FROM q")
 def rt26_backend_parity(spark, sf_dir):
+    """Cosines against distances of unit vectors, which are the cosines in another form."""
     q, v = _vectors(spark, sf_dir)
-    q = q.drop("predicted")
-    return R.rankings_agree(R.dense_top_k(q, v, 5), R.dense_top_k(q, v, 5, "dot"))
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(M.dot(F.col(c), F.col(c))))
+    far = R.dense_top_k(q.select("query_id", unit("query_vector").alias("query_vector")), v.select("item_id", unit("vector").alias("vector")), 5, "l2")
+    return R.rankings_agree(R.dense_top_k(q.drop("predicted"), v.drop("category"), 5), far.withColumn("score", 1 - F.col("score") * F.col("score") / 2))
 
 
 @query("""
@@ -299,12 +302,15 @@ def ch07_table_chunks(spark, sf_dir):
     return C.chunk_documents(table(spark, sf_dir, "documents"), lambda t: C.table_chunks(t, 256, 40, 4000, 600))
 
 
-@query("""
-WITH t AS (SELECT doc_id, '# ' || source || chr(10) || split_part(text, chr(10), 1) || ' .' || chr(10) || '## a' || chr(10) || 'x' || chr(10) || '## b' || chr(10) || 'y' AS text FROM documents),
-p AS (SELECT doc_id, length(text) AS n, length(text) - 13 AS a, length(text) - 6 AS b FROM t)
-SELECT doc_id, 0::BIGINT AS start, n AS "end", 1::BIGINT AS level FROM p UNION ALL SELECT doc_id, a, b, 2 FROM p UNION ALL SELECT doc_id, b, n, 2 FROM p""")
+@query(r"""
+WITH t AS (SELECT doc_id, '# ' || source || chr(10) || text || chr(10) || '## a' || chr(10) || text AS text FROM documents),
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
+h AS (SELECT doc_id, start, length(regexp_extract(line, '^(#{1,6})[ \t]+.+$', 1)) AS level, length(text) AS n FROM o WHERE regexp_matches(line, '^#{1,6}[ \t]+.+$'))
+SELECT doc_id, start, coalesce((SELECT min(g.start) FROM h g WHERE g.doc_id = h.doc_id AND g.start > h.start AND g.level <= h.level), n) AS "end", level::BIGINT AS level FROM h""")
 def ch14_markdown_sections(spark, sf_dir):
-    made = F.concat(F.lit("# "), "source", F.lit("\n"), F.substring_index("text", "\n", 1), F.lit(" .\n## a\nx\n## b\ny"))
+    """Every document twice, under two headings: whatever headings it has itself are sections too."""
+    made = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n## a\n"), "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
     rows = C.chunk_documents(docs, lambda t: ((s, e, title, str(level), False) for s, e, title, level in C.markdown_sections(t)))
     return rows.select("doc_id", "start", "end", F.col("kind").cast(LONG).alias("level"))
@@ -645,9 +651,10 @@ def st02_set_operations(spark, sf_dir):
     return d.intersect(x).withColumn("part", F.lit("both")).unionByName(d.subtract(x).withColumn("part", F.lit("documents only")))
 
 
-@query("SELECT doc_id AS path, t.term FROM documents, (SELECT unnest(['token', 'secret', 'licensed under']) AS term) t WHERE contains(lower(text), t.term)")
+@query(f"SELECT doc_id AS path, t.term FROM documents, (SELECT unnest([{', '.join(repr(t) for t in (*E.LEAK_TERMS, 'licensed under'))}]) AS term) t WHERE contains(lower(text), lower(t.term))")
 def va04_leakage(spark, sf_dir):
-    return E.leakage(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), ["token", "secret", "licensed under"])
+    """The forbidden terms, and one that the documents do have."""
+    return E.leakage(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), [*E.LEAK_TERMS, "licensed under"])
 
 
 @query("""

@@ -60,6 +60,48 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def _german_stop_words() -> tuple[str, ...]:
+    """Articles, pronouns and their endings by rule; conjunctions, prepositions, auxiliaries and particles as a list."""
+    endings = ("", "e", "em", "en", "er", "es")
+    stems = [s + e for s in ("ein", "kein", "mein", "dein", "sein", "ihr", "unser", "eur") for e in endings if s + e != "eur"]
+    stems += [s + e for s in ("dies", "jed", "jen", "manch", "solch", "welch", "all", "ander", "einig", "derselb", "dieselb", "dasselb") for e in endings[1:]]
+    rest = (
+        "aber als also am an auch auf aus bei bin bis bist da damit dann das dass daß dazu dein dem den denn der des dich die dir doch dort du durch er es etwas euch euer für gegen gewesen hab habe haben hat hatte "
+        "hatten hier hin hinter ich ihm ihn ihnen im in indem ins ist jetzt kann können könnte machen man mich mir mit muss musste nach nicht nichts noch nun nur ob oder ohne sehr selbst sich sie sind so sondern sonst "
+        "soll sollte über um und uns unter viel vom von vor während war waren warst was weg weil weiter wenn werde werden wie wieder will wir wird wirst wo wollen wollte würde würden zu zum zur zwar zwischen"
+    )
+    return tuple(sorted({*stems, *rest.split()}))
+
+
+GERMAN_STOP_WORDS = _german_stop_words()
+
+
+def german_stem(word: Column) -> Column:
+    """Light stemming of a lower-cased German word: umlauts folded, then the endings of nouns and of comparison cut from words that are long enough."""
+    w = F.regexp_replace(F.translate(word, "äàáâöòóôüùúûïìíî", "aaaaoooouuuuiiii"), "ß", "ss")
+    n = F.length
+    cut = lambda x, k: F.substring(x, F.lit(1), n(x) - k)
+
+    def endings(x: Column) -> Column:
+        return (
+            F.when((n(x) > 5) & x.endswith("ern"), cut(x, 3))
+            .when((n(x) > 4) & x.rlike("e[mnrs]$"), cut(x, 2))
+            .when((n(x) > 3) & x.endswith("e"), cut(x, 1))
+            .when((n(x) > 3) & x.rlike("[bdfghklmnt]s$"), cut(x, 1))
+            .otherwise(x)
+        )
+
+    def comparison(x: Column) -> Column:
+        return F.when((n(x) > 5) & x.endswith("est"), cut(x, 3)).when((n(x) > 4) & x.rlike("e[rn]$"), cut(x, 2)).when((n(x) > 4) & x.rlike("[bdfghklmnt]st$"), cut(x, 2)).otherwise(x)
+
+    return F.transform(F.transform(F.array(w), endings), comparison)[0]
+
+
+def german_tokens(text: Column) -> Column:
+    """Search tokens without German stop words, stemmed."""
+    return F.transform(F.filter(search_tokens(text), lambda t: ~t.isin(*GERMAN_STOP_WORDS)), german_stem)
+
+
 def content_tokens(text: Column) -> Column:
     """Distinct lower-cased content words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zA-ZäöüßÄÖÜ0-9]+"), 0)

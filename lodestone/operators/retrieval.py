@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.metrics import cosine, dot
 from lodestone.functions.text import normalize_text, search_tokens
 
 #: Decimals that scores are compared with, so that orders don't hang on the order of additions.
@@ -27,28 +29,119 @@ def top_k(scored: DataFrame, k: int, by: str = "score", query: str = "query_id",
 # ---- dense ----
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """Scores of a stated set of queries against all vectors.
-
-    ``queries(query_id, query_vector, ...)`` is the smaller side and is matched
-    with ``vectors(item_id, vector, ...)`` block by block. ``l2`` scores are
-    negative distances, so that more is always better.
-    """
-    score = {
-        "cosine": lambda q, v: cosine(q, v),
-        "dot": lambda q, v: dot(q, v),
-        "l2": lambda q, v: -F.sqrt(F.aggregate(F.zip_with(q, v, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)),
-    }[metric]
-    return queries.crossJoin(vectors).withColumn("score", score(F.col("query_vector"), F.col("vector"))).drop("query_vector", "vector")
+#: Rows of a block of queries and of a block of vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that are vectors of the commonest length, as a matrix, and where they are."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    some = sizes[sizes > 0]
+    dim = int(np.bincount(some).argmax()) if len(some) else 0
+    at = np.flatnonzero(sizes == dim) if dim else np.zeros(0, np.int64)
+    flat = column.take(pa.array(at)).flatten()
+    x = pc.fill_null(flat.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(len(at), dim)
+    return x, at
+
+
+def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all pairs of rows, the greater the better."""
+    if metric == "l2":
+        # sums of squared differences by dimension: a product of the vectors would lose digits
+        out = np.zeros((len(q), len(v)))
+        for k in range(q.shape[1]):
+            out += (q[:, k, None] - v[None, :, k]) ** 2
+        return -np.sqrt(out)
+    made = q @ v.T
+    if metric == "cosine":
+        norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None]
+        made = np.divide(made, norms, out=np.zeros_like(made), where=norms > 0)
+    return made
+
+
+def _block_top_k(k: int, metric: str, n_keys: int):
+    """Of units of rows ``(keys, side, id, vector)`` in the order of keys and side, the ``k`` best vectors of each query of the unit."""
+
+    def best(queries: list, vectors: list):
+        ids, held = pa.concat_arrays([x for x, _ in queries]), pa.concat_arrays([x for _, x in queries])
+        items, column = pa.concat_arrays([x for x, _ in vectors]), pa.concat_arrays([x for _, x in vectors])
+        q, q_at = _matrix(held)
+        v, v_at = _matrix(column)
+        rank = np.argsort(pc.sort_indices(items).to_numpy())  # places in the order of identifiers, for ties
+        query, item, score = [], [], []
+        for lo in range(0, len(ids), 64):
+            scores = np.zeros((min(64, len(ids) - lo), len(items)))  # what can't be compared has 0
+            mine = np.flatnonzero((q_at >= lo) & (q_at < lo + 64))
+            if len(mine) and len(v_at) and q.shape[1] == v.shape[1]:
+                scores[np.ix_(q_at[mine] - lo, v_at)] = _scores(q[mine], v, metric)
+            rounded = -np.round(np.nan_to_num(scores, nan=-np.inf), PLACES)
+            for r in range(len(scores)):
+                few = np.arange(len(items))
+                if len(items) > 4 * k:  # all at least as good as the k-th, then the k first of them
+                    few = np.flatnonzero(rounded[r] <= np.partition(rounded[r], k - 1)[k - 1])
+                few = few[np.lexsort((rank[few], rounded[r][few]))[:k]]
+                query.append(np.full(len(few), lo + r))
+                item.append(few)
+                score.append(scores[r][few])
+        at, which = (pa.array(np.concatenate(x)) for x in (query, item))
+        return pa.RecordBatch.from_arrays([ids.take(at), items.take(which), pa.array(np.concatenate(score))], names=["query_id", "item_id", "score"])
+
+    def run(batches):
+        key, queries, vectors = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(n_keys)]
+            change = np.zeros(batch.num_rows - 1, bool)
+            for x in values:
+                change |= x[1:] != x[:-1]
+            cuts = np.flatnonzero(change) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                now = tuple(x[lo] for x in values)
+                if key is not None and now != key:
+                    if queries and vectors:
+                        yield best(queries, vectors)
+                    queries, vectors = [], []
+                key = now
+                part = batch.slice(lo, hi - lo)
+                own = part.column(n_keys)
+                if pc.any(pc.equal(own, 0)).as_py():
+                    mine = part.filter(pc.equal(own, 0))
+                    queries.append((mine.column(n_keys + 1), mine.column(n_keys + 3)))
+                if pc.any(pc.equal(own, 1)).as_py():
+                    mine = part.filter(pc.equal(own, 1))
+                    vectors.append((mine.column(n_keys + 2), mine.column(n_keys + 3)))
+        if queries and vectors:
+            yield best(queries, vectors)
+
+    return run
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", within: str | None = None) -> DataFrame:
-    """``within``: a column of both sides that must be equal, as a filter pushed to the vectors."""
-    if within is None:
-        return top_k(dense_scores(queries, vectors, metric), k)
-    q = queries.withColumnRenamed(within, "wanted")
-    scored = q.join(vectors, F.col("wanted") == F.col(within)).withColumn("score", cosine(F.col("query_vector"), F.col("vector"))).drop("query_vector", "vector", "wanted")
-    return top_k(scored, k)
+    """The ``k`` best of ``vectors(item_id, vector, ...)`` for each of a stated set ``queries(query_id, query_vector, ...)``.
+
+    Both sides are cut in blocks, and each pair of blocks is one matrix product
+    that gives up all but the best of each query; pairs of rows never exist.
+    ``within`` is a column of both sides that must be equal. ``metric`` is
+    ``cosine`` (0 for null, empty, unequal or zero vectors), ``dot`` or ``l2``
+    (negative distances, so that more is always better). Further columns of the
+    vectors are joined to the hits.
+    """
+    n_queries, n_vectors = (-(-t.count() // most) or 1 for t, most in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    value = [F.col(within).cast("string").alias("value")] if within else []
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    doubles = lambda c: F.col(c).cast("array<double>").alias("x")
+    empty = {c: F.lit(None).cast(t.schema[c].dataType) for t, c in ((queries, "query_id"), (vectors, "item_id"))}
+    asked = queries.select(*value, block("query_id", n_queries).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1))).alias("j"), F.lit(0).alias("side"), "query_id", empty["item_id"].alias("item_id"), doubles("query_vector"))
+    given = vectors.select(*value, F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("i"), block("item_id", n_vectors).alias("j"), F.lit(1).alias("side"), empty["query_id"].alias("query_id"), "item_id", doubles("vector"))
+    if within:
+        asked, given = asked.where("value is not null"), given.where("value is not null")
+    keys = [*(["value"] if within else []), "i", "j"]
+    units = asked.unionAll(given).repartition(*keys).sortWithinPartitions(*keys, "side")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
+    hits = top_k(units.mapInArrow(_block_top_k(k, metric, len(keys)), kinds), k)
+    more = [c for c in vectors.columns if c not in ("item_id", "vector")]
+    return hits.join(vectors.select("item_id", *more), "item_id") if more else hits
 
 
 # ---- BM25 ----
@@ -153,11 +246,38 @@ def select_unique(ranked: DataFrame, k: int, rerank_top_k: int) -> DataFrame:
 
 
 def mentioned_values(queries: DataFrame, values: DataFrame) -> DataFrame:
-    """``(query_id, mentioned)``: the known ``values(value)`` that a question contains, both normalised."""
-    known = values.select(normalize_text(F.col("value")).alias("value")).where("value is not null").distinct()
+    """``(query_id, mentioned)``: the known ``values(value)`` that a question contains, both normalised.
+
+    A question that contains a value contains its first three characters: the
+    two sides meet by these, and only pairs that do are compared.
+    """
+    known = values.select(normalize_text(F.col("value")).alias("value")).where("value is not null").distinct().withColumn("gram", F.substring("value", 1, 3))
     asked = queries.select("query_id", normalize_text(F.col("question")).alias("question"))
-    found = asked.join(known, F.col("question").contains(F.col("value")), "left")
-    return found.groupBy("query_id").agg(F.array_sort(F.collect_set("value")).alias("mentioned"))
+    sizes = [r[0] for r in known.select(F.length("gram")).distinct().collect()]  # at most 1, 2 and 3
+    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("question"), F.lit(1))), lambda i: F.substring(F.col("question"), i, F.lit(n))) for n in sizes])) if sizes else F.array().cast("array<string>")  # noqa: B023
+    met = asked.select("query_id", "question", F.explode(F.array_distinct(grams)).alias("gram")).join(known, "gram").where(F.col("question").contains(F.col("value")))
+    found = met.groupBy("query_id").agg(F.array_sort(F.collect_set("value")).alias("mentioned"))
+    none = F.array().cast("array<string>")
+    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("mentioned", none).alias("mentioned"))
+
+
+def containing(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """``(text_id, passage_id)`` of the ``texts(text_id, text)`` that contain a passage of ``passages(passage_id, passage)`` word for word.
+
+    A word inside a passage, with others on both sides, stands whole in every
+    text that contains it. The two sides meet by the longest such word, which is
+    likely to be rare, and only pairs that do are compared. Passages of one or
+    two words have none and are compared with every text.
+    """
+    words = search_tokens(F.col("passage"))
+    inner = F.when(F.size(words) > 2, F.array_max(F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keyed = passages.select("passage_id", "passage", inner.alias("word"))
+    found = texts.select("text_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("word")).join(keyed.where("word is not null").select("passage_id", "word"), "word")
+    pairs = texts.join(found.select("text_id", "passage_id"), "text_id").join(passages, "passage_id").where(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id")
+    short = keyed.where("word is null and passage is not null")
+    if short.isEmpty():
+        return pairs
+    return pairs.unionByName(texts.join(short, F.col("text").contains(F.col("passage"))).select("text_id", "passage_id"))
 
 
 def metadata_boost(parts: dict[str, tuple[Column, float]]) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import RetrievalSettings
@@ -17,40 +18,75 @@ from lodestone.operators import prompts as P
 from lodestone.operators import retrieval as R
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, settings: RetrievalSettings, embed=None) -> DataFrame:
-    """Hits of all ``questions(query_id, question[, category])`` in ``chunks(item_id, text[, category])`` by the configured retriever."""
+def retrieve(questions: DataFrame, chunks: DataFrame, settings: RetrievalSettings, embed=None, *, boost: Callable[[DataFrame], Column] | None = None, keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Hits of all ``questions(query_id, question[, category])`` in ``chunks(item_id, text[, category])`` by the configured retriever.
+
+    ``boost`` gives what is added to a dense hit's score, ``keep`` whether it
+    passes the filter (all do, if none does); both see the hits with the columns
+    of questions and chunks.
+    """
     embed = embed or hash_embedding()
     s = settings
+    tokens = T.german_tokens if s.analyzer == "german" else T.search_tokens
+    more = [c for c in questions.columns if c not in ("query_id", *chunks.columns)]
 
-    def dense(k: int, within: str | None = None) -> DataFrame:
+    def dense(k: int, within: str | None = None, exactly: bool = False) -> DataFrame:
+        fetch = k if exactly else max(k, s.fetch_k)
         q = questions.select("query_id", *([within] if within else []), embed("question").alias("query_vector"))
         v = chunks.select("item_id", *([within] if within else []), embed("text").alias("vector"))
-        return R.dense_top_k(q, v, k, within=within)
-
-    def bm25(k: int) -> DataFrame:
-        return R.bm25_top_k(questions, R.TextIndex.build(chunks, "item_id", "text", only=R.query_terms(questions)), k, k1=s.k1, b=s.b)
-
-    if s.retriever == "bm25":
-        return bm25(s.top_k)
-    if s.retriever == "dense":
-        return dense(s.top_k)
-    if s.retriever == "hybrid":
-        return R.rrf_fuse(dense(s.fetch_k), bm25(s.fetch_k), s.top_k, s.rrf_k)
+        hits = R.dense_top_k(q, v, fetch if boost or keep else k, s.metric, within)
+        if not (boost or keep):
+            return hits
+        seen = hits.select("query_id", "item_id", "score", "rank").join(chunks, "item_id").join(questions.select("query_id", *more), "query_id")
+        seen = seen.withColumn("score", F.col("score") + boost(seen)) if boost else seen
+        return R.top_k(R.filter_or_all(seen, keep(seen)) if keep else seen, k, "score", "query_id", "rank").select("query_id", "item_id", "score", "rank")
+
+    def bm25(k: int, within: str | None = None) -> DataFrame:
+        index = R.TextIndex.build(chunks, "item_id", "text", tokens, only=R.query_terms(questions, tokens))
+        among = questions.select("query_id", within).join(chunks.select("item_id", within), within).select("query_id", "item_id") if within else None
+        return R.bm25_top_k(questions, index, k, k1=s.k1, b=s.b, tokens=tokens, among=among)
+
+    def hybrid(k: int, within: str | None = None) -> DataFrame:
+        """Both legs are held to the category before they are cut and fused."""
+        legs = dense(max(k, s.dense_fetch_k or s.fetch_k), within), bm25(max(k, s.bm25_fetch_k or s.fetch_k), within)
+        return R.rrf_fuse(*legs, k, s.rrf_k, (s.dense_weight, s.bm25_weight))
+
+    if s.retriever in ("bm25", "dense", "hybrid"):
+        return {"bm25": bm25, "dense": dense, "hybrid": hybrid}[s.retriever](s.top_k)
+    search = hybrid if s.retriever == "adaptive_hybrid" else dense
     routes = questions.select("query_id", F.col("category").isNotNull().alias("routed"))
-    if s.retriever == "adaptive":
-        probe = dense(s.probe_k).join(chunks.select("item_id", "category"), "item_id")
+    if s.retriever != "category" and s.validate_routing:
+        probe = (hybrid(s.probe_k) if s.retriever == "adaptive_hybrid" else dense(s.probe_k, exactly=True)).select("query_id", "item_id", "score").join(chunks.select("item_id", "category"), "item_id")
         support = R.probe_support(probe, questions.select("query_id", F.col("category").alias("predicted")))
         decided = R.routing_decision(support, s.minimum_category_share, s.minimum_category_count, s.minimum_margin)
         routes = decided.select("query_id", (F.col("accepted") & F.col("predicted").isNotNull()).alias("routed"))
-    return R.category_or_global(dense(s.top_k, "category"), dense(s.top_k), routes)
-
-
-def answer(questions: DataFrame, chunks: DataFrame, settings: RetrievalSettings, call: Callable[[str], str] = first_sentence, *, max_chars: int = 6000, max_words: int = 1500, embed=None) -> DataFrame:
-    """A result row for each question: what was retrieved, the answer, or the error of that question alone."""
-    hits = retrieve(questions, chunks, settings, embed).select("query_id", "item_id", "score", "rank").join(chunks.select("item_id", "text"), "item_id")
-    fit = R.within_budget(R.first_by_text(hits), max_chars, max_words)
+    return R.category_or_global(search(s.top_k, "category"), search(s.top_k), routes)
+
+
+def answer(questions: DataFrame, chunks: DataFrame, settings: RetrievalSettings, call: Callable[[str], str] = first_sentence, *, max_chars: int = 6000, max_words: int = 1500, embed=None, boost=None, keep=None, reranker: Callable[[Column, Column], Column] | None = None, parents: DataFrame | None = None, parent_words: int = 800) -> DataFrame:
+    """A result row for each question: what was retrieved, the answer, or the error of that question alone.
+
+    With a ``reranker`` of (question, text), ``fetch_k`` hits are scored anew and
+    ``rerank_top_k`` of them chosen from; ``dedupe_by`` names a column of the
+    chunks of which each value is used once; ``parents(item_id, parents)`` gives
+    the sections that are shown in the place of chunks, as ``expand_parents``.
+    """
+    wide = replace(settings, top_k=max(settings.top_k, settings.fetch_k)) if reranker or settings.dedupe_by or parents is not None else settings
+    more = [settings.dedupe_by] if settings.dedupe_by and settings.dedupe_by != "item_id" else []
+    hits = retrieve(questions, chunks, wide, embed, boost=boost, keep=keep).select("query_id", "item_id", "score", "rank").join(chunks.select("item_id", "text", *more), "item_id")
+    if reranker:
+        asked = hits.join(questions.select("query_id", "question"), "query_id")
+        hits = R.select_unique(R.rerank(asked, reranker(F.col("question"), F.col("text"))), wide.top_k, settings.rerank_top_k or settings.top_k).drop("question")
+    if settings.dedupe_by:
+        hits = R.dedupe_hits(hits, wide.top_k, settings.dedupe_by)
+    shown = hits.where(F.col("rank") <= settings.top_k)
+    contexts = shown
+    if parents is not None:
+        contexts = R.expand_parents(hits.join(parents.select("item_id", "parents"), "item_id", "left").withColumn("parents", F.coalesce("parents", F.array().cast(parents.schema["parents"].dataType))), parent_words, settings.top_k)
+        contexts = contexts.withColumn("score", F.lit(None).cast("double"))
+    fit = R.within_budget(R.first_by_text(contexts), max_chars, max_words)
     answers = generate(P.build_prompts(questions.select("query_id", "question"), fit), call)
-    return P.export_rows(questions.select("query_id", "question").join(answers, "query_id", "left"), hits)
+    return P.export_rows(questions.select("query_id", "question").join(answers, "query_id", "left"), shown)
 
 
 def evaluate(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

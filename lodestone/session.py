@@ -17,6 +17,19 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a session of one machine alone may do without."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("lodestone")
     settings = {

@@ -33,19 +33,52 @@ def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
     rows.select(*[F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def upsert(target: str, rows: DataFrame, key: str) -> DataFrame:
-    """Replace rows by key and add new ones; written beside the target as a new version, which is returned."""
-    spark = rows.sparkSession
-    old = spark.read.parquet(target)
-    merged = old.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-    version = f"{target.rstrip('/')}.v{content_name(target, str(rows.semanticHash()))[:12]}"
-    merged.write.mode("overwrite").parquet(version)
-    return spark.read.parquet(version)
+def write_buckets(rows: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """A table in folders by a hash of its key, which ``upsert`` replaces one by one."""
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
 
+def upsert(target: str, rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """Replace rows by key and add new ones, in a table of ``write_buckets``: only the folders that rows fall in are read and written anew.
 
-def publish(view: str, table: DataFrame) -> None:
-    """Point a name at a new index; readers see the old one or the new one."""
-    table.createOrReplaceTempView(view)
+    What is new is written beside the table first, so that no folder is read and
+    replaced in one go; a run that dies in between leaves the table as it was or
+    with whole folders replaced, and may be repeated.
+    """
+    spark = rows.sparkSession
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
+    old = spark.read.parquet(target).where(F.col("bucket").isin(touched))
+    merged = old.join(placed.select(key), key, "left_anti").unionByName(placed, allowMissingColumns=True)
+    beside = f"{target.rstrip('/')}.next"
+    merged.write.mode("overwrite").parquet(beside)
+    spark.read.parquet(beside).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+    return spark.read.parquet(target).drop("bucket")
+
+
+def publish(spark: SparkSession, alias: str, path: str) -> None:
+    """Point an alias, a small file, at a new index: readers of ``published`` see the old one or the new one, in any session."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at, fresh = hadoop.Path(alias), hadoop.Path(f"{alias}.next")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(path.encode()))
+    out.close()
+    if fs.exists(at):
+        fs.delete(at, False)
+    fs.rename(fresh, at)
+
+
+def published(spark: SparkSession, alias: str) -> DataFrame:
+    return spark.read.parquet(spark.read.text(alias, wholetext=True).first()[0])
+
+
+def append_events(events: DataFrame, path: str, run_id: str) -> None:
+    """An event log: each event with its run, its time and a JSON payload, appended."""
+    rest = [c for c in events.columns if c not in ("event", "at")]
+    at = F.col("at") if "at" in events.columns else F.current_timestamp()
+    events.select(F.lit(run_id).alias("run_id"), at.alias("at"), "event", F.to_json(F.struct(*rest)).alias("payload") if rest else F.lit("{}").alias("payload")).write.mode("append").json(path)
 
 
 def content_name(*parts: str) -> str:

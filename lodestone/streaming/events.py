@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import scratch_dir
+
 
 def process_incrementally(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
     """Answer a stream of questions batch by batch; each batch is committed once, even if it is run again."""
@@ -28,10 +30,18 @@ def windowed_events(events: DataFrame, length: str = "1 hour", lateness: str = "
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drain the event table through a stream, and give its final state."""
+    """Drain the event table through a stream, and give its final state: every batch writes the windows as they are then, and the last one is read."""
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"events_{uuid.uuid4().hex}"
-    q = windowed_events(events).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    made = windowed_events(events)
+    last: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        last.append(epoch)
+
+    q = made.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+    rows = spark.read.schema(made.schema).parquet(f"{out}/epoch={max(last)}") if last else spark.createDataFrame([], made.schema)
+    return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
