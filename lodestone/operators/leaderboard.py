@@ -88,4 +88,4 @@ def comparison_groups(runs: DataFrame, keys: list[str], eligible: Column) -> Dat
 
 def formatted(value: Column) -> Column:
     """Six decimals, nothing for null, as leaderboard files write it."""
-    return F.coalesce(F.format_string("%.6f", value), F.lit(""))
+    return F.when(value.isNull(), F.lit("")).otherwise(F.format_string("%.6f", value))
