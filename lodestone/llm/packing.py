@@ -234,12 +234,13 @@ def completions(lengths: list[int], counts: dict[int, int], room: int, most: int
                     return False
         if not fits and not any(n <= left and counts[n] > chosen.count(n) for n in lengths[:at]):  # else another filling has it all and more
             found.append(chosen)
-        return len(found) < limit and steps < 64 * limit
+        return len(found) < limit and steps < 16 * limit
 
     whole = extend(0, room, ())
     if not whole:
         found = _exact(lengths, counts, room, most) + found
-    kept = [f for f in dict.fromkeys(found) if not _dominated(f, room - sum(f), lengths, counts)]
+    rising = lengths[::-1]
+    kept = [f for f in dict.fromkeys(found) if not _dominated(f, room - sum(f), rising, counts)]
     kept.sort(key=lambda f: (-sum(f), len(f), tuple(-n for n in f)))
     return (kept, True) if whole else ((kept or [()])[:most], False)
 
@@ -268,13 +269,22 @@ def _exact(lengths: list[int], counts: dict[int, int], room: int, most: int) ->
     return out
 
 
-def _dominated(filling: tuple[int, ...], waste: int, lengths: list[int], counts: dict[int, int]) -> bool:
+def _dominated(filling: tuple[int, ...], waste: int, rising: list[int], counts: dict[int, int]) -> bool:
+    """``rising``: the lengths in rising order."""
+
+    def spare(lo: int, hi: int) -> bool:
+        k = bisect_left(rising, lo)
+        while k < len(rising) and rising[k] <= hi:
+            if counts[rising[k]] > filling.count(rising[k]):
+                return True
+            k += 1
+        return False
+
     for i, n in enumerate(filling):
-        if any(n < m <= n + waste and counts[m] > filling.count(m) for m in lengths):
+        if waste and spare(n + 1, n + waste):
+            return True
+        if any(spare(n + k, n + k + waste) for k in filling[i + 1 :]):
             return True
-        for k in filling[i + 1 :]:
-            if any(n + k <= m <= n + k + waste and counts[m] > filling.count(m) for m in lengths):
-                return True
     return False
 
 
@@ -286,8 +296,8 @@ def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 4_000,
     way, fullest first, and leaves a branch when the bins used plus the bound of
     the rest reach the incumbent; branches are tried with best fit for the rest
     as the next incumbent. A filling is used as often as its pieces last, and in
-    a further branch once. ``nodes`` and ``width`` bound the search, never what
-    is packed. A result counts as proven if it meets the bound, or if the search
+    a further branch once. ``nodes`` and ``width`` bound the search to seconds,
+    never what is packed. A result counts as proven if it meets the bound, or if the search
     ended by itself and no enumeration was cut short.
     """
     counts = {n: c for n, c in counts.items() if c}
@@ -299,7 +309,7 @@ def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 4_000,
     stack: list[tuple[dict[int, int], tuple | None, int, int]] = [(counts, None, 0, 0)]
     while stack and best > bound and spent < nodes:
         left, path, used, depth = stack.pop()
-        spent += 1
+        spent += 1 + len(left) // 512  # of many lengths a node takes longer
         if not left or used + lower_bound(left, capacity) >= best:
             if not left and used < best:
                 best, incumbent = used, _steps(path)
