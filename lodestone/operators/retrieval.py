@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text, search_tokens
+from lodestone.session import stored
 
 #: Decimals that scores are compared with, so that orders don't hang on the order of additions.
 PLACES = 9
@@ -156,17 +157,22 @@ class TextIndex:
     totals: DataFrame
 
     @staticmethod
-    def build(items: DataFrame, item_id: str, text: str, tokens=search_tokens, only: DataFrame | None = None, most: int = 100_000) -> TextIndex:
+    def build(items: DataFrame, item_id: str, text: str, tokens=search_tokens, only: DataFrame | None = None, most: int = 20_000) -> TextIndex:
         """``only(term)`` keeps just these terms' postings, with the same statistics: for a batch of queries, most tokens then never move.
 
-        Up to ``most`` such terms are broadcast, after they are counted; more are joined by a shuffle.
+        Up to ``most`` such terms, which are counted first, are looked up while
+        the texts are cut: the texts are read once, and what is left of them is
+        stored for all that reads the index. More terms are joined by a shuffle.
         """
         base = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
+        wanted = None if only is None else [r[0] for r in only.limit(most + 1).collect()]  # bounded
+        if wanted is not None and len(wanted) <= most:
+            found = F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+            base = stored(base.select("item_id", "dl", found.alias("tokens")), "index")
         totals = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         found = base.select("item_id", "dl", F.explode("tokens").alias("term"))
-        if only is not None:
-            few = only.limit(most + 1).count() <= most
-            found = found.join(F.broadcast(only) if few else only, "term", "left_semi")
+        if wanted is not None and len(wanted) > most:
+            found = found.join(only, "term", "left_semi")
         postings = found.groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
         terms = postings.groupBy("term").agg(F.count("*").alias("df"))
         return TextIndex(postings, terms, totals)

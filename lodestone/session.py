@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workers_find_package(spark: SparkSession) -> SparkSession:
@@ -30,6 +31,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that several readers find it made; the files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("lodestone")
     settings = {
