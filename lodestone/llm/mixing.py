@@ -48,9 +48,10 @@ def target_sizes(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return ranked.select("name", "source_size", F.when(F.col("stops") | final.isNull(), limit).otherwise(F.least(limit, final * F.col("weight"))).alias("target"))
 
 
-def exponential_key(doc_id: Column, quality: Column, seed: int) -> Column:
-    """Efraimidis and Spirakis' key, from 60 bits of an MD5: the smaller, the earlier a document is drawn."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+def exponential_key(doc_id: Column, text: Column, quality: Column, seed: int) -> Column:
+    """Efraimidis and Spirakis' key, from 60 bits of an MD5 of identifier and text: the smaller, the earlier a document is drawn. Rows without an identifier, or with one that many share, have keys of their own."""
+    name = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    bits = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
     return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 60))) / F.greatest(quality, F.lit(1e-6))
 
 
@@ -66,10 +67,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     quality)`` weighs documents (1 where it has none). Every document is taken
     ``epochs`` whole times, as the target has complete epochs; ``taken`` counts
     words with repeats. A null source is a source of its own, the last by name.
-    Repeated rows are documents of their own; equal keys go by identifier and
-    size. An empty table gives an empty result. Reruns agree.
+    Repeated rows are documents of their own; equal keys, which only rows of one
+    identifier and text have, go by identifier and size. Texts of any length
+    count whole. An empty table gives an empty result; further columns, with
+    whatever names, are ignored. Reruns agree.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    draw = exponential_key(F.col(doc_id), F.col(text), F.lit(1.0), seed)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), draw.alias("key"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
     if quality is not None:
         weighed = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
         sized = sized.join(weighed, "doc_id", "left")
@@ -77,7 +81,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         sized = sized.withColumn("quality", F.lit(1.0))
     sized = materialize(
         sized.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # never null
-        .withColumn("key", exponential_key(F.col("doc_id"), F.coalesce("quality", F.lit(1.0)), seed))
+        .withColumn("key", F.col("key") / F.greatest(F.coalesce("quality", F.lit(1.0)), F.lit(1e-6)))
         # equal steps of the key's distribution function cut every source in ranges of about as many documents
         .withColumn("part", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int")),
         "mix-sizes",

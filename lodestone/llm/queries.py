@@ -121,7 +121,7 @@ ORACLE_SQL = {
             SELECT doc_id, max(CASE WHEN quality = 0 THEN 0.25 ELSE 1.0 END)::DOUBLE AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
         ), sized AS (
             SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   -ln((('0x' || md5('7|' || d.doc_id)[1:15])::BIGINT::DOUBLE + 0.5::DOUBLE) / (2::DOUBLE ** 60)) / greatest(coalesce(q.quality, 1), 1e-6::DOUBLE) AS key
+                   -ln((('0x' || md5('7|' || coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, '')))[1:15])::BIGINT::DOUBLE + 0.5::DOUBLE) / (2::DOUBLE ** 60)) / greatest(coalesce(q.quality, 1), 1e-6::DOUBLE) AS key
             FROM documents d LEFT JOIN quality q ON d.doc_id = q.doc_id
         ), weighed AS (
             SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM sized GROUP BY source

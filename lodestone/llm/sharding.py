@@ -19,9 +19,10 @@ from .common import materialize
 BITS, STRETCH = 60, 12
 
 
-def hash_bits(doc_id: Column) -> Column:
-    """60 bits of the MD5 of the identifier as text, most significant first; null identifiers hash as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash_bits(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the identifier as text, most significant first; rows without an identifier hash by their text, so that they spread."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _prefix(bits: Column, depth: Column) -> Column:
@@ -34,12 +35,12 @@ def extendible_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ``shard`` is the bucket's prefix of hash bits, ``depth`` their number,
     ``shard_bytes`` its size. ``bytes`` is the size of the text in UTF-8, 0 for
     null. A document over the limit fills a bucket of its own (``page`` 0). Rows
-    of one identifier can't be told apart by bits: if they exceed the limit
+    of one identifier (or of none and one text) can't be told apart by bits: if they exceed the limit
     together, their bucket has overflow pages, filled in the order of size, each
     over the limit only by its last row; ``shard_bytes`` is then that of the
     whole bucket. An empty table gives an empty result.
     """
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), hash_bits(F.col(doc_id)).alias("bits")), "shard-sizes")
+    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), hash_bits(F.col(doc_id), F.col(text)).alias("bits")), "shard-sizes")
     waiting, done, begin = sized, [], 0
     while begin < BITS:
         end = min(begin + STRETCH, BITS)

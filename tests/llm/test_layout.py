@@ -119,10 +119,11 @@ def test_packing_round_trip(spark):
 
 @pytest.mark.parametrize("limit", [1 << 20, 2000, 300, 1])
 def test_shards_match_splitting(spark, limit):
-    rows = [(i, "x" * (i * 37 % 900)) for i in range(300)] + [(7, "again"), (7, "again"), (400, None), (401, ""), (402, "é" * 2000), (None, "nobody")]
+    rows = [(i, "x" * (i * 37 % 900)) for i in range(300)] + [(7, "again"), (7, "again"), (400, None), (401, ""), (402, "é" * 2000), (None, "nobody"), (None, "no other"), (None, None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, depth int")
     size = lambda t: len((t or "").encode())
-    bits = lambda i: format(int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16), "060b")  # noqa: E731, S324
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()  # noqa: E731, S324
+    bits = lambda i, t: format(int(md5("|" + md5(t or "") if i is None else str(i))[:15], 16), "060b")
     want = {}
 
     def split(part, prefix):
@@ -131,7 +132,7 @@ def test_shards_match_splitting(spark, limit):
             want.update({(i, size(t)): (prefix, total) for i, t in part})
             return
         for b in "01":
-            split([r for r in part if bits(r[0])[len(prefix)] == b], prefix + b)
+            split([r for r in part if bits(*r)[len(prefix)] == b], prefix + b)
 
     split(rows, "")
     got = extendible_shards(df, max_bytes=limit).collect()

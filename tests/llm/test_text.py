@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import pii
 from lodestone.llm.langid import PPMModel, identify_language, language_id
-from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.licenses import CUE, RESERVED, TEMPLATES, Templates, scan_licenses, statements, terms
 from lodestone.llm.sampling import labelled_sample
 from lodestone.llm.toxicity import chains, fit_crf, label_tokens, marginals, pair_marginals, score_toxicity, tokens_of, toxicity
 
@@ -410,3 +410,52 @@ def test_statements_are_not_overridden(spark):
     by = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert by["p/odd.txt"] == (None, "unknown")
     assert {k: by[f"p/n{k}.txt"] for k in named} == {k: (k, "header") for k in named}
+
+
+def test_cosines_match_a_plain_count():
+    model = Templates()
+    rows = [(name, terms(t)) for name in sorted(TEMPLATES) for t in TEMPLATES[name]]
+    df = {}
+    for _, found in rows:
+        for w in set(found):
+            df[w] = df.get(w, 0) + 1
+    idf = lambda w: np.log((1 + len(rows)) / (1 + df.get(w, 0))) + 1
+
+    def vector(found):
+        return {w: found.count(w) * idf(w) for w in set(found)}
+
+    def cosine(a, b):
+        dot = sum(x * b.get(w, 0.0) for w, x in a.items())
+        return dot / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    rng = np.random.default_rng(3)
+    pool = [w for ts in TEMPLATES.values() for t in ts for w in t.split()] + ["river", "Hund", "x1", "stone"] * 20
+    for _ in range(60):
+        text = " ".join(rng.choice(pool, int(rng.integers(1, 30))))
+        found = terms(text)
+        if not found:
+            continue
+        want = max((cosine(vector(found), vector(other)), name) for name, other in rows)
+        name, got = model.closest(text)
+        assert got == pytest.approx(want[0])
+        assert got == 0 or any(n == name and cosine(vector(found), vector(o)) == pytest.approx(got) for n, o in rows)
+    assert model.closest("") == (None, 0.0)
+
+
+def test_every_template_is_found(spark):
+    rows, want = [], {}
+    for name, texts in TEMPLATES.items():
+        for k, t in enumerate(texts):
+            rows.append((f"{name}-{k}/LICENSE", t))
+            want[f"{name}-{k}/LICENSE"] = t
+            assert CUE.search(t) or len(t) < 70, t
+    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    names = {}
+    for name, texts in TEMPLATES.items():
+        for t in texts:
+            names.setdefault(t, set()).add(name)
+    for path, t in want.items():
+        assert got[path][1] == "file", path
+        assert got[path][0] in names[t] or got[path][0] == RESERVED, (path, got[path])
+    long = "Some notice\n\n   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Everyone is permitted to copy and distribute verbatim copies. " * 400
+    assert max(Templates().closest(s)[1] for s in statements(long, whole=True)[0]) >= 0.5
