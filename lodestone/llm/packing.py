@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import islice
@@ -30,7 +32,7 @@ WORD_END = "</w>"
 #: The same split, for lower-cased texts of the characters of PLAIN alone; all other texts go through the tokenizer whole.
 PIECE_OF_CHUNK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 PLAIN = b"\t\n\r" + bytes(range(0x20, 0x7F)) + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])).encode("latin-1")
-MOST_CACHED = 300_000
+MOST_CACHED = 500_000
 
 
 def _is_plain(text: str) -> bool:
@@ -53,6 +55,8 @@ def _word_by_word(settings: dict) -> bool:
         and model.get("type") == "BPE"
         and model.get("end_of_word_suffix") == WORD_END
         and not model.get("dropout")
+        and array("I").itemsize == 4
+        and sys.byteorder == "little"
         and all("<|" in x["content"] for x in settings.get("added_tokens") or [])
     )
 
@@ -60,49 +64,51 @@ def _word_by_word(settings: dict) -> bool:
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of chunks between white space.
 
-    Where the vocabulary's settings allow, words that are met for the first time
-    are encoded together, and cut apart after each token that ends a word.
+    Where the vocabulary's settings allow, the words of a chunk that is met for
+    the first time go to the vocabulary's model one by one, their letters turned
+    into those that the vocabulary's own pre-tokenizer writes for their bytes.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.short = _word_by_word(json.loads(self.tokenizer.to_str()))
-        self.chunks: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.model = self.tokenizer.model
+        self.chunks = Chunks(self._chunk)
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {x: written.pre_tokenize_str(chr(x))[0][0] for x in range(0xC0, 0x100)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _words(self, words: list[str]):
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            raw = ids.tobytes()
-            if len(cuts) != len(some) + 1 or cuts[-1] != len(raw):  # not as expected: one by one
-                yield from zip(some, self._whole(some), strict=True)
-            else:
-                yield from zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._word(chunk) if chunk.isalpha() else b"".join(map(self._word, PIECE_OF_CHUNK.findall(chunk)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [t.lower().split() if self.short and _is_plain(t) else None for t in texts]
-        chunks = self.chunks
-        met = set().union(*filter(None, plain))
-        split = {c: PIECE_OF_CHUNK.findall(c) for c in met.difference(chunks)}
-        if len(chunks) + len(split) > MOST_CACHED:  # what this batch has is likely to come again
-            self.chunks = chunks = {c: chunks[c] for c in met.intersection(chunks)}
-        words = dict(self._words(list(set().union(*split.values()))))
-        for c, found in split.items():
-            chunks[c] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+        if len(self.chunks) > MOST_CACHED:  # the younger half stays
+            self.chunks = Chunks(self._chunk, islice(self.chunks.items(), len(self.chunks) // 2, None))
         rest = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if p is None]))
-        get = chunks.__getitem__
+        get = self.chunks.__getitem__
         return [next(rest) if p is None else b"".join(map(get, p)) for p in plain]
 
 
+class Chunks(dict):
+    """What stands between white space, to its ids; looked up where it is missing."""
+
+    def __init__(self, make, items=()) -> None:
+        super().__init__(items)
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = made = self.make(chunk)
+        return made
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
