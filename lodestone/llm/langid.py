@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, releasing
-from .sampling import labelled_sample
+from .sampling import draw, labelled_sample
 
 UNDETERMINED = "und"
 
@@ -162,7 +162,7 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", *, per_language: int = 300, max_bytes: int = 20_000, order: int = 3) -> PPMModel | None:
     """Fit on at most ``per_language`` labelled texts of at most ``max_bytes`` bytes for each language; None without any."""
     by: dict[str, list[bytes]] = {}
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("label"), F.col(text).alias("text"), F.octet_length(text).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("label"), F.col(text).alias("text"), F.octet_length(text).alias("size"), draw(doc_id, text).alias("draw"))
     for row in labelled_sample(rows, per_language, max_bytes):
         by.setdefault(row["label"], []).append(row["text"].lower().encode())
     return PPMModel.fit(by, order) if by else None

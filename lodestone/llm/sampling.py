@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, held_out, materialize
@@ -12,8 +12,13 @@ from .common import forget, held_out, materialize
 MARGIN = 4
 
 
+def draw(doc_id: str, text: str) -> Column:
+    """53 bits of a hash of identifier and text; to be taken where the texts are read, before any join."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 11)
+
+
 def labelled_sample(rows: DataFrame, per_label: int, max_bytes: int) -> list:
-    """At most ``per_label`` of ``rows(doc_id, label, text, size)`` for each label, the first in the order of a hash of identifier and text.
+    """At most ``per_label`` of ``rows(doc_id, label, text, size, draw)`` for each label, the first in the order of a hash of identifier and text.
 
     Held-out rows, null labels and texts, empty texts and texts of over
     ``max_bytes`` bytes are left out. Rows that repeat an identifier and a text
@@ -21,7 +26,6 @@ def labelled_sample(rows: DataFrame, per_label: int, max_bytes: int) -> list:
     never move.
     """
     able = rows.where(~held_out() & F.col("label").isNotNull() & F.col("doc_id").isNotNull() & F.col("size").between(1, max_bytes))
-    able = able.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11))
     draws = materialize(able.select("label", "draw"), "sample-draws")
     # the first hashes of a label lie below a threshold that follows from how many it has: only rows below it meet
     sizes = draws.groupBy("label").agg(F.approx_count_distinct("draw").alias("rows")).collect()  # bounded as the sample is: a row for each label

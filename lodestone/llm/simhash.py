@@ -158,7 +158,8 @@ def _starts(budget: int) -> list[int]:
     return [BITS * i // (budget + 1) for i in range(budget + 1)] + [BITS]
 
 
-def _joined(budget: int):
+def _joined(budget: int, most: int = 1 << 20):
+    """Components of each unit's subtrees; block values are gathered until they have ``most`` rows, so that a task holds no more than these and one value."""
     starts = _starts(budget)
 
     def run(batches):
@@ -175,16 +176,25 @@ def _joined(budget: int):
             back = _rotate(turned, BITS - starts[at[0]]) if starts[at[0]] else turned
             return pa.RecordBatch.from_arrays([pa.array(back[differ].view(np.int64)), pa.array(back[up[differ]].view(np.int64))], names=["a", "b"])
 
+        last, rows = None, 0
         for batch in batches:
-            turn, i, j = (batch.column(k).to_numpy() for k in range(3))
+            turn, i, j, value = (batch.column(k).to_numpy() for k in range(4))
             fps = batch.column(4).to_numpy().view(np.uint64)
             for lo, hi in _runs(turn, i, j):
                 key = (int(turn[lo]), int(i[lo]), int(j[lo]))
-                if held and key != at:
-                    yield close()
-                    held = []
-                at = key
-                held.append(fps[lo:hi])
+                while lo < hi:
+                    if held and (key != at or (rows >= most and value[lo] != last)):
+                        yield close()
+                        held, rows = [], 0
+                    at, end = key, hi
+                    if rows + hi - lo > most:  # the values that are still begun go in, the rest waits
+                        cut = lo + max(0, most - rows)
+                        more = np.flatnonzero(value[cut:hi] != (value[cut - 1] if cut > lo else last if held else value[lo]))
+                        end = cut + int(more[0]) if len(more) else hi
+                        end = max(end, lo + 1)
+                    held.append(fps[lo:end])
+                    rows += end - lo
+                    last, lo = value[end - 1], end
         if held:
             yield close()
 
@@ -203,7 +213,8 @@ def trie_links(fps: DataFrame, budget: int, max_group: int = 20_000) -> DataFram
 
     Fingerprints that agree on a block go to one task. A block value with more
     than ``max_group`` fingerprints is cut in slices, and each pair of slices is
-    a unit of its own, so that no task holds more than two slices.
+    a unit of its own; a task holds two slices, or as many whole block values as
+    make a million fingerprints.
     """
     starts = _starts(budget)
     block = [F.shiftrightunsigned(F.shiftleft("fp", starts[i]), BITS - (starts[i + 1] - starts[i])).alias("v") for i in range(budget + 1)]

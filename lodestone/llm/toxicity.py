@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, releasing
-from .sampling import labelled_sample
+from .sampling import draw, labelled_sample
 
 TOKEN = re.compile(r"[^\W\d_]+")
 SEGMENT = 64
@@ -214,7 +214,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_label: int = 1000, max_bytes: int = 20_000) -> CRF:
     """Fit on at most ``per_label`` labelled texts of each class, of at most ``max_bytes`` bytes; held-out rows and null labels aren't used."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text", F.octet_length("text").alias("size")).join(marked, "doc_id")
+    known = docs.select("doc_id", "text", F.octet_length("text").alias("size"), draw("doc_id", "text").alias("draw")).join(marked, "doc_id")
     rows = labelled_sample(known.withColumnRenamed("toxic", "label"), per_label, max_bytes)
     return fit_crf([(int(r["label"] == 1), r["text"]) for r in rows])
 

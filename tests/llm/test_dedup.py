@@ -118,6 +118,32 @@ def test_trie_links_in_slices(spark):
         assert {k: got.get(k, k) for k in keys} == want
 
 
+def test_block_values_in_portions():
+    import pyarrow as pa
+
+    from lodestone.llm.simhash import _joined
+
+    rng = np.random.default_rng(6)
+    rows = sorted((int(t), 0, 0, int(v), int(fp)) for t in range(2) for v in rng.integers(0, 12, 40) for fp in (int(v) << 52 | int(x) for x in rng.integers(0, 40, 4)))
+    rows = [(t, i, j, fp >> 52 if t == 0 else fp >> 40 & 4095, fp) for t, i, j, _, fp in rows]
+    rows.sort()
+    table = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 7], strict=True)], names=list("tijvf")) for k in range(0, len(rows), 7)]
+
+    def groups(most):
+        up = {}
+        find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+        for b in _joined(4, most)(iter(table)):
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p, q = find(x), find(y)
+                up[max(p, q)] = min(p, q)
+        return {x: find(x) for x in sorted(up)}
+
+    want = groups(1 << 20)
+    assert len(want) > 20
+    for most in (1, 5, 50):
+        assert groups(most) == want
+
+
 def test_simhash(spark):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(5, long), (3, long.replace("w7 ", "v7 ")), (9, long.upper()), (4, None), (2, " \n"), (8, "one two"), (None, "one  two"), (6, "other words are here now"), (6, "other words are here now")]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import pii
 from lodestone.llm.langid import PPMModel, identify_language, language_id
 from lodestone.llm.licenses import CUE, RESERVED, TEMPLATES, Templates, scan_licenses, statements, terms
-from lodestone.llm.sampling import labelled_sample
+from lodestone.llm.sampling import draw, labelled_sample
 from lodestone.llm.toxicity import chains, fit_crf, label_tokens, marginals, pair_marginals, score_toxicity, tokens_of, toxicity
 
 KEY = "k"
@@ -330,7 +330,7 @@ def test_held_out_labels_change_nothing(spark):
 
 def test_sample_of_repeated_rows(spark):
     rows = [(1, "same text", "a")] * 3000 + [(1, f"text {i}", "b") for i in range(3000)] + [(4, "one", "c"), (1, None, "c"), (1, "", "c"), (None, "x", "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, label string").withColumn("size", F.octet_length("text"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string").withColumns({"size": F.octet_length("text"), "draw": draw("doc_id", "text")})
     assert not held(1) and not held(4)
     got = labelled_sample(df, 100, 1000)
     by = {k: [r for r in got if r["label"] == k] for k in "abc"}
