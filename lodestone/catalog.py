@@ -17,6 +17,7 @@ from lodestone.operators import chunking as C
 from lodestone.operators import evaluation as E
 from lodestone.operators import leaderboard as L
 from lodestone.operators import retrieval as R
+from lodestone.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -214,15 +215,16 @@ d AS (SELECT query_id, predicted::VARCHAR AS predicted, total, predicted_count,
 routes AS (SELECT * EXCLUDE (failed), CASE WHEN failed = '' THEN 'thresholds_satisfied' ELSE failed END AS reason, failed = '' AS accepted FROM d)"""
 
 
-def _routes(spark, sf_dir) -> DataFrame:
+def _routes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The global probe, made once for all that reads it, and the decisions on it."""
     q, v = _vectors(spark, sf_dir)
-    probe = R.dense_top_k(q.drop("predicted"), v, 20)
-    return R.routing_decision(R.probe_support(probe, q.select("query_id", "predicted")), 0.15, 3, 0)
+    probe = stored(R.dense_top_k(q.drop("predicted"), v, 20), "probe")
+    return probe, R.routing_decision(R.probe_support(probe, q.select("query_id", "predicted")), 0.15, 3, 0)
 
 
 @query(f"{_PROBE} SELECT * FROM routes")
 def rt15_probe_routing(spark, sf_dir):
-    return _routes(spark, sf_dir).select("query_id", "predicted", "total", "predicted_count", six("share").alias("share"), "rival_count", "margin", "reason", "accepted")
+    return _routes(spark, sf_dir)[1].select("query_id", "predicted", "total", "predicted_count", six("share").alias("share"), "rival_count", "margin", "reason", "accepted")
 
 
 @query(f"""{_PROBE}
@@ -230,9 +232,10 @@ SELECT query_id, item_id, round(score, 6) AS score, crank AS rank, 'category' AS
 UNION ALL SELECT query_id, item_id, round(score, 6), rank, 'global', 'not_routed' FROM r JOIN routes USING (query_id) WHERE NOT accepted AND rank <= 5""")
 def rt17_adaptive_routing(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
-    routes = _routes(spark, sf_dir).select("query_id", F.col("accepted").alias("routed"))
+    probe, routes = _routes(spark, sf_dir)
+    routes = routes.select("query_id", F.col("accepted").alias("routed"))
     own = R.dense_top_k(q.withColumnRenamed("predicted", "category"), v, 5, within="category")
-    out = R.category_or_global(own, R.dense_top_k(q.drop("predicted"), v, 5), routes)
+    out = R.category_or_global(own, probe.where("rank <= 5"), routes)
     return out.select("query_id", "item_id", six("score").alias("score"), F.col("rank").cast(LONG).alias("rank"), "retrieval_mode", "fallback_reason")
 
 
