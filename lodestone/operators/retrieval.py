@@ -167,7 +167,9 @@ class TextIndex:
         base = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
         wanted = None if only is None else [r[0] for r in only.limit(most + 1).collect()]  # bounded
         if wanted is not None and len(wanted) <= most:
-            found = F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+            # one expression as text: columns for thousands of literals take seconds to make
+            listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in wanted)
+            found = F.expr(f"filter(tokens, t -> t IN ({listed}))") if wanted else F.array().cast("array<string>")
             base = stored(base.select("item_id", "dl", found.alias("tokens")), "index")
         totals = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         found = base.select("item_id", "dl", F.explode("tokens").alias("term"))
