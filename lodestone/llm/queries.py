@@ -69,6 +69,12 @@ def op9_license_scan(spark, sf_dir):
     return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
 
 
+def op13_embedding_whitening(spark, sf_dir):
+    from .whitening import embedding_whitening
+
+    return embedding_whitening(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +88,7 @@ QUERIES = {
         op8_language_id,
         op9_license_scan,
         op10_mix_sources,
+        op13_embedding_whitening,
     )
 }
 
