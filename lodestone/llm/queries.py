@@ -69,6 +69,18 @@ def op9_license_scan(spark, sf_dir):
     return found.withColumn("doc_id", F.substring_index("path", "/", -1).cast("long"))
 
 
+def op11_line_quality(spark, sf_dir):
+    from .line_quality import line_quality
+
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
 def op13_embedding_whitening(spark, sf_dir):
     from .whitening import embedding_whitening
 
@@ -88,6 +100,8 @@ QUERIES = {
         op8_language_id,
         op9_license_scan,
         op10_mix_sources,
+        op11_line_quality,
+        op12_source_divergence,
         op13_embedding_whitening,
     )
 }
@@ -154,4 +168,35 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)
     """,
+    "op12_source_divergence": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), found AS (
+            SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS df FROM found GROUP BY lang, source, term
+        ), kept AS (
+            SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term HAVING sum(df) >= 3
+        ), langs AS (
+            SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+        ), groups AS (
+            SELECT lang, source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts c USING (lang, source) LEFT JOIN kept k USING (lang, term) GROUP BY lang, source
+        ), shares AS MATERIALIZED (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.v)) AS p, (1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v)) AS q
+            FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), made AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT s.lang, s.source, t.source AS item, sum(((s.p - t.p) * (s.p - t.p)) // t.p) AS value FROM shares s JOIN shares t ON s.lang = t.lang AND s.term = t.term GROUP BY s.lang, s.source, t.source
+            ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM made
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
