@@ -12,7 +12,9 @@ adds the same to every pair.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,38 +29,31 @@ TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Rows and cells in a row of the sketch, and the cells that travel together.
 DEPTH, WIDTH, BLOCK = 4, 1 << 19, 1 << 15
 #: Distinct terms that a task holds before it gives them on; bytes of a text that are cut at once.
-HELD, SLICE = 200_000, 1 << 22
+HELD, SLICE = 400_000, 1 << 22
 #: Parts of a probability of 1 (fixed value).
 UNIT = 1_000_000_000
 
 
-def count_terms(text: bytes) -> Counter:
-    """How often each term stands in a text; long texts are cut slice by slice, between terms."""
-    if len(text) <= SLICE:
-        return Counter(TERM.findall(text.lower()))
-    out: Counter = Counter()
+def found_terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in order; long texts are cut slice by slice, between terms."""
     at = 0
     while at < len(text):
         end = min(at + SLICE, len(text))
         if end < len(text) and (last := TERM.match(text, end)) and TERM.match(text, end - 1):
             end = last.end()
-        out.update(TERM.findall(text[at:end].lower()))
+        yield TERM.findall(text[at:end].lower() if at or end < len(text) else text.lower())
         at = end
-    return out
 
 
-def cells(keys: list[bytes], width: int) -> np.ndarray:
-    """The cell of each key in each row of the sketch, rows one after the other: ``DEPTH x keys``."""
-    first = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+def cells(lang: bytes, terms: Iterable[bytes], width: int) -> np.ndarray:
+    """The cell of each term of a language in each row of the sketch, rows one after the other: ``DEPTH x terms``."""
+    seed = xxhash.xxh32_intdigest(lang)
+    first = np.array([xxhash.xxh64_intdigest(t, seed) for t in terms], np.uint64)
     # two independent halves give every row its own cell
     a, b = (first >> np.uint64(32)).astype(np.int64), (first & np.uint64(0xFFFFFFFF)).astype(np.int64) | 1
     return np.stack([(a + row * b) % width + row * width for row in range(DEPTH)])
 
 
-def _key(lang: bytes, term: bytes) -> bytes:
-    return lang + b"\x00" + term  # no term has this byte
-
-
 def document_frequency_sketch(texts: DataFrame, least: int, width: int = WIDTH) -> bytes:
     """A count-min sketch of the document frequencies of ``texts(lang, source, text)``, all binary, by language and term.
 
@@ -72,22 +67,27 @@ def document_frequency_sketch(texts: DataFrame, least: int, width: int = WIDTH)
     def sketch(batches):
         table = np.zeros(blocks * BLOCK, np.uint8)
 
-        def add(seen: Counter):
-            if not seen:
-                return
-            at, n = cells(list(seen), width), np.minimum(np.fromiter(seen.values(), np.int64, len(seen)), least)
-            for row in at:
-                where, which = np.unique(row, return_inverse=True)
-                table[where] = np.minimum(table[where] + np.bincount(which, n), least).astype(np.uint8)
-            seen.clear()
-
-        seen: Counter = Counter()
+        def add(held: dict[bytes, Counter]):
+            for lang, seen in held.items():
+                at = cells(lang, seen, width)
+                n = np.minimum(np.fromiter(seen.values(), np.int64, len(seen)), least)
+                for row in at:
+                    where, which = np.unique(row, return_inverse=True)
+                    table[where] = np.minimum(table[where] + np.bincount(which, n), least).astype(np.uint8)
+            held.clear()
+
+        held: dict[bytes, Counter] = defaultdict(Counter)
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                seen.update([_key(lang, t) for t in count_terms(text.as_py())])
-                if len(seen) >= HELD:
-                    add(seen)
-        add(seen)
+                seen = held[lang]
+                size -= len(seen)
+                seen.update(set().union(*found_terms(text.as_py())))
+                size += len(seen)
+                if size >= HELD:
+                    add(held)
+                    size = 0
+        add(held)
         some = [b for b in range(blocks) if table[b * BLOCK : (b + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in some], pa.binary())], names=["block", "cells"])
 
@@ -113,32 +113,33 @@ def surviving_counts(texts: DataFrame, sketch: bytes, least: int, width: int = W
 
     def run(batches):
         table = np.frombuffer(shared.value, np.uint8)
-        kept: dict[bytes, bool] = {}
-        found: dict[tuple, list[int]] = {}
+        df: dict[tuple, Counter] = defaultdict(Counter)
+        n: dict[tuple, Counter] = defaultdict(Counter)
 
         def give():
-            names = list(zip(*found, strict=True)) or [[], [], []]
-            df, n = (pa.array([x[k] for x in found.values()], pa.int64()) for k in (0, 1))
-            found.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in names), df, n], names=["lang", "source", "term", "df", "n"])
-
+            for (lang, source), seen in df.items():
+                some = table[cells(lang, seen, width)].min(0) >= least if seen else []
+                terms = list(compress(seen, some))
+                all_n = n[lang, source]
+                columns = [pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()), pa.array([seen[t] for t in terms], pa.int64()), pa.array([all_n[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "df", "n"])
+            df.clear()
+            n.clear()
+
+        size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                terms = count_terms(text.as_py())
-                keys = [_key(lang, t) for t in terms]
-                if new := [k for k in keys if k not in kept]:
-                    if len(kept) > 4 * HELD:
-                        kept.clear()
-                        new = keys
-                    kept.update(zip(new, (table[cells(new, width)].min(0) >= least).tolist(), strict=True))
-                for k, (t, n) in zip(keys, terms.items(), strict=True):
-                    if kept[k]:
-                        x = found.setdefault((lang, source, t), [0, 0])
-                        x[0] += 1
-                        x[1] += n
-                if len(found) >= HELD:
-                    yield give()
-        yield give()
+                seen, all_n, own = df[lang, source], n[lang, source], set()
+                size -= len(seen)
+                for found in found_terms(text.as_py()):
+                    all_n.update(found)
+                    own.update(found)
+                seen.update(own)
+                size += len(seen)
+                if size >= HELD:
+                    yield from give()
+                    size = 0
+        yield from give()
 
     return texts.mapInArrow(releasing(run), "lang binary, source binary, term binary, df long, n long")
 

@@ -10,12 +10,16 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import divergence
-from lodestone.llm.divergence import count_terms, document_frequency_sketch, source_divergence
+from lodestone.llm.divergence import document_frequency_sketch, found_terms, source_divergence
 from lodestone.llm.queries import ORACLE_SQL, QUERIES
 
 ROWS = "doc_id long, text string, lang string, source string, term string, p long, df int"
 
 
+def count_terms(text):
+    return Counter(t for found in found_terms(text) for t in found)
+
+
 def frame(spark, rows):
     """With further columns whose names clash with inner ones."""
     return spark.createDataFrame([(i, t, la, s, "t", 1, 2) for i, (t, la, s) in enumerate(rows)], ROWS)
@@ -78,7 +82,7 @@ def test_sketch_never_underestimates(spark):
     table = document_frequency_sketch(texts, 3, 256)
     df = Counter(t for text, _, _ in rows for t in set(count_terms(text.encode())))
     keys = list(df)
-    at = divergence.cells([divergence._key(b"en", k) for k in keys], 256)
+    at = divergence.cells(b"en", keys, 256)
     for j, k in enumerate(keys):
         assert min(table[c] for c in at[:, j]) >= min(df[k], 3)
 
