@@ -315,8 +315,7 @@ def ch14_markdown_sections(spark, sf_dir):
     """Every document twice, under two headings: whatever headings it has itself are sections too."""
     made = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n## a\n"), "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
-    rows = C.chunk_documents(docs, lambda t: ((s, e, title, str(level), False) for s, e, title, level in C.markdown_sections(t)))
-    return rows.select("doc_id", "start", "end", F.col("kind").cast(LONG).alias("level"))
+    return C.markdown_sections(docs).select("doc_id", "start", "end", F.col("level").cast(LONG).alias("level"))
 
 
 @query(r"""

@@ -207,7 +207,7 @@ b AS (SELECT doc_id, s, text[s + 1:e] AS body FROM w)
 SELECT doc_id, s + length(body) - length(regexp_replace(body, '^\s+', '')) AS start, regexp_replace(regexp_replace(body, '^\s+', ''), '\s+$', '') AS text FROM b WHERE regexp_matches(body, '\S')""")
 def ch18_token_ranges(spark, sf_dir):
     """Characters as tokens: what a range covers is the text it stands for."""
-    chunk = lambda t: C.token_char_ranges(t, 50, 10, list, "".join)
+    chunk = lambda t: C.token_char_ranges(t, 50, 10, lambda x: [(i, i + 1) for i in range(len(x))])
     return C.chunk_documents(table(spark, sf_dir, "documents"), chunk).select("doc_id", "start", "text")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text, search_tokens
+from lodestone.operators.intervals import map_to_parents, span_overlaps  # noqa: F401 (part of this module's interface)
+from lodestone.operators.patterns import containing, mentioned_values  # noqa: F401 (likewise)
 from lodestone.session import stored
 
 #: Decimals that scores are compared with, so that orders don't hang on the order of additions.
@@ -30,19 +32,16 @@ def top_k(scored: DataFrame, k: int, by: str = "score", query: str = "query_id",
 # ---- dense ----
 
 
-#: Rows of a block of queries and of a block of vectors.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+#: Rows of a block of queries and of a block of vectors, and bytes of doubles that either may have.
+QUERY_BLOCK, VECTOR_BLOCK, BLOCK_BYTES = 4096, 65_536, 64 << 20
+#: Rows of a table of block counts that is broadcast; more are joined by a shuffle.
+MOST_UNITS = 100_000
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a list column that are vectors of the commonest length, as a matrix, and where they are."""
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    some = sizes[sizes > 0]
-    dim = int(np.bincount(some).argmax()) if len(some) else 0
-    at = np.flatnonzero(sizes == dim) if dim else np.zeros(0, np.int64)
-    flat = column.take(pa.array(at)).flatten()
-    x = pc.fill_null(flat.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False).reshape(len(at), dim)
-    return x, at
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a list column, all of one length, as a matrix; null entries are NaN."""
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
 def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -66,15 +65,11 @@ def _block_top_k(k: int, metric: str, n_keys: int):
     def best(queries: list, vectors: list):
         ids, held = pa.concat_arrays([x for x, _ in queries]), pa.concat_arrays([x for _, x in queries])
         items, column = pa.concat_arrays([x for x, _ in vectors]), pa.concat_arrays([x for _, x in vectors])
-        q, q_at = _matrix(held)
-        v, v_at = _matrix(column)
+        q, v = _matrix(held), _matrix(column)
         rank = np.argsort(pc.sort_indices(items).to_numpy())  # places in the order of identifiers, for ties
         query, item, score = [], [], []
         for lo in range(0, len(ids), 64):
-            scores = np.zeros((min(64, len(ids) - lo), len(items)))  # what can't be compared has 0
-            mine = np.flatnonzero((q_at >= lo) & (q_at < lo + 64))
-            if len(mine) and len(v_at) and q.shape[1] == v.shape[1]:
-                scores[np.ix_(q_at[mine] - lo, v_at)] = _scores(q[mine], v, metric)
+            scores = _scores(q[lo : lo + 64], v, metric)
             rounded = -np.round(np.nan_to_num(scores, nan=-np.inf), PLACES)
             for r in range(len(scores)):
                 few = np.arange(len(items))
@@ -118,29 +113,44 @@ def _block_top_k(k: int, metric: str, n_keys: int):
     return run
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", within: str | None = None) -> DataFrame:
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", within: str | list[str] | None = None) -> DataFrame:
     """The ``k`` best of ``vectors(item_id, vector, ...)`` for each of a stated set ``queries(query_id, query_vector, ...)``.
 
     Both sides are cut in blocks, and each pair of blocks is one matrix product
     that gives up all but the best of each query; pairs of rows never exist.
-    ``within`` is a column of both sides that must be equal. ``metric`` is
-    ``cosine`` (0 for null, empty, unequal or zero vectors), ``dot`` or ``l2``
-    (negative distances, so that more is always better). Further columns of the
-    vectors are joined to the hits.
+    ``within`` names columns of both sides that must be equal and not null; each
+    of their values has blocks of its own, and vectors of values that no query
+    has move nowhere. Only vectors of a query's length are compared with it:
+    null and empty ones, and queries without a vector, have no hits. ``metric``
+    is ``cosine`` (0 for zero vectors), ``dot`` or ``l2`` (negative distances, so
+    that more is always better). Further columns of the vectors are joined to
+    the hits.
     """
-    n_queries, n_vectors = (-(-t.count() // most) or 1 for t, most in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
-    value = [F.col(within).cast("string").alias("value")] if within else []
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    doubles = lambda c: F.col(c).cast("array<double>").alias("x")
-    empty = {c: F.lit(None).cast(t.schema[c].dataType) for t, c in ((queries, "query_id"), (vectors, "item_id"))}
-    asked = queries.select(*value, block("query_id", n_queries).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1))).alias("j"), F.lit(0).alias("side"), "query_id", empty["item_id"].alias("item_id"), doubles("query_vector"))
-    given = vectors.select(*value, F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("i"), block("item_id", n_vectors).alias("j"), F.lit(1).alias("side"), empty["query_id"].alias("query_id"), "item_id", doubles("vector"))
-    if within:
-        asked, given = asked.where("value is not null"), given.where("value is not null")
-    keys = [*(["value"] if within else []), "i", "j"]
-    units = asked.unionAll(given).repartition(*keys).sortWithinPartitions(*keys, "side")
+    named = [within] if isinstance(within, str) else list(within or ())
+    values = [F.col(c).cast("string").alias(f"value{n}") for n, c in enumerate(named)]
+    keys = [*(f"value{n}" for n in range(len(named))), "dim"]
+
+    def side(rows: DataFrame, name: str, vector: str) -> DataFrame:
+        made = rows.select(*values, name, F.col(vector).cast("array<double>").alias("x")).withColumn("dim", F.size("x")).where("dim > 0")
+        return made.dropna(subset=keys)
+
+    def cut(rows: DataFrame, most: int, name: str) -> DataFrame:
+        fit = F.greatest(F.lit(1), F.least(F.lit(most), F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+        return rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.ceil(F.col("n") / F.floor(fit)).cast("int").alias(name))
+
+    asked, given = side(queries, "query_id", "query_vector"), side(vectors, "item_id", "vector")
+    counts = stored(cut(asked, QUERY_BLOCK, "n_i").join(cut(given, VECTOR_BLOCK, "n_j"), keys), "blocks")
+    if counts.count() <= MOST_UNITS:
+        counts = F.broadcast(counts)  # counted
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    empty = {c: F.lit(None).cast(t.schema[c].dataType).alias(c) for t, c in ((queries, "query_id"), (vectors, "item_id"))}
+    left = asked.join(counts, keys).select(*keys, block("query_id", "n_i").alias("i"), copies("n_j").alias("j"), F.lit(0).alias("side"), "query_id", empty["item_id"], "x")
+    right = given.join(counts, keys).select(*keys, copies("n_i").alias("i"), block("item_id", "n_j").alias("j"), F.lit(1).alias("side"), empty["query_id"], "item_id", "x")
+    unit = [*keys, "i", "j"]
+    units = left.unionAll(right).repartition(*unit).sortWithinPartitions(*unit, "side")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
-    hits = top_k(units.mapInArrow(_block_top_k(k, metric, len(keys)), kinds), k)
+    hits = top_k(units.mapInArrow(_block_top_k(k, metric, len(unit)), kinds), k)
     more = [c for c in vectors.columns if c not in ("item_id", "vector")]
     return hits.join(vectors.select("item_id", *more), "item_id") if more else hits
 
@@ -253,41 +263,6 @@ def select_unique(ranked: DataFrame, k: int, rerank_top_k: int) -> DataFrame:
 # ---- metadata ----
 
 
-def mentioned_values(queries: DataFrame, values: DataFrame) -> DataFrame:
-    """``(query_id, mentioned)``: the known ``values(value)`` that a question contains, both normalised.
-
-    A question that contains a value contains its first three characters: the
-    two sides meet by these, and only pairs that do are compared.
-    """
-    known = values.select(normalize_text(F.col("value")).alias("value")).where("value is not null").distinct().withColumn("gram", F.substring("value", 1, 3))
-    asked = queries.select("query_id", normalize_text(F.col("question")).alias("question"))
-    sizes = [r[0] for r in known.select(F.length("gram")).distinct().collect()]  # at most 1, 2 and 3
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("question"), F.lit(1))), lambda i: F.substring(F.col("question"), i, F.lit(n))) for n in sizes])) if sizes else F.array().cast("array<string>")  # noqa: B023
-    met = asked.select("query_id", "question", F.explode(F.array_distinct(grams)).alias("gram")).join(known, "gram").where(F.col("question").contains(F.col("value")))
-    found = met.groupBy("query_id").agg(F.array_sort(F.collect_set("value")).alias("mentioned"))
-    none = F.array().cast("array<string>")
-    return queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("mentioned", none).alias("mentioned"))
-
-
-def containing(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """``(text_id, passage_id)`` of the ``texts(text_id, text)`` that contain a passage of ``passages(passage_id, passage)`` word for word.
-
-    A word inside a passage, with others on both sides, stands whole in every
-    text that contains it. The two sides meet by the longest such word, which is
-    likely to be rare, and only pairs that do are compared. Passages of one or
-    two words have none and are compared with every text.
-    """
-    words = search_tokens(F.col("passage"))
-    inner = F.when(F.size(words) > 2, F.array_max(F.transform(F.slice(words, F.lit(2), F.size(words) - 2), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    keyed = passages.select("passage_id", "passage", inner.alias("word"))
-    found = texts.select("text_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("word")).join(keyed.where("word is not null").select("passage_id", "word"), "word")
-    pairs = texts.join(found.select("text_id", "passage_id"), "text_id").join(passages, "passage_id").where(F.col("text").contains(F.col("passage"))).select("text_id", "passage_id")
-    short = keyed.where("word is null and passage is not null")
-    if short.isEmpty():
-        return pairs
-    return pairs.unionByName(texts.join(short, F.col("text").contains(F.col("passage"))).select("text_id", "passage_id"))
-
-
 def metadata_boost(parts: dict[str, tuple[Column, float]]) -> Column:
     """Map of the boosts whose condition holds and whose weight isn't 0."""
     pairs = [F.when(F.coalesce(hit, F.lit(False)) & F.lit(w != 0), F.struct(F.lit(name).alias("key"), F.lit(float(w)).alias("value"))) for name, (hit, w) in parts.items()]
@@ -370,34 +345,6 @@ def category_or_global(category_hits: DataFrame, global_hits: DataFrame, routes:
 # ---- parents, budgets, parity ----
 
 
-def map_to_parents(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """The section of each chunk: the deepest that contains it, else that with the largest overlap, else none.
-
-    ``chunks(doc_id, item_id, start, end)``, ``sections(doc_id, parent_id, s_start, s_end, level, ordinal)``.
-    """
-    met = chunks.join(sections, "doc_id", "left")
-    overlap = F.greatest(F.lit(0), F.least("end", "s_end") - F.greatest("start", "s_start"))
-    inside = (F.col("s_start") <= F.col("start")) & (F.col("s_end") >= F.col("end"))
-    met = met.withColumns({"overlap": F.coalesce(overlap, F.lit(0)), "inside": F.coalesce(inside, F.lit(False))})
-    span = F.col("s_end") - F.col("s_start")
-    order = Window.partitionBy("doc_id", "item_id").orderBy(
-        F.col("inside").desc(), F.when(F.col("inside"), -F.col("level")).otherwise(-F.col("overlap")), F.when(F.col("inside"), span).otherwise(-F.col("level")), "ordinal"
-    )
-    best = met.withColumn("n", F.row_number().over(order)).where("n = 1")
-    kind = F.when(F.col("inside"), "contained").when(F.col("overlap") > 0, "overlap").otherwise("fallback")
-    return best.select("doc_id", "item_id", F.when(kind != "fallback", F.col("parent_id")).alias("parent_id"), kind.alias("mapping"))
-
-
-def span_overlaps(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Evidence spans and the chunks that they touch, with coverage of both; ``is_primary`` marks the best of a span."""
-    met = spans.join(chunks, "doc_id").where((F.col("s_start") < F.col("end")) & (F.col("start") < F.col("s_end")))
-    overlap = F.least("s_end", "end") - F.greatest("s_start", "start")
-    met = met.withColumn("overlap", overlap)
-    met = met.withColumns({"evidence_coverage": F.round(F.col("overlap") / (F.col("s_end") - F.col("s_start")), 6), "chunk_coverage": F.round(F.col("overlap") / (F.col("end") - F.col("start")), 6)})
-    order = Window.partitionBy("span_id").orderBy(F.col("overlap").desc(), F.col("evidence_coverage").desc(), "item_id")
-    return met.withColumn("is_primary", F.row_number().over(order) == 1)
-
-
 def within_budget(contexts: DataFrame, max_chars: int, max_words: int, query: str = "query_id") -> DataFrame:
     """Ranked contexts while their running sums fit; what comes after the first that doesn't is cut. Blank ones are skipped."""
     some = contexts.where(F.trim("text") != "").withColumns({"chars": F.length("text").cast("bigint"), "words": F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint")})

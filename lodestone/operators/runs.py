@@ -289,11 +289,15 @@ def annotation_summary(gold: DataFrame, question: str, chunk: str, span: str) ->
 # ---- checks ----
 
 
-def chunk_config(name: Column) -> Column:
-    """Strategy, size and overlap that a chunk configuration's name tells."""
+#: What in the name of a chunk configuration tells its strategy.
+STRATEGIES = {"character": "character", "sentence": "sentence", "fixed": "fixed_token"}
+
+
+def chunk_config(name: Column, strategies: dict[str, str] = STRATEGIES) -> Column:
+    """Strategy, size and overlap that a chunk configuration's name tells: the first of ``strategies`` that it contains, and the numbers after ``sentence`` or ``fixed`` and ``overlap``."""
     low = F.lower(name)
     number = lambda pattern: F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).cast("int")
-    strategy = F.when(low.contains("sivas_character"), "sivas_character").when(low.contains("sentence"), "sentence").when(low.contains("fixed"), "fixed_token")
+    strategy = F.coalesce(*[F.when(low.contains(part), told) for part, told in strategies.items()])
     return F.struct(strategy.alias("strategy"), F.coalesce(number(r"sentence(\d+)"), number(r"fixed(\d+)")).alias("chunk_size"), number(r"overlap_?(\d+)").alias("chunk_overlap"))
 
 

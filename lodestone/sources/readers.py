@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import first_truthy
@@ -12,33 +12,55 @@ FORBIDDEN = ("program_answer", "original_answer", "answer", "ground_truth_answer
 DOCUMENT_FIELDS = "doc_key string, doc_id string, document_id string, id string, context_id string, original_context_id string, text string, context string, doc_name string, kategorie string, wissensart string, titel string, quellpfad string, sprache string, content_hash string, ingestion_version string"
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Parsed lines with ``line`` and ``bad``; the byte order mark and blank lines are dropped.
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, line, value``: every line of text files with its number in its file, from 1.
 
-    Lines are numbered within their file by an id that grows with the position.
+    Files of any size are read in blocks by many tasks. A line's number is its
+    place in its block and the lines of the blocks before, which are counted by
+    a scan of their own. The byte order mark of a file's first line is dropped,
+    and only that one; blank lines count.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("position"))
+    # ids grow by one with each line of a task, and a block is read by one task, in order
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = read.join(starts, ["file", "block"]).withColumn("line", F.col("id") + F.col("shift"))
+    return lines.select("file", "line", F.when(F.col("line") == 1, F.regexp_replace("value", "^\uFEFF", "")).otherwise(F.col("value")).alias("value"))
+
+
+def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """``file, number, line, row, bad``: parsed lines, with their numbers in their files; blank ones are left out."""
+    lines = numbered_lines(spark, path).select("file", F.col("line").alias("number"), F.col("value").alias("line"))
     rows = lines.where(F.trim("line") != "").withColumn("row", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
     whole = F.try_parse_json("line")
     return rows.withColumn("bad", whole.isNull() | (F.schema_of_variant(whole).startswith("OBJECT") == F.lit(False)))
 
 
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
-    """Rows as they are; a row that isn't ``ok`` fails the job where it is read."""
-    return df.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+    """Rows as they are; a row that isn't ``ok`` fails the job where it is read. Rows with ``file`` and ``number`` are told by these."""
+    said = F.concat(F.col("file"), F.lit(":"), F.col("number"), F.lit(f": {message}")) if {"file", "number"} <= {*df.columns} else F.lit(message)
+    return df.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def require_rows(df: DataFrame, message: str) -> DataFrame:
+    """``df``; an error if it has no row."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
 
 
 def read_documents(spark: SparkSession, path: str, generic: bool = False) -> DataFrame:
-    """``document_id, text, original_context_id, metadata`` from a knowledge base of JSON lines."""
-    rows = require(json_lines(spark, path, DOCUMENT_FIELDS), ~F.col("bad"), f"{path}: a line isn't a JSON object").select("row.*")
+    """``document_id, text, original_context_id, metadata`` from a knowledge base of JSON lines; errors name file and line."""
+    rows = require(json_lines(spark, path, DOCUMENT_FIELDS), ~F.col("bad"), "the line isn't a JSON object").select("file", "number", "row.*")
     if generic:
         context = first_truthy(F.col("context_id"), F.col("original_context_id"))
-        out = rows.select(first_truthy(F.col("document_id"), F.col("id"), context).alias("document_id"), first_truthy(F.col("context"), F.col("text")).alias("text"), context.alias("original_context_id"), F.struct(*[F.col(c) for c in ("doc_name",)]).alias("metadata"))
+        out = [first_truthy(F.col("document_id"), F.col("id"), context).alias("document_id"), first_truthy(F.col("context"), F.col("text")).alias("text"), context.alias("original_context_id"), F.struct(*[F.col(c) for c in ("doc_name",)]).alias("metadata")]
     else:
         key = first_truthy(F.col("doc_key"), F.col("doc_id"))
         named = F.struct("doc_id", "doc_key", "doc_name", "kategorie", "wissensart", "titel", "quellpfad", "sprache", "content_hash", "ingestion_version", F.col("doc_name").alias("file_name"), first_truthy(F.col("quellpfad"), F.col("doc_name")).alias("source_file"))
-        out = rows.select(key.alias("document_id"), "text", key.alias("original_context_id"), named.alias("metadata"))
-    return require(out, F.col("document_id").isNotNull() & (F.trim("text") != ""), f"{path}: a document has no identifier or no text")
+        out = [key.alias("document_id"), "text", key.alias("original_context_id"), named.alias("metadata")]
+    return require(rows.select("file", "number", *out), F.col("document_id").isNotNull() & (F.trim("text") != ""), "the document has no identifier or no text").drop("file", "number")
 
 
 def read_text_folder(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bool = True) -> DataFrame:
@@ -53,20 +75,20 @@ def read_text_folder(spark: SparkSession, path: str, pattern: str = "*.txt", rec
 
 def read_questions(spark: SparkSession, path: str, id_field: str = "question_id", question_field: str = "frage", allow_unsafe: bool = False) -> DataFrame:
     """``question_id, question``; answer-bearing fields, blanks and repeated ids are errors."""
-    rows = json_lines(spark, path, f"`{id_field}` string, `{question_field}` string")
-    rows = require(rows, ~F.col("bad"), f"{path}: a line isn't a JSON object")
+    rows = require(json_lines(spark, path, f"`{id_field}` string, `{question_field}` string"), ~F.col("bad"), "the line isn't a JSON object")
     if not allow_unsafe:
-        rows = require(rows, ~F.coalesce(F.arrays_overlap(F.json_object_keys("line"), F.array(*map(F.lit, FORBIDDEN))), F.lit(False)), f"{path}: a question carries answers")
-    out = rows.select(F.trim(F.col(f"row.{id_field}")).alias("question_id"), F.trim(F.col(f"row.{question_field}")).alias("question"))
-    out = require(out, (F.col("question_id") != "") & (F.col("question") != ""), f"{path}: a question has no id or no text")
-    again = out.groupBy("question_id").agg(F.count("*").alias("n"), F.first("question").alias("question"))
-    return require(again, F.col("n") == 1, f"{path}: a question id is repeated").select("question_id", "question")
+        rows = require(rows, ~F.coalesce(F.arrays_overlap(F.json_object_keys("line"), F.array(*map(F.lit, FORBIDDEN))), F.lit(False)), "the question carries answers")
+    out = rows.select("file", "number", F.trim(F.col(f"row.{id_field}")).alias("question_id"), F.trim(F.col(f"row.{question_field}")).alias("question"))
+    out = require(out, (F.col("question_id") != "") & (F.col("question") != ""), "the question has no id or no text")
+    again = out.groupBy("question_id").agg(F.count("*").alias("n"), F.min(F.struct("file", "number", "question")).alias("first"))
+    repeated = F.concat(F.col("first.file"), F.lit(":"), F.col("first.number"), F.lit(": the question id is repeated"))
+    return again.where(F.when(F.col("n") == 1, True).otherwise(F.raise_error(repeated).cast("boolean"))).select("question_id", F.col("first.question").alias("question"))
 
 
 def read_gold_chunks(spark: SparkSession, path: str) -> DataFrame:
     """``(question_id, chunk_id)``, trimmed and distinct; repeated questions are united."""
     rows = json_lines(spark, path, "question_id string, chunk_config_id string, gold_relevant_chunk_ids array<string>")
-    rows = require(rows, ~F.col("bad") & (F.trim("row.question_id") != "") & (F.size("row.gold_relevant_chunk_ids") > 0), f"{path}: a gold row is incomplete")
+    rows = require(rows, ~F.col("bad") & (F.trim("row.question_id") != "") & (F.size("row.gold_relevant_chunk_ids") > 0), "the gold row is incomplete")
     return rows.select(F.trim("row.question_id").alias("question_id"), F.explode("row.gold_relevant_chunk_ids").alias("chunk_id")).select("question_id", F.trim("chunk_id").alias("chunk_id")).where("chunk_id <> ''").distinct()
 
 
