@@ -82,13 +82,13 @@ ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_i
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"""
 
 
-@query(_BLOCKS.format(more="", condition=""))
+@query(_BLOCKS.replace("{more}", "").replace("{condition}", ""))
 def rt06_block_max(spark, sf_dir):
     """The hits of ``rt06_bm25_topk``, without scoring the blocks that can't hold one."""
     return _named(BlockIndex.build(_index(spark, sf_dir)).search(_questions(spark, sf_dir), 10)[0])
 
 
-@query(_BLOCKS.format(more=" JOIN base USING (doc_id)", condition=" AND source = 'src' || (item_id % 20)"))
+@query(_BLOCKS.replace("{more}", " JOIN base USING (doc_id)").replace("{condition}", " AND source = 'src' || (item_id % 20)"))
 def rt08_block_max_category(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source")
     wanted = _questions(spark, sf_dir).select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("source")).join(docs, "source").select("query_id", "item_id")
