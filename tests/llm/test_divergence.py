@@ -10,14 +10,14 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import divergence
-from lodestone.llm.divergence import document_frequency_sketch, found_terms, source_divergence
+from lodestone.llm.divergence import counted, document_frequency_sketch, long_text, source_divergence
 from lodestone.llm.queries import ORACLE_SQL, QUERIES
 
 ROWS = "doc_id long, text string, lang string, source string, term string, p long, df int"
 
 
 def count_terms(text):
-    return Counter(t for found in found_terms(text) for t in found)
+    return Counter(re.findall(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.lower()))
 
 
 def frame(spark, rows):
@@ -69,6 +69,7 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("width", [1, 64])
 def test_no_result_hangs_on_the_sketch(spark, width, monkeypatch):
     monkeypatch.setattr(divergence, "BLOCK", 16)
+    monkeypatch.setattr(divergence, "HELD", 2)
     agree(source_divergence(frame(spark, ODD).repartition(3), width=width, top=2).collect(), ODD, top=2)
 
 
@@ -88,11 +89,23 @@ def test_sketch_never_underestimates(spark):
 
 
 def test_slices_cut_between_terms(monkeypatch):
-    text = ("Ab céd " * 40 + "x" * 100 + " tail").encode()
-    whole = count_terms(text)
-    for size in (1, 2, 3, 7, 50):
+    texts = [("Ab céd " * 40 + "x" * 100 + " tail").encode(), b"", b"one", " É é A_b1c\x7fd".encode(), b"one two one"]
+    langs, sources = [b"a", b"a", b"b", b"a", b"b"], [b"s", b"t", b"s", b"s", b"s"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([b"z", *langs], [b"z", *sources], [b"z", *texts])], names=["lang", "source", "text"]).slice(1)
+    want = {}
+    for lang, source, t in zip(langs, sources, texts, strict=True):
+        for term, n in count_terms(t).items():
+            df, all_n = want.get((lang, source, term), (0, 0))
+            want[lang, source, term] = (df + 1, all_n + n)
+    for size in (1, 2, 3, 7, 50, 1 << 20):
         monkeypatch.setattr(divergence, "SLICE", size)
-        assert count_terms(text) == whole
+        assert long_text(texts[0]) == count_terms(texts[0])
+        groups, got = {}, {}
+        for g, terms, df, n in counted(batch, groups, (0, 1)):
+            for k, t, d, c in zip(g.tolist(), terms.to_pylist(), df.tolist(), n.tolist(), strict=True):
+                key = (*list(groups)[k], t)
+                got[key] = (got.get(key, (0, 0))[0] + d, got.get(key, (0, 0))[1] + c)
+        assert got == want
 
 
 def test_sql_states_the_same(spark):
