@@ -8,20 +8,23 @@ values never get the same one, and the result passes the same check:
 * telephone numbers: digits permuted, the country code stays
 * social security numbers and IPv4 addresses: permuted among the valid ones
 * dates of 1900 to 2099: permuted among the days of these years that the same written form can stand for
-* e-mail addresses: letters and digits of the local part permuted, case and domain stay
+* e-mail addresses: letters and digits of the local part permuted, case and domain stay; accented letters are
+  exchanged among themselves, letters of other scripts stay
 
 Numbers that fail their check aren't personal data and stay as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 MOST_LETTERS, MOST_DIGITS = 26, 36  # of a block; 26 ** 13 and 10 ** 18 still fit a long
 
-_DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d)(?!(?!T\d\d)\w|[./-]\d)"
+_DATE = r"(?<![\w./-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d{1,2}[./]\d{1,2}[./](?:19|20)\d\d)(?!(?!T\d\d)\w|[./-]\d)"
 _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 #: Values that a longer one before them leaves alone; cards as they are written in fours or in one.
@@ -33,8 +36,8 @@ FORMATS = {
     "ip": _IP,
     "ssn": _SSN,
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "email": r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}",
-    "phone": rf"(?<!\w)\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\w|\.\d)|(?<!\w)\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?{_OWN}{_NO_CARD}\d{{2,4}}){{1,4}}(?!\w|\.\d)|(?<!\w)\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\w)|(?<![\w.-])\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?!\w|[.-]\d)",
+    "email": r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,}",
+    "phone": rf"(?<!\w)\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\w|\.\d)|(?<!\w)\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?{_OWN}{_NO_CARD}\d{{2,4}}){{1,4}}(?!\w|\.\d)|(?<![\w.-])00[1-9]\d{{0,2}}[ .-](?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?{_OWN}{_NO_CARD}\d{{2,4}}){{1,4}}(?!\w|\.\d)|(?<!\w)\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\w)|(?<![\w.-])\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?!\w|[.-]\d)",
     "card": rf"(?<![\w.-])\d(?:(?:[ -]{_OWN})?\d){{12,18}}(?!\w|[.-]\d)",
 }
 ANY = "|".join(FORMATS.values())
@@ -228,7 +231,7 @@ def _days(first: int, second: int, month_first: bool) -> list[str]:
 
 def _date(v: Column, key: str) -> Column:
     """Within the written form: order, separator, number of digits. A date whose second number is over 12 has the month first, and so has its pseudonym."""
-    iso = v.rlike(r"^\d{4}-")
+    iso = v.rlike(r"^\d{4}[-/]")
     mark = F.when(v.contains("."), F.lit(".")).otherwise(F.lit("/"))
     parts = F.split(v, "[-./]")
     first, second = parts[0].cast("int"), parts[1].cast("int")
@@ -249,7 +252,7 @@ def _date(v: Column, key: str) -> Column:
     def written(years: Column, md: Column) -> Column:
         month_text, day_text = (F.substring(md, F.lit(at + 2) - n, n) for at, n in ((1, F.length(F.when(month_first, parts[0]).otherwise(parts[1]))), (4, F.length(F.when(month_first, parts[1]).otherwise(parts[0])))))
         short = F.when(month_first, F.concat(month_text, mark, day_text)).otherwise(F.concat(day_text, mark, month_text))
-        return F.when(iso, F.concat_ws("-", years.cast("string"), md)).otherwise(F.concat(short, mark, years.cast("string")))
+        return F.when(iso, F.when(v.contains("/"), F.concat_ws("/", years.cast("string"), F.substring(md, 1, 2), F.substring(md, 4, 2))).otherwise(F.concat_ws("-", years.cast("string"), md))).otherwise(F.concat(short, mark, years.cast("string")))
 
     def usual(d: Column) -> Column:
         out = feistel(year - FIRST_YEAR, F.array_position(d, place) - 1, (F.lit(YEARS), F.size(d)), key, form)
@@ -264,17 +267,28 @@ def _date(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    code = F.regexp_extract(v, r"^(\+\d{1,3})?", 0)
+    code = F.regexp_extract(v, r"^(\+\d{1,3}|00[1-9]\d{0,2}(?=[ .-]))?", 0)
     rest = F.substring(v, F.length(code) + 1, F.length(v))
     digits = _only(rest, "[^0-9]")
     return F.when(F.length(digits).between(7, 14), F.concat(code, refill(rest, "[0-9]", permute_digits(digits, key, "phone"))))
 
 
+#: Letters of European languages beyond a-z, in lower and upper case.
+ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþāăąćčďđēĕęěğģīķĺļľłńňőœŕřśşšťţůűźżž"
+_UPPER = ACCENTED.upper()
+
+
+def _accents(value: Column, key: str) -> Column:
+    """Letters beyond a-z, each for another one of them by a keyed shuffle; case stays."""
+    order = "".join(sorted(ACCENTED, key=lambda c: hashlib.sha256(f"{key}|email|accents|{c}".encode()).digest()))
+    return F.translate(value, ACCENTED + _UPPER, order + order.upper())
+
+
 def _email(v: Column, key: str) -> Column:
     local = F.substring_index(v, "@", 1)
     letters, digits = _only(F.lower(local), "[^a-z]"), _only(local, "[^0-9]")
     numbers = _blocks(digits, MOST_DIGITS, lambda x, own: permute_digits(x, key, own), "email")
-    new = refill(refill(local, "[A-Za-z]", permute_letters(letters, key, "email")), "[0-9]", numbers)
+    new = refill(refill(_accents(local, key), "[A-Za-z]", permute_letters(letters, key, "email")), "[0-9]", numbers)
     return F.concat(new, F.substring(v, F.length(local) + 1, F.length(v)))
 
 

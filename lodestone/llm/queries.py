@@ -109,14 +109,15 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_extendible_shards": """
         WITH RECURSIVE docs AS (
-            SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, ('0x' || md5(doc_id::VARCHAR)[1:15])::BIGINT AS bits FROM documents
+            SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, '|' || md5(coalesce(text, ''))))[1:15])::BIGINT AS bits FROM documents
         ), open AS (
             SELECT 0 AS depth, '' AS shard, sum(bytes)::BIGINT AS shard_bytes FROM docs
             UNION ALL
             SELECT o.depth + 1, lpad(bin(d.bits), 60, '0')[1:o.depth + 1], (sum(d.bytes) OVER (PARTITION BY lpad(bin(d.bits), 60, '0')[1:o.depth + 1]))::BIGINT
-            FROM (SELECT DISTINCT * FROM open) o JOIN docs d ON o.shard_bytes > 1048576 AND lpad(bin(d.bits), 60, '0')[1:o.depth] = o.shard
-        ), shards AS (SELECT DISTINCT * FROM open WHERE shard_bytes <= 1048576)
-        SELECT d.doc_id, d.bytes, s.shard, s.depth, s.shard_bytes, 0::BIGINT AS page
+            FROM (SELECT DISTINCT * FROM open) o JOIN docs d ON o.shard_bytes > 1048576 AND o.depth < 60 AND lpad(bin(d.bits), 60, '0')[1:o.depth] = o.shard
+        ), shards AS (SELECT DISTINCT * FROM open WHERE shard_bytes <= 1048576 OR depth = 60)
+        SELECT d.doc_id, d.bytes, s.shard, s.depth, s.shard_bytes,
+               CASE WHEN s.shard_bytes <= 1048576 THEN 0 ELSE coalesce(sum(d.bytes) OVER (PARTITION BY d.bits ORDER BY d.bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1048576 END::BIGINT AS page
         FROM docs d JOIN shards s ON lpad(bin(d.bits), 60, '0')[1:s.depth] = s.shard
     """,
     "op2_embedding_dedup": """
@@ -164,7 +165,7 @@ ORACLE_SQL = {
     """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+               row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)
     """,

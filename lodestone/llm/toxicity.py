@@ -40,22 +40,28 @@ class CRF:
         return marginals(self.odds[emissions], starts, ends, self.move)
 
 
-def chains(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward (with the token's own) and backward odds, all sequences a step at a time, longest first."""
+#: Tokens of a sequence that are taken together; longer ones are cut, and the cuts joined through 2 x 2 products.
+STRETCH = 64
+
+
+def _steps(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray, left: np.ndarray | None, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the token's own) and backward odds, all sequences a step at a time, longest first; ``left`` are the odds of the token before each (NaN: none), ``right`` the backward odds that each ends with."""
     lengths = ends - starts
     order = np.argsort(-lengths, kind="stable")
     lo, n = starts[order], lengths[order]
     (m00, m01), (m10, m11) = move
     forward, backward = np.array(odds), np.ones(len(odds))
     active = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), "right")  # sequences with a token t
-    r = None
+    r = np.full(len(lo), np.nan) if left is None else left[order]
     for t, k in enumerate(active):
         at = lo[:k] + t
-        e = odds[at]
-        r = e if t == 0 else e * (m01 + m11 * r[:k]) / (m00 + m10 * r[:k])
+        e, before = odds[at], r[:k]
+        r = e * np.where(np.isnan(before), 1.0, (m01 + m11 * before) / (m00 + m10 * before))
         forward[at] = r
     last = lo + n - 1
-    r = np.ones(len(lo))
+    r = np.ones(len(lo)) if right is None else right[order]
+    if len(lo):
+        backward[last] = r
     for t, k in enumerate(active[1:], 1):
         before = last[:k] - t
         x = odds[before + 1] * r[:k]
@@ -64,6 +70,59 @@ def chains(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndar
     return forward, backward
 
 
+def chains(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the token's own) and backward odds of all sequences.
+
+    Sequences are cut into stretches of ``STRETCH`` tokens. The products of a
+    stretch's 2 x 2 matrices say what odds go out of it for those that come in;
+    with them the odds at all cuts follow stretch by stretch, and then all
+    stretches are gone through together: a very long text takes as many steps
+    as it has stretches, not tokens.
+    """
+    lengths = ends - starts
+    if not len(lengths) or lengths.max() <= 2 * STRETCH:
+        return _steps(odds, starts, ends, move, None, None)
+    pieces = -(-lengths // STRETCH)
+    first = np.cumsum(pieces) - pieces
+    of = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(pieces.sum()) - first[of]
+    lo = starts[of] + nth * STRETCH
+    hi = np.minimum(lo + STRETCH, ends[of])
+    # rows of each product are the tag before the stretch, columns the tag of its last token
+    product = np.broadcast_to(np.eye(2), (len(lo), 2, 2)).copy()
+    for t in range(STRETCH):
+        live = np.flatnonzero(lo + t < hi)
+        if not len(live):
+            break
+        step = np.broadcast_to(move, (len(live), 2, 2)).copy()
+        step[:, :, 1] *= odds[lo[live] + t][:, None]
+        made = product[live] @ step
+        product[live] = made / made.max(axis=(1, 2), keepdims=True)
+    left, right = np.full(len(lo), np.nan), np.ones(len(lo))
+    order = np.argsort(-pieces, kind="stable")
+    active = np.searchsorted(-pieces[order], -np.arange(1, pieces.max() + 1), "right")
+    state = None
+    for k, count in enumerate(active):
+        at = first[order[:count]] + k
+        if k:
+            left[at] = state[:count, 1] / np.maximum(state[:count, 0], 1e-300)
+            state = np.einsum("ni,nij->nj", state[:count], product[at])
+        else:  # nothing stands before the first token: its own odds alone begin the sequence
+            begin = lo[at]
+            tail = _steps(odds, begin, hi[at], move, None, None)[0][hi[at] - 1]
+            state = np.stack([np.ones(count), tail], 1)
+        state = state / state.max(axis=1, keepdims=True)
+    end = first + pieces - 1
+    back = np.ones((len(lengths), 2))
+    for k in range(1, pieces.max()):
+        rows = np.flatnonzero(pieces > k)
+        at = end[rows] - k + 1  # the stretch after the one that ends here
+        back[rows] = np.einsum("nij,nj->ni", product[at], back[rows])
+        back[rows] /= back[rows].max(axis=1, keepdims=True)
+        right[at - 1] = back[rows, 1] / np.maximum(back[rows, 0], 1e-300)
+    return _steps(odds, lo, hi, move, left, right)
+
+
 def marginals(odds: np.ndarray, starts: np.ndarray, ends: np.ndarray, move: np.ndarray) -> np.ndarray:
     """Probability of tag 1 for each token."""
     forward, backward = chains(odds, starts, ends, move)
@@ -185,19 +244,26 @@ def fit_crf(rows: list[tuple[int, str]], *, most_words: int = 50_000, rounds: in
             bias = float(np.clip(bias, -12, 12))
     weight[0] = min(weight[0], 0.0)
     crf = CRF(vocabulary, np.exp(np.clip(weight + bias, -30, 30)), np.exp(move), np.zeros(3))
-    features, target = [], []
-    for toxic, tokens in tokenised:
-        features.append(_features(crf, np.fromiter((number[w] for w in tokens), np.int64, len(tokens))))
-        target.append(toxic)
-    crf.document[:] = _logistic(np.array(features).reshape(-1, 3), np.array(target, float))
+    # all documents of the sample at once, as scoring does
+    ids = [np.fromiter((number[w] for w in tokens), np.int64, len(tokens)) for _, tokens in tokenised]
+    features, _ = _features(crf, ids)
+    crf.document[:] = _logistic(features, np.array([toxic for toxic, _ in tokenised], float))
     return crf
 
 
-def _features(crf: CRF, ids: np.ndarray) -> tuple[float, float, float]:
-    if not len(ids):
-        return 1.0, 0.0, 0.0
-    p = crf.marginals(ids, np.zeros(1, np.int64), np.array([len(ids)]))
-    return 1.0, float(p.max()), float(np.log1p(p.sum()))
+def _features(crf: CRF, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(1, greatest marginal, log1p of their sum) of each text, and the marginals of all tokens, one text after the other."""
+    n = np.array([len(t) for t in texts], np.int64)
+    ids = np.concatenate(texts) if texts else np.empty(0, np.int64)
+    ends = np.cumsum(n)
+    starts, some = ends - n, n > 0
+    p = crf.marginals(ids, starts[some], ends[some])
+    features = np.zeros((len(texts), 3))
+    features[:, 0] = 1
+    if some.any():
+        features[some, 1] = np.maximum.reduceat(p, starts[some])
+        features[some, 2] = np.log1p(np.add.reduceat(p, starts[some]))
+    return features, p
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -238,18 +304,10 @@ def score_toxicity(docs: DataFrame, crf: CRF, doc_id: str = "doc_id", text: str
             texts = [x or "" for x in batch.column(1).to_pylist()]
             # words become numbers text by text: a batch's words at once would be many times its size
             parts = [np.array([number[w] for w in tokens_of(t)], np.int32) for t in texts]
-            n = np.array([len(p) for p in parts], np.int64)
-            ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            ends = np.cumsum([len(p) for p in parts])
+            starts = ends - [len(p) for p in parts]
+            features, p = _features(m, parts)
             del parts
-            ends = np.cumsum(n)
-            starts = ends - n
-            some = n > 0
-            p = m.marginals(ids, starts[some], ends[some])
-            features = np.zeros((len(texts), 3))
-            features[:, 0] = 1
-            if some.any():
-                features[some, 1] = np.maximum.reduceat(p, starts[some])
-                features[some, 2] = np.log1p(np.add.reduceat(p, starts[some]))
             score = 1 / (1 + np.exp(-features @ m.document))
             spans, counts = [[] for _ in texts], np.zeros(len(texts), np.int64)
             hit = np.flatnonzero(p >= span)

@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm.components import connected_components
 from lodestone.llm.cover_tree import CoverTree, dual_traversal, embedding_dedup
-from lodestone.llm.exact_dedup import PatriciaTrie, exact_dedup
+from lodestone.llm.exact_dedup import PatriciaTrie, Tries, exact_dedup, exact_survivors
+from lodestone.llm.queries import ORACLE_SQL
 from lodestone.llm.simhash import fingerprint, simhash_dedup, trie_components, trie_links
 
 DOCS = "doc_id long, text string, owner string, fp long, component_id string"
@@ -62,6 +65,45 @@ def test_exact_with_spills_and_weak_hashes(spark):
     check_exact(EXACT, exact_dedup(source, hashed=lambda body: "same").collect())
 
 
+def test_tries_branch_and_spill_by_subtree():
+    trie = PatriciaTrie()
+    keys = [b"", b"abc", b"abd", b"ab", b"b" * 900, b"abc" + b"x" * 50, b"b" * 901, b"\x00"]
+    for k in keys:
+        trie.insert(k, 10)[0].rows.append(k)
+    assert trie.size == len(keys) and len(trie.root) == 3  # many strings in one trie, parted where they differ
+    assert trie.held[ord("b")] == 2 * 210 + 1801
+    assert {(k, t.rows[0]) for k, t in trie.take(ord("b"))} == {(b"b" * 900, b"b" * 900), (b"b" * 901, b"b" * 901)}
+    assert ord("b") not in trie.root and ord("b") not in trie.held
+    assert sorted(k for f in list(trie.held) for k, _ in trie.take(f)) == sorted(k for k in keys if not k.startswith(b"b"))
+    tries = Tries(3000)
+    for k in keys * 2:
+        tries.insert(k, 5).rows.append(k)
+    spilled = {k for k, _ in tries.spill()}
+    assert b"b" * 901 in spilled and b"" not in spilled and tries.held <= 1500  # the largest go first
+    assert spilled | {k for k, _ in tries.spill(True)} == set(keys)
+
+
+def test_survivors_by_both_passes(spark):
+    texts = [(i, f"{'ab' * (i % 9)}{i % 13}") for i in range(300)] + [(None, None), (400, ""), (401, "x" * 50_000), (402, "X" * 50_000), (7, "ab1")]
+    source = spark.createDataFrame([(t, i, 1) for i, t in texts], "text string, doc_id long, n_bytes int").repartition(5)
+    want = {}
+    for i, t in texts:
+        want[(t or "").lower()] = max(want.get((t or "").lower(), -1), -1 if i is None else i)
+    for budget in (1, 5000, 32 << 20):
+        got = exact_survivors(source, budget=budget).collect()
+        assert sorted(((r.text or "").lower(), r.doc_id) for r in got) == sorted(want.items())
+
+
+def test_sql_agrees_on_repeats_and_nulls(spark):
+    rows = [*EXACT, (None, "only null"), (None, "ONLY null"), (20, "same"), (20, "same"), (20, "Same")]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    cur = con.execute(ORACLE_SQL["op5_exact_dedup"])
+    names = [d[0] for d in cur.description]
+    got = exact_dedup(docs(spark, rows).repartition(3)).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+
+
 def test_exact_smallest_and_empty(spark):
     got = exact_dedup(docs(spark, [(1, "a"), (2, "A"), (3, "b")]), keep="smallest").collect()
     assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (3, 3, True)}

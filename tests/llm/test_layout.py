@@ -8,6 +8,7 @@ from itertools import pairwise
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import packing, queries
 from lodestone.llm.mixing import mix_sources
+from lodestone.llm.queries import ORACLE_SQL
 from lodestone.llm.sharding import extendible_shards
 
 SF = "/root/testdata/sf0.001"
@@ -209,3 +211,15 @@ def test_linked_vectors_match_sql(spark, tmp_path):
         assert sorted(map(tuple, embedding_dedup(df, least=0.93, block=block).collect())) == want
     again = sorted(map(tuple, embedding_dedup(df.unionAll(df.where("vec_id = 0")), least=0.93).where("vec_id = 0").collect()))
     assert again == [(0, want[0][1] + 1, want[0][2], want[0][3])] * 2
+
+
+def test_sql_of_shards_with_pages_and_large_rows(spark):
+    rows = [(i, "x" * 30_000) for i in range(120)] + [(7, "y" * 700_000), (7, "z" * 700_001), (7, "y" * 700_002), (500, "w" * 1_500_000), (None, "n" * 10), (None, None), (None, "n" * 10), (501, None), (502, "é" * 1000)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    cur = con.execute(ORACLE_SQL["op6_extendible_shards"])
+    names = [d[0] for d in cur.description]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, bytes int").repartition(3)
+    got = extendible_shards(docs, max_bytes=1 << 20).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+    assert {r.page for r in got} == {0, 1} and any(r.shard_bytes == 1_500_000 for r in got)

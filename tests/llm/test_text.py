@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import pii
 from lodestone.llm.langid import PPMModel, identify_language, language_id
-from lodestone.llm.licenses import CUE, RESERVED, TEMPLATES, Templates, scan_licenses, statements, terms
+from lodestone.llm.licenses import RESERVED, TEMPLATES, TERM, Templates, document_paths, scan_licenses, statements, terms, units
 from lodestone.llm.sampling import draw, labelled_sample
 from lodestone.llm.toxicity import chains, fit_crf, label_tokens, marginals, pair_marginals, score_toxicity, tokens_of, toxicity
 
@@ -53,11 +53,11 @@ def pseudo(spark, values):
 CASES = {
     "card": ["4111111111111111", "4111-1111-1111-1111", "5500 0000 0000 0004"],
     "iban": ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"],
-    "date": ["1999-12-31", "24.12.1985", "7/4/2020", "12/31/1999", "2000-02-29", "1900-01-01", "2099-12-31"],
+    "date": ["1999-12-31", "1999/12/31", "2024/01/05", "24.12.1985", "7/4/2020", "12/31/1999", "2000-02-29", "1900-01-01", "2099-12-31"],
     "ip": ["10.0.0.1", "255.255.255.255"],
     "ssn": ["123-45-6789", "899-99-9999", "667-01-0001"],
-    "phone": ["+1 (017) 555-7713", "(212) 555-0100", "212-555-0100"],
-    "email": ["Jane.Doe+x9@mail.example.com", "the.72@mail3.example.com"],
+    "phone": ["+1 (017) 555-7713", "0049 30 1234567", "0044-20-7946-0958", "(212) 555-0100", "212-555-0100"],
+    "email": ["Jane.Doe+x9@mail.example.com", "the.72@mail3.example.com", "müller@example.de", "Öz.Ån3@example.se"],
 }
 
 
@@ -83,11 +83,24 @@ def test_formats_are_kept(spark):
         assert valid(kind, first)
         if kind != "ip":
             assert shape(first) == shape(text)
-        if kind == "date" and first[4] == "-":
-            assert 1900 <= datetime.date.fromisoformat(first).year <= 2099
+        if kind == "date" and first[4] in "-/":
+            assert 1900 <= datetime.date.fromisoformat(first.replace("/", "-")).year <= 2099
+
+
+def test_addresses_with_other_letters(spark):
+    assert len(pii.ACCENTED) == len(pii._UPPER) == len(set(pii.ACCENTED + pii._UPPER)) / 2
+    got = [r.text for r in pseudo(spark, [f"m{c}ller@example.de" for c in pii.ACCENTED] + ["ller@example.de", "иван@example.ru", "müller@example.de"])]
+    assert len(set(got[: len(pii.ACCENTED)])) == len(pii.ACCENTED)
+    assert not any("ller@" in t or t.startswith("m") and "ller" in t for t in got[:-2])
+    assert got[-2] == "иван@example.ru" and got[-1] == got[pii.ACCENTED.index("ü")]
+    a, b = pseudo(spark, ["0049 30 1234567", "call 0049 30 1234567 now"])
+    assert a.kinds == b.kinds == ["phone"] and a.text.startswith("0049 ") and a.text in b.text
+    a, b = pseudo(spark, ["1999-12-31", "1999/12/31"])
+    assert a.text.replace("-", "/") == b.text  # one day, one pseudonym
 
 
 def shape(v):
+    v = "".join("A" if c in pii._UPPER else "a" if c in pii.ACCENTED else c for c in v)
     return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", v)))
 
 
@@ -448,7 +461,6 @@ def test_every_template_is_found(spark):
         for k, t in enumerate(texts):
             rows.append((f"{name}-{k}/LICENSE", t))
             want[f"{name}-{k}/LICENSE"] = t
-            assert CUE.search(t) or len(t) < 70, t
     got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     names = {}
     for name, texts in TEMPLATES.items():
@@ -458,4 +470,87 @@ def test_every_template_is_found(spark):
         assert got[path][1] == "file", path
         assert got[path][0] in names[t] or got[path][0] == RESERVED, (path, got[path])
     long = "Some notice\n\n   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Everyone is permitted to copy and distribute verbatim copies. " * 400
-    assert max(Templates().closest(s)[1] for s in statements(long, whole=True)[0]) >= 0.5
+    assert max(cosine for _, _, name, cosine in statements(long, Templates(), whole=True) if name == "GPL-3.0") >= 0.5
+
+
+FSF = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {family} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+STATED = {
+    "LGPL-2.1": FSF.format(what="library", family="Lesser General Public License", version="2.1"),
+    "GPL-2.0": FSF.format(what="program", family="General Public License", version="2"),
+    "AGPL-3.0": FSF.format(what="program", family="Affero General Public License", version="3"),
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License)",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-1.1": "The Apache Software License, Version 1.1",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License)",
+    "EPL-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-3.0": "licensed under a Creative Commons Attribution-ShareAlike 3.0 International License",
+    "GPL-2.0-or-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "GPL-2.0 ": "// SPDX-License-Identifier: GPL-2.0-only",
+    "EUPL-1.2": "SPDX-License-Identifier: EUPL-1.2",
+    "MIT OR Apache-2.0": "# SPDX-License-Identifier: MIT OR Apache-2.0",
+    "MIT": "Released under the MIT License.",
+}
+
+
+def test_versions_and_families(spark):
+    around = "Some ordinary words stand here before it.\n{}\nAnd here are other ordinary words that go on for a while about rivers."
+    rows = [(f"{k}/x.txt", around.format(t)) for k, t in STATED.items()]
+    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: got[f"{k}/x.txt"][0] for k in STATED} == {k: k.strip() for k in STATED}
+
+
+def test_denied_and_general_mentions(spark):
+    rows = [("p/LICENSE", "Released under the MIT License.")]
+    rows += [(f"p/{k}.txt", t) for k, t in {
+        "denied": "This text is not released under the MIT License.", "driving": "You need a driving licence to hire a car.", "fee": "The licence fee rose again.",
+        "stated": "Licensed under the Zorgon bureau rules.", "notice": "Copyright 2019 by nobody known. Use as you like", "plain": "words",
+        "disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    }.items()]
+    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[f"p/{k}.txt"] == ("MIT", "inherited") for k in ("denied", "driving", "fee", "plain"))
+    assert all(got[f"p/{k}.txt"] == (None, "unknown") for k in ("stated", "notice"))
+    assert got["p/disclaimer.txt"][0].startswith("BSD")
+
+
+def test_statements_anywhere_in_a_very_long_text(spark):
+    prose = "The river runs past the old mill and on to the sea where boats wait. " * 8000
+    rows = [("a/x.txt", prose + "Released under the MIT License. " + prose), ("b/x.txt", prose + "\n" + "y " * 5000 + "Licensed under the Apache License, Version 2.0. " + "z " * 5000)]
+    got = {r.path: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/x.txt"] == ("MIT", "header")
+    assert got["b/x.txt"][1] in ("header", "unknown", "none")
+
+
+def test_bounds_hold():
+    model, rng = Templates(), np.random.default_rng(7)
+    pool = [w for ts in TEMPLATES.values() for t in ts for w in t.split()] + ["river", "stone", "Hund"] * 40
+    for _ in range(300):
+        text = " ".join(rng.choice(pool, int(rng.integers(1, 25))))
+        assert model.bound(TERM.findall(text.lower())) >= model.closest(text)[1] - 1e-9
+    assert [("a\n\nb c. D e")[lo:hi] for lo, hi in units("a\n\nb c. D e")] == ["a", "b c.", "D e"]
+    assert units("") == []
+
+
+def test_scan_end_to_end(spark):
+    """Statements, files and inheritance of a whole table against one text and one folder at a time."""
+    model, docs = Templates(), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in document_paths(docs).collect()]
+    rows += [("src1/LICENSE", "Released under the MIT License."), ("src2/0/COPYING", STATED["LGPL-2.1"]), (None, "x"), ("src1/none", None)]
+    found = {}
+    for p, t in rows:
+        good = [(c, n) for _, _, n, c in statements(t or "", model, whole=bool(p and p.rsplit("/", 1)[-1] in ("LICENSE", "COPYING"))) if n and c >= 0.5]
+        good = [x for x in good if x[1] != RESERVED] or good
+        found[p] = max(good, key=lambda x: x[0])[1] if good else None
+    got = {r.path: r for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    files = {p.rsplit("/", 1)[0]: p for p in got if p and got[p].origin == "file"}
+    for p, t in rows:
+        if found[p] is not None:
+            assert got[p].license == found[p] and got[p].origin in ("file", "header")
+        elif got[p].origin == "inherited":
+            parts = p.split("/")[:-1]
+            above = next(f for f in ("/".join(parts[:k]) for k in range(len(parts), -1, -1)) if f in files)
+            assert got[p].license == got[files[above]].license
+        else:
+            assert got[p].license is None
+    assert got["src1/none"].license == "MIT" and got[None].license is None
