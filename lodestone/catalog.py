@@ -248,13 +248,22 @@ def pr05_filter_fallback(spark, sf_dir):
     return R.filter_or_all(hits, F.col("category").cast("int") % 3 == F.col("query_id") % 3).select("query_id", "item_id", F.col("rank").cast(LONG).alias("rank"), "filter_fallback")
 
 
-@query(f"{_DENSE} SELECT query_id, TRUE AS agree FROM q")
+def _ranked_sql(name: str, vector: str) -> str:
+    cosine = f"list_dot_product(q.{vector}, v.{vector}) / (sqrt(list_dot_product(q.{vector}, q.{vector})) * sqrt(list_dot_product(v.{vector}, v.{vector})))"
+    return f"{name} AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS item_id, {cosine} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cosine}, 9) DESC, v.vec_id) AS rank FROM v AS q CROSS JOIN v WHERE q.vec_id % 20 = 0) WHERE rank <= 5)"
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding, lambda c: floor(c::DOUBLE * 16) / 16 + 0.03125e0) AS y FROM embeddings), {_ranked_sql('r', 'x')}, {_ranked_sql('a', 'y')},
+j AS (SELECT query_id, rank, r.item_id AS ri, a.item_id AS ai, r.score AS rs, a.score AS s, round(r.score / 0.01e0, 0) AS tie, min(round(r.score / 0.01e0, 0)) OVER (PARTITION BY query_id) AS last FROM r JOIN a USING (query_id, rank)),
+g AS (SELECT query_id, tie, last, bool_and(abs(rs - s) <= 0.01e0) AS close, list_sort(list(DISTINCT ri)) = list_sort(list(DISTINCT ai)) AS same FROM j GROUP BY query_id, tie, last)
+SELECT query_id, bool_and(close AND (tie = last OR same)) AS agree FROM g GROUP BY query_id""")
 def rt26_backend_parity(spark, sf_dir):
-    """Cosines against distances of unit vectors, which are the cosines in another form."""
+    """Exact vectors against vectors in steps of a sixteenth: which queries still have the same ranking."""
     q, v = _vectors(spark, sf_dir)
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(M.dot(F.col(c), F.col(c))))
-    far = R.dense_top_k(q.select("query_id", unit("query_vector").alias("query_vector")), v.select("item_id", unit("vector").alias("vector")), 5, "l2")
-    return R.rankings_agree(R.dense_top_k(q.drop("predicted"), v.drop("category"), 5), far.withColumn("score", 1 - F.col("score") * F.col("score") / 2))
+    steps = lambda c: F.transform(c, lambda x: F.floor(x.cast("double") * 16) / 16 + 0.03125)
+    coarse = R.dense_top_k(q.select("query_id", steps("query_vector").alias("query_vector")), v.select("item_id", steps("vector").alias("vector")), 5)
+    return R.rankings_agree(R.dense_top_k(q.drop("predicted"), v.drop("category"), 5), coarse, 0.01)
 
 
 @query("""
@@ -287,17 +296,33 @@ def ch03_sentence_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(C.sentence_array(F.col("text"))).cast(LONG).alias("n_sentences"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS pieces FROM documents),
+j AS (SELECT doc_id, list_reduce(pieces, lambda done, next: CASE WHEN lower(regexp_extract(done, '[^ ' || chr(2) || ']*$')) IN ({_ABBREVIATED}) THEN done || ' ' || next ELSE done || chr(2) || next END) AS joined FROM p WHERE trim(array_to_string(pieces, '')) <> ''),
+s AS (SELECT doc_id, string_split(joined, chr(2)) AS sentences FROM j),
+c AS (SELECT *, len(sentences) AS n, list_transform(range(0, len(sentences) + 1), lambda i: coalesce(list_sum(list_transform(sentences[1:i], lambda x: len(string_split(x, ' ')))), 0)) AS words FROM s),
+walk AS (
+    SELECT doc_id, 0 AS ordinal, 0::BIGINT AS start, greatest(1, list_max(list_filter(range(1, n + 1), lambda e: words[e + 1] <= 128))) AS "end", sentences, n, words FROM c
+    UNION ALL
+    SELECT doc_id, ordinal, at, greatest(at + 1, list_max(list_filter(range(at + 1, n + 1), lambda e: words[e + 1] - words[at + 1] <= 128))), sentences, n, words
+    FROM (SELECT doc_id, ordinal + 1 AS ordinal, "end" - least(2, "end" - start - 1) AS at, sentences, n, words FROM walk WHERE "end" < n))
+SELECT doc_id, ordinal::BIGINT AS ordinal, start, "end"::BIGINT AS "end", sha256(array_to_string(sentences[start + 1:"end"], ' ')) AS digest, CASE WHEN n > 1 THEN 'sentence' ELSE 'sentence_fallback' END AS kind, words["end" + 1] - words[start + 1] > 128 AS oversized FROM walk""")
 def ch04_sentence_chunks(spark, sf_dir):
-    return C.chunk_documents(table(spark, sf_dir, "documents"), lambda t: C.sentence_chunks(t, 128, 2))
+    rows = C.chunk_documents(table(spark, sf_dir, "documents"), lambda t: C.sentence_chunks(t, 128, 2))
+    return rows.select("doc_id", F.col("ordinal").cast(LONG).alias("ordinal"), "start", "end", F.sha2("text", 256).alias("digest"), "kind", "oversized")
 
 
-@query("SELECT doc_id, length(text) AS n_chars, sha256(text) AS digest FROM documents")
+@query(r"""
+WITH RECURSIVE p AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?;:]\s+|\n\n)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS pieces FROM documents),
+b AS (SELECT doc_id, text, list_transform(range(1, len(pieces) + 1), lambda i: list_sum(list_transform(pieces[1:i], lambda x: length(x)))::BIGINT) AS ends FROM p WHERE len(pieces) > 0),
+walk AS (
+    SELECT doc_id, 0 AS ordinal, 0::BIGINT AS start, coalesce(list_max(list_filter(ends, lambda e: e <= 512)), ends[1]) AS stop, text, ends FROM b
+    UNION ALL SELECT doc_id, ordinal + 1, stop, coalesce(list_max(list_filter(ends, lambda e: e > stop AND e <= stop + 512)), list_min(list_filter(ends, lambda e: e > stop))), text, ends FROM walk WHERE stop < length(text))
+SELECT doc_id, ordinal::BIGINT AS ordinal, start, stop AS "end", sha256(text[start + 1:stop]) AS digest, stop - start > 512 AS oversized FROM walk""")
 def ch06_lossless_chunks(spark, sf_dir):
-    """What the chunks put together are."""
+    """Where the text is cut: after sentences and clauses, as late as fits."""
     rows = C.chunk_documents(table(spark, sf_dir, "documents"), lambda t: C.lossless_chunks(t, 512))
-    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda c: c["text"]), "").alias("text"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
-    return whole.select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
+    return rows.select("doc_id", F.col("ordinal").cast(LONG).alias("ordinal"), "start", "end", F.sha2("text", 256).alias("digest"), "oversized")
 
 
 @query()

@@ -226,6 +226,43 @@ def ch15_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.hashed_chunk_id(i, F.lit(0), n, F.col("text")).alias("hashed"), C.keyed_chunk_id(i.cast("string"), i % 50).alias("keyed"), C.position_chunk_id(i, F.lit(0), n).alias("placed"))
 
 
+@query("""
+WITH w AS (SELECT doc_id, text, replace(text, chr(10), ' ') AS flat FROM documents),
+c AS (SELECT doc_id, text, flat, array_to_string(string_split(flat, ' ')[1:3], ' ') AS one, array_to_string(string_split(flat, ' ')[5:9], ' ') AS two FROM w WHERE len(string_split(flat, ' ')) >= 9),
+h AS (SELECT *, instr(flat, one) - 1 AS first, instr(flat[instr(flat, one) + 1:], two) AS after FROM c)
+SELECT doc_id, first AS start, first + length(one) AS "end", sha256(text[first + 1:first + length(one)]) AS digest FROM h WHERE one <> ''
+UNION ALL SELECT doc_id, first + after, first + after + length(two), sha256(text[first + after + 1:first + after + length(two)]) FROM h WHERE after > 0""")
+def ch17_located_chunks(spark, sf_dir):
+    """Words of a text, one space between them, found again in it: from the last find on, and not at all if they aren't there."""
+
+    def located(t):
+        words = (t or "").split()
+        if len(words) >= 9:
+            for at in C.locate_chunks(t, [" ".join(words[:3]), " ".join(words[4:9]), "\x01 nowhere"]):
+                if at is not None:
+                    yield *at, t[at[0] : at[1]], "located", False
+
+    return C.chunk_documents(table(spark, sf_dir, "documents"), located).select("doc_id", "start", "end", F.sha2("text", 256).alias("digest"))
+
+
+@query("""
+WITH h AS (SELECT user_id AS query_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 9) DESC, event_id) AS rank FROM events),
+k AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'child' WHEN length(event_type) % 2 = 1 THEN 'smaller_parent' ELSE 'parent' END AS kind FROM h WHERE rank <= 8),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN kind = 'parent' THEN event_type ELSE event_id::VARCHAR END ORDER BY rank) AS n FROM k)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, event_id::VARCHAR AS item_id, CASE kind WHEN 'parent' THEN event_type WHEN 'smaller_parent' THEN 'part of ' || event_type END AS parent_id,
+    CASE kind WHEN 'parent' THEN 'all of ' || event_type WHEN 'smaller_parent' THEN 'some of ' || event_type ELSE 'event ' || event_id END AS text, kind FROM f WHERE n = 1) WHERE rank <= 3""")
+def rt23_parent_expansion(spark, sf_dir):
+    """Events in the place of chunks, their kinds in that of sections: some sections are too long, some events have none."""
+    kind = F.col("event_type")
+    hits = R.top_k(table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("item_id"), F.col("value").alias("score"), "event_type"), 8)
+    part = lambda i, t, w: F.struct(i.alias("parent_id"), t.alias("text"), F.lit(w).alias("words"))
+    long = F.array(part(kind, F.concat(F.lit("all of "), kind), 900), part(F.concat(F.lit("part of "), kind), F.concat(F.lit("some of "), kind), 5))
+    short = F.array(part(kind, F.concat(F.lit("all of "), kind), 5))
+    parents = F.when(F.col("item_id") % 5 == 0, F.array().cast("array<struct<parent_id:string,text:string,words:int>>")).when(F.length(kind) % 2 == 1, long).otherwise(short)
+    made = R.expand_parents(hits.select("query_id", "rank", "item_id", F.concat(F.lit("event "), "item_id").alias("text"), parents.alias("parents")), 100, 3)
+    return made.withColumn("rank", F.col("rank").cast(LONG))
+
+
 # ---------------------------------------------------------------- files and tables
 
 
