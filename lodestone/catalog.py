@@ -304,8 +304,8 @@ c AS (SELECT *, len(sentences) AS n, list_transform(range(0, len(sentences) + 1)
 walk AS (
     SELECT doc_id, 0 AS ordinal, 0::BIGINT AS start, greatest(1, list_max(list_filter(range(1, n + 1), lambda e: words[e + 1] <= 128))) AS "end", sentences, n, words FROM c
     UNION ALL
-    SELECT doc_id, ordinal, at, greatest(at + 1, list_max(list_filter(range(at + 1, n + 1), lambda e: words[e + 1] - words[at + 1] <= 128))), sentences, n, words
-    FROM (SELECT doc_id, ordinal + 1 AS ordinal, "end" - least(2, "end" - start - 1) AS at, sentences, n, words FROM walk WHERE "end" < n))
+    SELECT doc_id, ordinal, begins, greatest(begins + 1, list_max(list_filter(range(begins + 1, n + 1), lambda e: words[e + 1] - words[begins + 1] <= 128))), sentences, n, words
+    FROM (SELECT doc_id, ordinal + 1 AS ordinal, "end" - least(2, "end" - start - 1) AS begins, sentences, n, words FROM walk WHERE "end" < n))
 SELECT doc_id, ordinal::BIGINT AS ordinal, start, "end"::BIGINT AS "end", sha256(array_to_string(sentences[start + 1:"end"], ' ')) AS digest, CASE WHEN n > 1 THEN 'sentence' ELSE 'sentence_fallback' END AS kind, words["end" + 1] - words[start + 1] > 128 AS oversized FROM walk""")
 def ch04_sentence_chunks(spark, sf_dir):
     rows = C.chunk_documents(table(spark, sf_dir, "documents"), lambda t: C.sentence_chunks(t, 128, 2))
