@@ -31,14 +31,16 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """``file, number, line, row, bad``: parsed lines, with their numbers in their files; blank ones are left out."""
-    lines = numbered_lines(spark, path).select("file", F.col("line").alias("number"), F.col("value").alias("line"))
-    rows = lines.where(F.trim("line") != "").withColumn("row", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
+    lines = numbered_lines(spark, path).select("file", F.col("line").alias("number"), F.when(F.trim("value") != "", F.col("value")).alias("line"))
+    rows = lines.withColumn("row", F.from_json("line", schema, {"mode": "PERMISSIVE"}))
     whole = F.try_parse_json("line")
-    return rows.withColumn("bad", whole.isNull() | (F.schema_of_variant(whole).startswith("OBJECT") == F.lit(False)))
+    bad = whole.isNull() | (F.schema_of_variant(whole).startswith("OBJECT") == F.lit(False))
+    return rows.withColumn("bad", F.col("line").isNotNull() & bad).where("line is not null")
 
 
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
-    """Rows as they are; a row that isn't ``ok`` fails the job where it is read. Rows with ``file`` and ``number`` are told by these."""
+    """Rows as they are; a row that isn't ``ok`` fails the job where it is read. Rows with ``file`` and ``number`` are told by these; those with a null ``line`` are blank ones, which Spark may judge before it drops them."""
+    ok = ok | F.col("line").isNull() if "line" in df.columns else ok
     said = F.concat(F.col("file"), F.lit(":"), F.col("number"), F.lit(f": {message}")) if {"file", "number"} <= {*df.columns} else F.lit(message)
     return df.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(said).cast("boolean")))
 
@@ -52,7 +54,7 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, generic: bool = False) -> DataFrame:
     """``document_id, text, original_context_id, metadata`` from a knowledge base of JSON lines; errors name file and line."""
-    rows = require(json_lines(spark, path, DOCUMENT_FIELDS), ~F.col("bad"), "the line isn't a JSON object").select("file", "number", "row.*")
+    rows = require(json_lines(spark, path, DOCUMENT_FIELDS), ~F.col("bad"), "the line isn't a JSON object").select("file", "number", "line", "row.*")
     if generic:
         context = first_truthy(F.col("context_id"), F.col("original_context_id"))
         out = [first_truthy(F.col("document_id"), F.col("id"), context).alias("document_id"), first_truthy(F.col("context"), F.col("text")).alias("text"), context.alias("original_context_id"), F.struct(*[F.col(c) for c in ("doc_name",)]).alias("metadata")]
@@ -60,7 +62,7 @@ def read_documents(spark: SparkSession, path: str, generic: bool = False) -> Dat
         key = first_truthy(F.col("doc_key"), F.col("doc_id"))
         named = F.struct("doc_id", "doc_key", "doc_name", "kategorie", "wissensart", "titel", "quellpfad", "sprache", "content_hash", "ingestion_version", F.col("doc_name").alias("file_name"), first_truthy(F.col("quellpfad"), F.col("doc_name")).alias("source_file"))
         out = [key.alias("document_id"), "text", key.alias("original_context_id"), named.alias("metadata")]
-    return require(rows.select("file", "number", *out), F.col("document_id").isNotNull() & (F.trim("text") != ""), "the document has no identifier or no text").drop("file", "number")
+    return require(rows.select("file", "number", "line", *out), F.col("document_id").isNotNull() & (F.trim("text") != ""), "the document has no identifier or no text").drop("file", "number", "line")
 
 
 def read_text_folder(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bool = True) -> DataFrame:
@@ -78,7 +80,7 @@ def read_questions(spark: SparkSession, path: str, id_field: str = "question_id"
     rows = require(json_lines(spark, path, f"`{id_field}` string, `{question_field}` string"), ~F.col("bad"), "the line isn't a JSON object")
     if not allow_unsafe:
         rows = require(rows, ~F.coalesce(F.arrays_overlap(F.json_object_keys("line"), F.array(*map(F.lit, FORBIDDEN))), F.lit(False)), "the question carries answers")
-    out = rows.select("file", "number", F.trim(F.col(f"row.{id_field}")).alias("question_id"), F.trim(F.col(f"row.{question_field}")).alias("question"))
+    out = rows.select("file", "number", "line", F.trim(F.col(f"row.{id_field}")).alias("question_id"), F.trim(F.col(f"row.{question_field}")).alias("question"))
     out = require(out, (F.col("question_id") != "") & (F.col("question") != ""), "the question has no id or no text")
     again = out.groupBy("question_id").agg(F.count("*").alias("n"), F.min(F.struct("file", "number", "question")).alias("first"))
     repeated = F.concat(F.col("first.file"), F.lit(":"), F.col("first.number"), F.lit(": the question id is repeated"))

@@ -5,6 +5,7 @@ Windows with watermarks over the event log are an extension.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,16 +38,19 @@ def process_incrementally(questions: DataFrame, answer: Callable[[DataFrame], Da
     run that begins anew, with another checkpoint, asks only what is open.
     """
 
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # epochs are those of a checkpoint
+
     def write(batch: DataFrame, epoch: int) -> None:
-        spark, target = batch.sparkSession, f"{out}/epoch={epoch}"
+        spark = batch.sparkSession
         if key:
             batch = batch.dropDuplicates([key])
             done = answered(spark, out)
             if done is not None:
                 ok = valid_result(F.col("error"), F.col(key), F.col("generated_answer"))
                 # a batch that runs again replaces its own rows, so these don't count
-                batch = batch.join(done.where(ok & (F.col("epoch") != epoch)).select(key).distinct(), key, "left_anti")
-        answer(batch).withColumn("write_seq", F.lit(epoch)).write.mode("overwrite").parquet(target)
+                others = (F.col("run") != run) | (F.col("epoch") != epoch)
+                batch = batch.join(done.where(ok & others).select(key).distinct(), key, "left_anti")
+        answer(batch).withColumn("write_seq", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/run={run}/epoch={epoch}")
 
     return questions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
@@ -70,23 +74,23 @@ class LastValid(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", StructType(RESULT.fields[1:3]))
+        self.held = handle.getValueState("held", "at long, write_seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         valid = [r for r in rows if r.error is None and (r.generated_answer or "").strip()]
         before = self.held.get()
         last = tuple(before) if before is not None else None
         newest = None
-        for r in sorted(valid, key=lambda r: (r.ts, r.write_seq)):
-            if last is not None and (r.ts, r.write_seq) <= last:
+        for r in sorted(valid, key=lambda r: (r.at, r.write_seq)):
+            if last is not None and (r.at, r.write_seq) <= last:
                 yield Row(question_id=key[0], ts=r.ts, write_seq=r.write_seq, generated_answer=r.generated_answer, kind="late", first=False)
             else:
                 newest = r
         if newest is not None:
-            self.held.update((newest.ts, newest.write_seq))
+            self.held.update((newest.at, newest.write_seq))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(newest.ts.timestamp() * 1000) + self.expiry_ms)
+            self.handle.registerTimer(newest.at // 1000 + self.expiry_ms)
             yield Row(question_id=key[0], ts=newest.ts, write_seq=newest.write_seq, generated_answer=newest.generated_answer, kind="held", first=before is None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -107,6 +111,7 @@ def last_valid(results: DataFrame, lateness: str = "1 hour", expiry_ms: int = 7
     """
     results.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = results.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT.fields]).where("question_id is not null and ts is not null and write_seq is not null")
+    rows = rows.withColumn("at", F.unix_micros("ts"))  # times in Python may have a zone or none
     return rows.withWatermark("ts", lateness).groupBy("question_id").transformWithState(LastValid(expiry_ms), LAST, "Update", "EventTime")
 
 

@@ -13,7 +13,7 @@ from lodestone.sources import sinks as K
 def small_blocks(spark):
     kept = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
     yield
     for k, v in kept.items():
         spark.conf.set(k, v) if v else spark.conf.unset(k)
