@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import compress, groupby
+from itertools import compress, groupby, pairwise
 from operator import and_, not_
 
 import numpy as np
@@ -36,6 +36,8 @@ STATES = re.compile(
     r"(?:under|subject to|accept|with) the (?:terms|conditions) of|permission (?:is|to use)|(?:this|the|its|our|following) licen[cs]e (?:of|for|covers|applies|governs|agreement|terms|grants)|licen[cs]e agreement|see (?:the )?(?:file )?(?:LICEN[CS]E|COPYING)\b",
     re.I,
 )
+#: Every match of ``STATES`` has one of these, in lower case.
+MAY_STATE = ("licen", "copyright", "(c)", "\u00a9", "rights reserved", "public domain", "under", "permission", "terms", "conditions")
 #: Licences that come in versions: how a statement names the family, and what the names of others in it rule out.
 FAMILIES = {
     "AGPL": (r"affero general public licen[cs]e|\bagpl", None),
@@ -98,19 +100,27 @@ class Templates:
             norm = np.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
             for w, n in c.items():
                 self.postings.setdefault(w, []).append((i, n * self.idf[w] / norm))
-        self.unknown = np.log(1 + len(rows)) + 1
+        self.idf = {w: float(x) for w, x in self.idf.items()}
+        self.peak = {w: float(max(y for _, y in ps)) for w, ps in self.postings.items()}
+        self.unknown = float(np.log(1 + len(rows)) + 1)
         self.squares = {w: float(x * x) for w, x in self.idf.items() if " " not in w}
 
     def bound(self, words: list[str]) -> float:
-        """What the cosine of a statement of these words can be at most: that of its part in the templates' vocabulary with the whole, but for the pairs of words outside."""
+        """What the cosine of a statement of these words can be at most: as if one template had the greatest weight of all for each of its words and pairs."""
         known = [w in self.squares for w in words]
-        inside = sum(n * n * self.squares[w] for w, n in Counter(compress(words, known)).items())
-        if not inside:
+        if not any(known):
             return 0.0
-        both = [f"{words[i]} {words[i + 1]}" for i in compress(range(len(words)), map(and_, known, known[1:]))]
-        inside += sum(n * n * self.idf[w] ** 2 for w, n in Counter(w for w in both if w in self.idf).items())
-        out = self.unknown**2 * len(set(compress(words, map(not_, known))))
-        return float(np.sqrt(inside / (inside + out)))
+        found = list(Counter(compress(words, known)).items())
+        pairs = Counter([f"{words[i]} {words[i + 1]}" for i in compress(range(len(words)), map(and_, known, known[1:]))])
+        found += [(w, n) for w, n in pairs.items() if w in self.idf]
+        # every other word and every other pair of neighbours lies outside, once at least
+        outside = len(set(compress(words, map(not_, known)))) + len(set(pairwise(words))) - sum([w in self.idf for w in pairs])
+        dot = inside = 0.0
+        for w, n in found:
+            x = n * self.idf[w]
+            inside += x * x
+            dot += x * self.peak[w]
+        return dot / (inside + self.unknown**2 * outside) ** 0.5
 
     def closest(self, statement: str) -> tuple[str | None, float]:
         c = Counter(terms(statement))
@@ -147,6 +157,12 @@ class Templates:
         return name, cosine
 
 
+def states_terms(text: str) -> bool:
+    """Whether terms of the work are stated, in whatever words."""
+    low = text.lower()
+    return any(k in low for k in MAY_STATE) and bool(STATES.search(NEGATED.sub(" ", text)))
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """Where the sentences of each line begin and end."""
     out, at = [], 0
@@ -164,12 +180,14 @@ def units(text: str) -> list[tuple[int, int]]:
 def statements(text: str, model: Templates, whole: bool = False, least: float = 0.25) -> list[tuple[str, int, str | None, float]]:
     """What may state a licence: ``(statement, its length, name, cosine)``.
 
-    Sentences whose cosine may reach ``least``, each grown by those after it as
+    Sentences with an exact name; those whose cosine may reach ``least``, each grown by those after it as
     long as its cosine rises; runs of such sentences; and, if ``whole``, the
     text. Nothing is left out for its length or for the words that it lacks.
     """
     places, out = units(text), []
     held = [model.bound(TERM.findall(text[lo:hi].lower())) >= least for lo, hi in places]
+    exact = {k for k, (lo, hi) in enumerate(places) if SPDX.search(text, lo, hi)} if "SPDX-License-Identifier" in text else set()
+    out += [text[slice(*places[k])] for k in sorted(exact)]
     after = 0
     for k, (lo, hi) in enumerate(places):
         if not held[k]:
@@ -217,7 +235,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", *, t
                 _, size, name, cosine = max(granted, key=lambda x: x[3], default=("", 0, None, max((x[3] for x in found if x[2]), default=0.0)))
                 size = max((x[1] for x in granted if x[2] == name), default=size)
                 # a licence that is denied, or spoken of in general, isn't stated
-                states = name is not None or bool(STATES.search(NEGATED.sub(" ", t or "")))
+                states = name is not None or states_terms(t or "")
                 out.append((p, name, round(cosine, 6), name is not None and (named or size >= file_share * len(t)), states))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, (pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()), strict=True)], names=["path", "license_found", "cosine", "is_license_file", "states"])
 
