@@ -15,7 +15,9 @@ from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators import chunking as C
 from lodestone.operators import evaluation as E
+from lodestone.operators import intervals as I
 from lodestone.operators import leaderboard as L
+from lodestone.operators import patterns as N
 from lodestone.operators import retrieval as R
 from lodestone.session import stored
 
@@ -151,7 +153,7 @@ def _evaluated(spark, sf_dir) -> DataFrame:
     """A row for each benchmark passage: the ranked documents, those that contain it, and metrics at 1, 3, 5 and 10."""
     hits = _bm25(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda h: h["item_id"].cast("string")).alias("retrieved"))
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    met = R.containing(docs.select(F.col("doc_id").alias("text_id"), "text"), passages.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
+    met = N.containing(docs.select(F.col("doc_id").alias("text_id"), "text"), passages.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
     gold = met.groupBy(F.col("passage_id").alias("query_id")).agg(F.collect_set(F.col("text_id").cast("string")).alias("gold"))
     rows = passages.select(F.col("item_id").alias("query_id")).join(hits, "query_id", "left").join(gold, "query_id", "left")
     at = [F.struct(F.lit(k).cast(LONG).alias("k"), *[c.alias(n) for n, c in M.rank_metrics(F.col("retrieved"), F.col("gold"), k).items()]) for k in (1, 3, 5, 10)]
@@ -367,7 +369,7 @@ SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY overlap DESC, evidenc
 def rt25_span_overlap(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     spans = docs.select(F.col("doc_id").alias("span_id"), "doc_id", F.floor(F.col("n_chars") / 4).alias("s_start"), (F.floor(F.col("n_chars") / 2) + 1).alias("s_end"))
-    return R.span_overlaps(spans, _char_chunks(docs)).select("span_id", "item_id", "overlap", "evidence_coverage", "chunk_coverage", "is_primary")
+    return I.span_overlaps(spans, _char_chunks(docs)).select("span_id", "item_id", "overlap", "evidence_coverage", "chunk_coverage", "is_primary")
 
 
 @query(f"""
@@ -382,7 +384,7 @@ def rt24_parent_mapping(spark, sf_dir):
     third = F.floor(F.col("n_chars") / 3)
     top = docs.select("doc_id", F.lit("top").alias("parent_id"), F.lit(0).cast(LONG).alias("s_start"), (third * 3).alias("s_end"), F.lit(1).alias("level"), F.lit(0).alias("ordinal"))
     parts = docs.select("doc_id", third.alias("t"), F.explode(F.array(*map(F.lit, range(3)))).alias("i")).select("doc_id", F.concat(F.lit("part"), "i").alias("parent_id"), (F.col("i") * F.col("t")).alias("s_start"), ((F.col("i") + 1) * F.col("t")).alias("s_end"), F.lit(2).alias("level"), (F.col("i") + 1).alias("ordinal"))
-    return R.map_to_parents(_char_chunks(docs), top.unionByName(parts))
+    return I.map_to_parents(_char_chunks(docs), top.unionByName(parts))
 
 
 # ---------------------------------------------------------------- answers, contexts
@@ -476,7 +478,7 @@ def pr02_mentioned_values(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 nations
     q = orders.select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("report on "), "n_name", F.lit(" of "), F.col("o_orderdate").cast("string")).alias("question"))
-    return R.mentioned_values(q, nation.select(F.col("n_name").alias("value"))).withColumn("mentioned", F.array_join("mentioned", ","))
+    return N.mentioned_values(q, nation.select(F.col("n_name").alias("value"))).withColumn("mentioned", F.array_join("mentioned", ","))
 
 
 # ---------------------------------------------------------------- result rows: reasons, latency, reconciliation

@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text, search_tokens
-from lodestone.operators.intervals import map_to_parents, span_overlaps  # noqa: F401 (part of this module's interface)
-from lodestone.operators.patterns import containing, mentioned_values  # noqa: F401 (likewise)
 from lodestone.session import stored
 
 #: Decimals that scores are compared with, so that orders don't hang on the order of additions.

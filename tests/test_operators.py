@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import models
 from lodestone.operators import evaluation as E
+from lodestone.operators import intervals as I
 from lodestone.operators import leaderboard as L
 from lodestone.operators import retrieval as R
 from lodestone.sources import readers, sinks
@@ -54,7 +55,7 @@ def test_category_fallback(spark):
 def test_parents_and_expansion(spark):
     chunks = spark.createDataFrame([(1, "in", 2, 4), (1, "cross", 8, 14), (1, "out", 30, 40)], "doc_id int, item_id string, start int, end int")
     sections = spark.createDataFrame([(1, "A", 0, 20, 1, 0), (1, "B", 0, 10, 2, 1), (1, "C", 10, 20, 2, 2)], "doc_id int, parent_id string, s_start int, s_end int, level int, ordinal int")
-    got = {r.item_id: (r.parent_id, r.mapping) for r in R.map_to_parents(chunks, sections).collect()}
+    got = {r.item_id: (r.parent_id, r.mapping) for r in I.map_to_parents(chunks, sections).collect()}
     assert got == {"in": ("B", "contained"), "cross": ("A", "contained"), "out": (None, "fallback")}
     hits = spark.createDataFrame(
         [("q", 1, "h1", "t1", [("P", "long", 90), ("S", "short", 5)]), ("q", 2, "h2", "t2", [("P", "long", 90), ("S", "short", 5)]), ("q", 3, "h3", "t3", [("S", "short", 5)]), ("q", 4, "h4", "t4", [])],

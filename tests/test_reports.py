@@ -12,6 +12,7 @@ from lodestone import config
 from lodestone.functions import models as X
 from lodestone.functions import text as T
 from lodestone.operators import retrieval as R
+from lodestone.operators import patterns as N
 from lodestone.operators import runs as U
 from lodestone.operators.chunking import token_char_ranges
 from lodestone.operators.leaderboard import competition_rank
@@ -133,11 +134,11 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
 def test_passages_and_values_are_found_as_by_trying_all(spark):
     texts = [(1, "xone two three fourx"), (2, "one two three four"), (3, "ONE TWO THREE FOUR"), (4, "a b"), (5, "ab"), (6, None), (7, "")]
     passages = [(1, "one two three four"), (2, "two three"), (3, "b"), (4, "one, two"), (5, None), (6, "three four")]
-    got = R.containing(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(passages, "passage_id int, passage string")).collect()
+    got = N.containing(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(passages, "passage_id int, passage string")).collect()
     assert {tuple(r) for r in got} == {(t, p) for t, x in texts for p, y in passages if x is not None and y is not None and y in x}
     asked = [(1, "Report on Oman and Romania"), (2, "nothing"), (3, None), (4, "U S")]
     values = ["oman", "ROMANIA", "us", "u", "o", None, " "]
-    rows = R.mentioned_values(spark.createDataFrame(asked, "query_id int, question string"), spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    rows = N.mentioned_values(spark.createDataFrame(asked, "query_id int, question string"), spark.createDataFrame([(v,) for v in values], "value string")).collect()
     assert {r.query_id: r.mentioned for r in rows} == {i: sorted(v.lower() for v in values if v and v.strip() and a and v.lower() in a.lower()) for i, a in asked}
 
 
