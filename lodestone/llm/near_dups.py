@@ -6,9 +6,10 @@ here. Bits of two sets agree with a probability that follows from their
 similarity (Charikar); ``tries`` binary tries, each over bits of its own, are
 joined with themselves as deep as the number of sets asks for, and as many of
 them that a pair at the similarity meets in one with probability ``RECALL``.
-Below a node that they share, pairs go on through the words of the fingerprint,
-add up the bits in which they differ, and end where the budget is exceeded:
-four standard deviations above what such a pair has. What the tries link forms
+Below a node that they share, pairs of nodes of the trie over the whole
+fingerprint descend together, add up the bits in which they differ, and end
+where the budget is exceeded: four standard deviations above what a pair at the
+similarity has. What the tries link forms
 groups, and in a group all pairs whose rarest shingles meet are compared shingle
 by shingle, so that every link is an exact one.
 """
@@ -180,45 +181,85 @@ def trie_bits(depth: int, tries: int, lanes: int = LANES) -> np.ndarray:
     return np.array(out)
 
 
+def node_pairs(keys: np.ndarray, limits: list[int], one, *, leaf: int = 64, batch: int = 1 << 17):
+    """Joins the binary trie of the sorted ``keys``, of several words each, with itself: yields arrays ``x, y`` of positions to compare.
+
+    Pairs of nodes descend together bit by bit, add up the bits in which their
+    paths differ, and end where these exceed the limit of the word that they are
+    in. A pair of nodes with ``leaf`` or fewer pairs of keys gives them up; nodes
+    below which all bits are spent hold copies, and give up a chain. Pairs of
+    nodes that ``one()``, a number for each key's component, knows as one
+    component link nothing new and end too. A node is a range of the keys; the
+    frontier holds at most ``batch`` pairs at once, the rest waits.
+    """
+    m, lanes = keys.shape
+    stack = [(0, np.array([[0, m, 0, m, 0]]))]
+    while stack:
+        depth, pairs = stack.pop()
+        if len(pairs) > batch:
+            stack.append((depth, pairs[batch:]))
+            pairs = pairs[:batch]
+        part = one()
+        changes = np.append(0, np.cumsum(part[1:] != part[:-1]))
+        a0, a1, b0, b1, _ = pairs.T
+        pairs = pairs[~((changes[a0] == changes[a1 - 1]) & (changes[b0] == changes[b1 - 1]) & (part[a0] == part[b0]))]
+        a0, a1, b0, b1, spent = pairs.T
+        if depth == 64 * lanes:
+            own = a0 == b0
+            yield a0[~own], b0[~own]
+            for lo, hi in pairs[own][:, :2]:
+                yield np.arange(lo, hi - 1), np.arange(lo + 1, hi)
+            continue
+        wide = b1 - b0
+        few = (a1 - a0) * wide <= leaf
+        if few.any():
+            n = ((a1 - a0) * wide)[few]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            each = np.repeat(wide[few], n)
+            x, y = np.repeat(a0[few], n) + at // each, np.repeat(b0[few], n) + at % each
+            yield x[x < y], y[x < y]
+        a0, a1, b0, b1, spent = pairs[~few].T
+        if not len(a0):
+            continue
+        ones = np.append(0, np.cumsum((keys[:, depth // 64] >> U(63 - depth % 64)) & U(1)).astype(np.int64))
+        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        own = a0 == b0
+        parts = []
+        for x0, x1, y0, y1, more, keep in ((a0, am, bm, b1, 1, True), (am, a1, b0, bm, 1, ~own), (a0, am, b0, bm, 0, True), (am, a1, bm, b1, 0, True)):
+            keep = keep & (x1 > x0) & (y1 > y0) & (spent + more <= limits[depth // 64]) & ~((x0 == y0) & (x1 - x0 == 1))
+            parts.append(np.stack([x0[keep], x1[keep], y0[keep], y1[keep], spent[keep] + more], 1))
+        made = np.concatenate(parts)
+        if len(made):
+            stack.append((depth + 1, made))
+
+
 def close_groups(fps: np.ndarray) -> np.ndarray:
-    """For each fingerprint the first one reachable by pairs within the budget.
+    """For each fingerprint the first one reachable by pairs within the budget, by the trie of all fingerprints joined with itself.
 
-    Pairs are taken down the fingerprints' words, those beyond the budget after
-    each word leave. One row is compared with all, which joins most of a group
-    of copies; after that only rows outside the largest component are, as every
-    pair of different components has one of them.
+    After each word a pair may have spent no more than that word's budget.
+    Neighbours in the order are compared first, which joins most of a group of
+    copies, so that the pairs of its nodes end early.
     """
     m, lanes = fps.shape
     forest = _Forest(m)
     if m < 2:
         return forest.up
     limits = [min(budget_of(64 * (k + 1)), budget_of(64 * lanes)) for k in range(lanes)]
+    order = np.lexsort(fps.T[::-1])
+    keys = fps[order]
 
-    def compare(rows: np.ndarray) -> None:
-        spent = np.bitwise_count(fps[rows, 0][:, None] ^ fps[None, :, 0])
-        r, c = np.nonzero(spent <= limits[0])
-        apart = rows[r] < c if len(rows) == m else rows[r] != c
-        r, c = r[apart], c[apart]
-        spent = spent[r, c].astype(np.int64)
-        for k in range(1, lanes):
-            spent = spent + np.bitwise_count(fps[rows[r], k] ^ fps[c, k])
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        spent = np.zeros(len(x), np.int64)
+        for k in range(lanes):
+            spent = spent + np.bitwise_count(keys[x, k] ^ keys[y, k])
             near = spent <= limits[k]
-            r, c, spent = r[near], c[near], spent[near]
-        forest.union(rows[r], c)
+            x, y, spent = x[near], y[near], spent[near]
+        forest.union(order[x], order[y])
 
-    if m <= 1024:
-        compare(np.arange(m))
-        return forest.up
-    compare(np.zeros(1, np.int64))
-    done = np.zeros(m, bool)
-    done[0] = True
-    while True:
-        names, sizes = np.unique(forest.up, return_counts=True)
-        left = np.flatnonzero((forest.up != names[sizes.argmax()]) & ~done)[:256]
-        if not len(left):
-            return forest.up
-        compare(left)
-        done[left] = True
+    compare(np.arange(m - 1), np.arange(1, m))
+    for x, y in node_pairs(keys, limits, lambda: forest.up[order]):
+        compare(x, y)
+    return forest.up
 
 
 def _postings(bits: np.ndarray):

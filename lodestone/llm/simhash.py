@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, releasing
-from .components import connected_components
+from .components import _Forest, connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -56,39 +56,6 @@ def _fingerprints(shingle: int):
     return run
 
 
-class _Forest:
-    """Union-find over positions, on arrays."""
-
-    def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        up = self.up
-        while True:
-            over = up[x]
-            if (over == x).all():
-                return x
-            x = over
-
-    def union(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.find(a), self.find(b)
-            differ = a != b
-            a, b = a[differ], b[differ]
-            if not len(a):
-                return
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            np.minimum.at(self.up, high, low)
-            self.flatten()
-
-    def flatten(self) -> None:
-        while True:
-            over = self.up[self.up]
-            if (over == self.up).all():
-                return
-            self.up = over
-
-
 def trie_components(keys: np.ndarray, budget: int, nodes: np.ndarray | None = None, depth: int = 0, *, batch: int = 1 << 17) -> np.ndarray:
     """For each of the sorted distinct ``uint64`` keys the position of the smallest key reachable by links of at most ``budget`` bits below the given nodes.
 

@@ -90,6 +90,39 @@ def test_close_groups_match_all_pairs():
         assert close_groups(part).tolist() == want
 
 
+def test_node_pairs_end_at_the_budget():
+    """Pairs of nodes go down the trie: all pairs within the budget come up, and few of two far halves."""
+    from lodestone.llm.near_dups import node_pairs
+
+    rng = np.random.default_rng(8)
+    half = rng.integers(0, 1 << 63, (300, LANES), dtype=np.uint64)
+    half[:, 0] &= np.uint64((1 << 32) - 1)
+    other = half.copy()
+    other[:, 0] |= np.uint64(((1 << 32) - 1) << 32)
+    keys = np.concatenate([half, other, half[:5], half[:5]])
+    keys = keys[np.lexsort(keys.T[::-1])]
+    limits = [min(budget_of(64 * (k + 1)), budget_of(64 * LANES)) for k in range(LANES)]
+    seen = {(int(a), int(b)) for x, y in node_pairs(keys, limits, lambda: np.arange(len(keys))) for a, b in zip(x, y, strict=True)}
+    spent = np.cumsum(np.bitwise_count(keys[:, None] ^ keys[None]).astype(int), 2)
+    near = {(int(a), int(b)) for a, b in zip(*np.nonzero((spent <= limits).all(2)), strict=True) if a < b}
+    assert near <= seen
+    assert len(seen) < 0.6 * len(keys) * (len(keys) - 1) / 2 and all(keys[a, 0] >> np.uint64(32) == keys[b, 0] >> np.uint64(32) for a, b in seen)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_components_by_rounds_and_in_a_task(spark, monkeypatch, most):
+    """The rounds and the task that ends them give the same names, which have a row of their own; few edges need no rounds."""
+    from lodestone.llm import components as K
+
+    made = []
+    monkeypatch.setattr(K, "MOST_EDGES", most)
+    monkeypatch.setattr(K, "materialize", lambda df, name, replaces=None, f=K.materialize: made.append(name) or f(df, name, replaces))
+    edges = [(k, k + 1) for k in range(20)] + [(30, 31), (31, 30), (33, 30), (40, 40), (50, 60), (70, 60), (None, 1)]
+    got = K.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(k, 0) for k in range(21)] + [(30, 30), (31, 30), (33, 30), (50, 50), (60, 50), (70, 50)]
+    assert len(made) == 2 if most > 3 else len(made) > 5
+
+
 def test_tries_grow_with_the_input():
     assert trie_plan(0) == trie_plan(1)
     plans = [trie_plan(10**k) for k in range(3, 11)]
