@@ -57,31 +57,80 @@ def _scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return made
 
 
+#: Scores that a task holds at once.
+MOST_SCORES = 1 << 19
+
+
+def _first_of_each(row: np.ndarray, down: np.ndarray, score: np.ndarray, items: pa.Array, k: int):
+    """Of candidates ``(row, -rounded score, score, item)`` the ``k`` first of each row; ties go by the item."""
+    place = np.empty(len(items), np.int64)
+    place[pc.sort_indices(items).to_numpy()] = np.arange(len(items))
+    order = np.lexsort((place, down, row))
+    row = row[order]
+    begin = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+    keep = np.arange(len(row)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] < k if len(row) else begin
+    order = order[keep]
+    return row[keep], down[order], score[order], items.take(pa.array(order))
+
+
 def _block_top_k(k: int, metric: str, n_keys: int):
-    """Of units of rows ``(keys, side, id, vector)`` in the order of keys and side, the ``k`` best vectors of each query of the unit."""
-
-    def best(queries: list, vectors: list):
-        ids, held = pa.concat_arrays([x for x, _ in queries]), pa.concat_arrays([x for _, x in queries])
-        items, column = pa.concat_arrays([x for x, _ in vectors]), pa.concat_arrays([x for _, x in vectors])
-        q, v = _matrix(held), _matrix(column)
-        rank = np.argsort(pc.sort_indices(items).to_numpy())  # places in the order of identifiers, for ties
-        query, item, score = [], [], []
-        for lo in range(0, len(ids), 64):
-            scores = _scores(q[lo : lo + 64], v, metric)
-            rounded = -np.round(np.nan_to_num(scores, nan=-np.inf), PLACES)
-            for r in range(len(scores)):
-                few = np.arange(len(items))
-                if len(items) > 4 * k:  # all at least as good as the k-th, then the k first of them
-                    few = np.flatnonzero(rounded[r] <= np.partition(rounded[r], k - 1)[k - 1])
-                few = few[np.lexsort((rank[few], rounded[r][few]))[:k]]
-                query.append(np.full(len(few), lo + r))
-                item.append(few)
-                score.append(scores[r][few])
-        at, which = (pa.array(np.concatenate(x)) for x in (query, item))
-        return pa.RecordBatch.from_arrays([ids.take(at), items.take(which), pa.array(np.concatenate(score))], names=["query_id", "item_id", "score"])
+    """Of units of rows ``(keys, side, id, vector)`` in the order of keys and side, the ``k`` best vectors of each query of the unit.
+
+    A unit's queries are held; its vectors pass batch by batch, so that a task's
+    memory doesn't grow with the unit.
+    """
+
+    class Unit:
+        def __init__(self):
+            self.ids, self.held, self.q, self.best = [], [], None, None
+
+        def ask(self, ids, column):
+            self.ids.append(ids)
+            self.held.append(column)
+
+        def see(self, items, column):
+            if not self.ids:
+                return
+            if self.q is None:
+                self.ids, self.q, self.held = pa.concat_arrays(self.ids), np.concatenate([_matrix(h) for h in self.held]), []
+                self.last = np.full(len(self.q), np.inf)  # what the k-th best of a query has so far
+            v = _matrix(column)
+            step = max(1, MOST_SCORES // len(v))
+            found = []
+            for lo in range(0, len(self.q), step):
+                scores = _scores(self.q[lo : lo + step], v, metric)
+                down = np.nan_to_num(scores, nan=-np.inf)
+                np.round(down, PLACES, out=down)
+                np.negative(down, out=down)
+                most = self.last[lo : lo + step]
+                if len(v) > k:  # all at least as good as the k-th
+                    most = np.minimum(most, np.partition(down, k - 1, axis=1)[:, k - 1])
+                r, c = np.nonzero(down <= most[:, None])
+                found.append((r + lo, down[r, c], scores[r, c], items.take(pa.array(c))))
+                if sum(len(x[0]) for x in found) > MOST_SCORES:
+                    self.merge(found)
+                    found = []
+            self.merge(found)
+
+        def merge(self, found):
+            if self.best is not None:
+                found = [self.best, *found]
+            if not found:
+                return
+            row, down, score = (np.concatenate([x[n] for x in found]) for n in range(3))
+            self.best = _first_of_each(row, down, score, pa.concat_arrays([x[3] for x in found]), k)
+            row, down = self.best[:2]
+            n = np.bincount(row, minlength=len(self.q))
+            full = np.flatnonzero(n >= k)
+            self.last[full] = down[np.cumsum(n)[full] - 1]
+
+        def made(self):
+            if self.best is not None and len(self.best[0]):
+                row, _, score, items = self.best
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(row)), items, pa.array(score)], names=["query_id", "item_id", "score"])
 
     def run(batches):
-        key, queries, vectors = None, [], []
+        key, unit = None, Unit()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -92,21 +141,16 @@ def _block_top_k(k: int, metric: str, n_keys: int):
             cuts = np.flatnonzero(change) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 now = tuple(x[lo] for x in values)
-                if key is not None and now != key:
-                    if queries and vectors:
-                        yield best(queries, vectors)
-                    queries, vectors = [], []
-                key = now
+                if now != key:
+                    yield from unit.made()
+                    key, unit = now, Unit()
                 part = batch.slice(lo, hi - lo)
                 own = part.column(n_keys)
-                if pc.any(pc.equal(own, 0)).as_py():
-                    mine = part.filter(pc.equal(own, 0))
-                    queries.append((mine.column(n_keys + 1), mine.column(n_keys + 3)))
-                if pc.any(pc.equal(own, 1)).as_py():
-                    mine = part.filter(pc.equal(own, 1))
-                    vectors.append((mine.column(n_keys + 2), mine.column(n_keys + 3)))
-        if queries and vectors:
-            yield best(queries, vectors)
+                for side, put, name in ((0, unit.ask, n_keys + 1), (1, unit.see, n_keys + 2)):
+                    if pc.any(pc.equal(own, side)).as_py():
+                        mine = part.filter(pc.equal(own, side))
+                        put(mine.column(name), mine.column(n_keys + 3))
+        yield from unit.made()
 
     return run
 

@@ -131,3 +131,35 @@ def test_models_and_stream(spark, tmp_path):
     for _ in range(2):  # again: nothing is answered twice
         process_incrementally(stream, lambda b: b.withColumn("answer", F.lit("a")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_memory_of_a_unit_does_not_grow_with_its_vectors():
+    """Batches of one unit pass one by one: a hundred thousand vectors take no more than a few batches; the hits are those of all at once, ties by item."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, dim, k = np.random.default_rng(3), 16, 7
+    q, v = rng.integers(-2, 3, (40, dim)).astype(float), rng.integers(-2, 3, (100_000, dim)).astype(float)
+
+    def batch(side, ids, x):
+        n, none = len(x), pa.nulls(len(x), pa.int64())
+        vectors = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dim, pa.array(x.ravel()))
+        ids = pa.array(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, side)), none if side else ids, ids if side else none, vectors], names=["u", "side", "query_id", "item_id", "x"])
+
+    def batches():
+        yield batch(0, np.arange(40), q)
+        for lo in range(0, len(v), 2000):
+            yield batch(1, 500_000 - np.arange(lo, lo + 2000), v[lo : lo + 2000])
+
+    tracemalloc.start()
+    made = pa.Table.from_batches(list(R._block_top_k(k, "dot", 1)(batches())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = np.round(q @ v.T, 9)
+    ids = 500_000 - np.arange(len(v))
+    want = [(i, int(ids[at])) for i in range(40) for at in np.lexsort((ids, -scores[i]))[:k]]
+    assert list(zip(made["query_id"].to_pylist(), made["item_id"].to_pylist(), strict=True)) == want
+    assert peak < 40e6
