@@ -144,17 +144,16 @@ class InvertedFile:
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", list array<int>"
 
         def run(batches):
-            for batch in batches:
-                found = []
-                x = _directions(_doubles(batch.column(at), dim), metric)
-                for lo in range(0, len(x), 1024):
-                    near = -_nearness(x[lo : lo + 1024], shared.value)
+            for whole in batches:
+                step = max(1, (1 << 19) // len(shared.value))
+                for lo in range(0, whole.num_rows, step):
+                    batch = whole.slice(lo, step)
+                    near = -_nearness(_directions(_doubles(batch.column(at), dim), metric), shared.value)
                     few = np.argpartition(near, n - 1, axis=1)[:, :n] if n < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
                     order = np.lexsort((few, np.take_along_axis(near, few, 1)), axis=1)
-                    found.append(np.take_along_axis(few, order, 1))
-                flat = np.concatenate(found).astype(np.int32) if found else np.empty((0, n), np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "list"])
+                    flat = np.take_along_axis(few, order, 1).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "list"])
 
         return rows.mapInArrow(run, kind)
 
