@@ -16,6 +16,7 @@ from lodestone.operators import evaluation as E
 from lodestone.operators import leaderboard as L
 from lodestone.operators import prompts as P
 from lodestone.operators import retrieval as R
+from lodestone.session import stored
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, settings: RetrievalSettings, embed=None, *, boost: Callable[[DataFrame], Column] | None = None, keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
@@ -30,11 +31,19 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: RetrievalSetting
     tokens = T.german_tokens if s.analyzer == "german" else T.search_tokens
     more = [c for c in questions.columns if c not in ("query_id", *chunks.columns)]
 
+    made: list[DataFrame] = []
+
+    def vectors() -> list[DataFrame]:
+        """Questions and chunks are embedded once, for all legs and all that reads them."""
+        if not made:
+            for rows, key, text, vector in ((questions, "query_id", "question", "query_vector"), (chunks, "item_id", "text", "vector")):
+                made.append(stored(rows.select(key, *[c for c in ("category",) if c in rows.columns], embed(text).alias(vector)), "embedded"))
+        return made
+
     def dense(k: int, within: str | None = None, exactly: bool = False) -> DataFrame:
         fetch = k if exactly else max(k, s.fetch_k)
-        q = questions.select("query_id", *([within] if within else []), embed("question").alias("query_vector"))
-        v = chunks.select("item_id", *([within] if within else []), embed("text").alias("vector"))
-        hits = R.dense_top_k(q, v, fetch if boost or keep else k, s.metric, within)
+        q, v = vectors()
+        hits = R.dense_top_k(q, v.select("item_id", *([within] if within else []), "vector"), fetch if boost or keep else k, s.metric, within)
         if not (boost or keep):
             return hits
         seen = hits.select("query_id", "item_id", "score", "rank").join(chunks, "item_id").join(questions.select("query_id", *more), "query_id")
