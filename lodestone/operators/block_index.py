@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import search_tokens
-from lodestone.operators.retrieval import PLACES, TextIndex, top_k
+from lodestone.operators.retrieval import PLACES, TextIndex, by_item, small, top_k
 from lodestone.session import stored
 
 #: What bounds and scores may differ by when they are added up in another order.
@@ -45,10 +45,10 @@ class BlockIndex:
         number of items that have the term.
         """
         spark = index.postings.sparkSession
-        postings, terms, totals = (stored(t, n) for t, n in ((index.postings, "postings"), (index.terms, "terms"), (index.totals, "totals")))
-        kind = F.floor(4 * F.log2(F.greatest("dl", F.lit(1)).cast("double"))).cast("int")
-        counts = postings.select("item_id", kind.alias("kind")).distinct().groupBy("kind").agg(F.ceil(F.count("*") / size).cast("bigint").alias("n_blocks"))
-        placed = postings.withColumn("kind", kind).join(F.broadcast(counts), "kind")  # at most 4 x 63 rows, as lengths are longs
+        kind = F.floor(4 * F.log2(F.greatest(F.max("dl").over(Window.partitionBy("item_id")), F.lit(1)).cast("double"))).cast("int")  # an item has one, whatever its rows
+        postings, terms, totals = (stored(t, n) for t, n in ((index.dealt().withColumn("kind", kind), "postings"), (index.terms, "terms"), (index.totals, "totals")))
+        counts = postings.select("item_id", "kind").distinct().groupBy("kind").agg(F.ceil(F.count("*") / size).cast("bigint").alias("n_blocks"))
+        placed = postings.join(F.broadcast(counts), "kind")  # at most 4 x 63 rows, as lengths are longs
         block = F.col("kind").cast("bigint") * (1 << 40) + F.pmod(F.xxhash64("item_id"), "n_blocks")
         made = placed.crossJoin(F.broadcast(totals)).withColumns({"block": block, "part": _part(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)})  # one row
         blocks = made.groupBy("term", "block").agg(F.max("part").alias("most"), F.collect_list(F.struct("item_id", "part")).alias("postings"))
@@ -74,21 +74,34 @@ class BlockIndex:
         asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
         weighed = asked.join(self.terms, "term").crossJoin(F.broadcast(self.totals))  # one row
         weighed = stored(weighed.select("query_id", "term", "df", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "weighed")
+        # what is added up for an item or a block meets where the block is: pairs of items and queries don't move
+        n_items, n_queries = self.totals.first()["n"], weighed.select("query_id").distinct().count()
+        dealt = lambda rows: by_item(rows, "block", n_items, n_queries)
+        if among is not None:
+            members = dealt(self.blocks.select("block", F.explode("postings.item_id").alias("item_id"))).distinct()
+            own = members.join(among.groupBy("item_id").agg(F.collect_set("query_id").alias("queries")), "item_id")
+            own = stored(own.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "queries"))).alias("queries")), "among")
 
         def scores(pairs: DataFrame) -> DataFrame:
-            """Of ``(query_id, idf, postings)``."""
-            found = pairs.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "p.item_id", (F.col("idf") * F.col("p.part")).alias("part"))
-            summed = found.groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
-            return summed if among is None else summed.join(among, ["query_id", "item_id"], "left_semi")
+            """Of ``(query_id, idf, block, postings)``, dealt by block; an item has one block."""
+            rows = pairs if among is None else pairs.join(dealt(own), "block")
+            rows = rows.withColumn("p", F.explode("postings"))
+            if among is not None:
+                rows = rows.where(F.array_contains(F.element_at("queries", F.col("p.item_id")), F.col("query_id")))
+            found = rows.select("query_id", "block", "p.item_id", (F.col("idf") * F.col("p.part")).alias("part"))
+            return found.groupBy("query_id", "block", "item_id").agg(F.sum("part").alias("score")).drop("block")
 
         # the rarest terms, until their items are enough to hold k hits
         rising = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
         rare = weighed.withColumn("before", F.coalesce(F.sum("df").over(rising), F.lit(0))).where(F.col("before") < 4 * k)
-        first = top_k(scores(rare.select("query_id", "term", "idf").join(self.blocks.select("term", "postings"), "term")), k)
-        least = first.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
-        bounds = weighed.join(self.blocks.select("term", "block", "most"), "term").groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
-        judged = bounds.join(least, "query_id", "left").withColumn("scored", F.coalesce(F.col("bound") >= F.col("least") - SLACK, F.lit(True)))
+        rare = stored(rare.select("query_id", "term", "idf"), "rare")
+        few = dealt(self.blocks.join(small(rare.select("term")), "term", "left_semi").select("term", "block", "postings"))
+        first = top_k(scores(few.join(small(rare), "term")), k)
+        least = stored(first.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least")), "least")
+        bounds = dealt(self.blocks.select("term", "block", "most")).join(small(weighed), "term").groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("bound"))
+        judged = bounds.join(small(least), "query_id", "left").withColumn("scored", F.coalesce(F.col("bound") >= F.col("least") - SLACK, F.lit(True)))
         judged = stored(judged.select("query_id", "block", "scored"), "judged")
-        kept = judged.where("scored").join(weighed.select("query_id", "term", "idf"), "query_id").join(self.blocks.select("term", "block", "postings"), ["term", "block"])
+        asking = dealt(judged.where("scored")).groupBy("block").agg(F.collect_set("query_id").alias("asking"))
+        kept = dealt(self.blocks.select("term", "block", "postings")).join(asking, "block").join(small(weighed.select("query_id", "term", "idf")), "term").where(F.array_contains("asking", F.col("query_id")))
         report = judged.groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if("scored").alias("scored"))
         return top_k(scores(kept).where("score > 0"), k), report

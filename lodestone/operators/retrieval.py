@@ -202,11 +202,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
 
 @dataclass
 class TextIndex:
-    """An inverted index as DataFrames: ``postings(term, item_id, tf, dl)``, ``terms(term, df)``, ``totals(n, avgdl)`` of one row."""
+    """An inverted index as DataFrames: ``postings(term, item_id, tf, dl)``, ``terms(term, df)``, ``totals(n, avgdl)`` of one row; ``found(item_id, dl, tokens)`` are the items that the postings are counted from."""
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    found: DataFrame
+    only: DataFrame | None = None
 
     @staticmethod
     def build(items: DataFrame, item_id: str, text: str, tokens=search_tokens, only: DataFrame | None = None, most: int = 20_000) -> TextIndex:
@@ -223,32 +225,66 @@ class TextIndex:
             listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in wanted)
             found = F.expr(f"filter(tokens, t -> t IN ({listed}))") if wanted else F.array().cast("array<string>")
             base = stored(base.select("item_id", "dl", found.alias("tokens")), "index")
-        totals = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        found = base.select("item_id", "dl", F.explode("tokens").alias("term"))
-        if wanted is not None and len(wanted) > most:
-            found = found.join(only, "term", "left_semi")
-        postings = found.groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
-        terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-        return TextIndex(postings, terms, totals)
+        else:
+            wanted = None
+        totals = stored(base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "totals")
+        made = TextIndex(None, None, totals, base, only if wanted is None else None)
+        made.postings = made._counted(base)
+        made.terms = stored(made.dealt().groupBy("term").agg(F.count("*").alias("df")), "terms")
+        return made
+
+    def _counted(self, items: DataFrame) -> DataFrame:
+        rows = items.select("item_id", "dl", F.explode("tokens").alias("term"))
+        if self.only is not None:
+            rows = rows.join(self.only, "term", "left_semi")
+        return rows.groupBy("item_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+    def dealt(self, n_queries: int = 0) -> DataFrame:
+        """The postings, in as many parts by item as so many queries ask for; an item's tokens move, its postings don't."""
+        return self._counted(by_item(self.found, "item_id", self.totals.first()["n"], n_queries))
 
 
 def query_terms(queries: DataFrame, tokens=search_tokens) -> DataFrame:
     return queries.select(F.explode(tokens(F.col("question"))).alias("term")).distinct()
 
 
+#: Pairs of an item and a query that a task scores at most, about; rows of a table of queries' terms that is broadcast, more are joined by a shuffle.
+MOST_PAIRS, MOST_ASKED = 2_000_000, 200_000
+
+
+def by_item(rows: DataFrame, column: str, n_items: int, n_queries: int) -> DataFrame:
+    """``rows`` dealt by ``column``, so that a task scores about ``MOST_PAIRS`` pairs: all that is added up for an item then meets without another exchange."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-n_items * max(n_queries, 200) // MOST_PAIRS)), column)  # an item has postings, too
+
+
+def small(rows: DataFrame, most: int = MOST_ASKED) -> DataFrame:
+    """``rows``, which are stored, with the hint to broadcast them if they are few; they are counted."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def bm25_scores(queries: DataFrame, index: TextIndex, k1: float = 1.5, b: float = 0.75, tokens=search_tokens, among: DataFrame | None = None) -> DataFrame:
     """``(query_id, item_id, score)`` of items with a positive score, for ``queries(query_id, question)``.
 
     ``among(query_id, item_id)`` filters the hits; the statistics stay those of
-    all items. Only postings of the queries' terms are read on.
+    all items. Only postings of the queries' terms are read on. Postings are
+    dealt by item and meet the queries' terms there, so that the scores of an
+    item are added up where its postings are; pairs of items and queries don't
+    move.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     weighed = asked.join(index.terms, "term").crossJoin(F.broadcast(index.totals))  # totals: one row
-    weighed = weighed.select("query_id", "term", "avgdl", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighed = stored(weighed.select("query_id", "term", "avgdl", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "weighed")
     tf = F.col("tf")
     part = F.col("idf") * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighed.join(index.postings, "term").groupBy("query_id", "item_id").agg(F.sum(part).alias("score")).where("score > 0")
-    return scored if among is None else scored.join(among, ["query_id", "item_id"], "left_semi")
+    n_queries = weighed.select("query_id").distinct().count()
+    postings, condition = index.dealt(n_queries), F.lit(True)
+    if among is not None:  # an item's queries, at most all, dealt as the items are
+        own = by_item(among, "item_id", index.totals.first()["n"], n_queries).groupBy("item_id").agg(F.collect_set("query_id").alias("queries"))
+        postings = postings.join(own, "item_id")
+        condition = F.array_contains("queries", F.col("query_id"))
+    met = postings.join(small(weighed), "term").where(condition)
+    return met.groupBy("query_id", "item_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def bm25_top_k(queries: DataFrame, index: TextIndex, k: int, **options) -> DataFrame:

@@ -47,3 +47,15 @@ def test_other_parameters_and_odd_texts(spark):
         assert hits(found) == hits(R.bm25_top_k(queries, index, k, k1=k1, b=b))
     empty = R.TextIndex.build(docs.where("false"), "doc_id", "text")
     assert BlockIndex.build(empty).search(queries, 3)[0].collect() == []
+
+
+def test_pairs_of_queries_and_items_do_not_move(spark, corpus):
+    """Scores are added up where an item's postings are: no exchange deals pairs out."""
+    import re
+
+    docs, queries = corpus
+    index = R.TextIndex.build(docs, "doc_id", "text", only=R.query_terms(queries))
+    among = queries.select("query_id").join(docs.select(F.col("doc_id").alias("item_id"), "source"), F.expr("source = concat('src', query_id % 20)")).select("query_id", "item_id")
+    for found in (R.bm25_scores(queries, index), R.bm25_scores(queries, index, among=among), BlockIndex.build(index).search(queries, 10)[0]):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, (block#\d+L?, )?item_id", plan)
