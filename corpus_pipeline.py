@@ -45,7 +45,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, that with the smallest identifier; links are Jaccard similarities of 0.8 or more among what wide SimHash fingerprints let meet. Texts move once."""
+    """One row of each group of near copies stays, that with the smallest identifier; links are Jaccard similarities of 0.8 or more among what the self-join of tries of wide SimHash fingerprints, pairs of nodes with a bit budget, lets meet. Texts move once."""
     return near_survivors(docs.select(*COLUMNS), shingle=SHINGLE)
 
 
