@@ -23,6 +23,9 @@ from .sampling import draw, labelled_sample
 
 UNDETERMINED = "und"
 
+#: Rows and bytes of texts that a worker scores at once, but for a longer text, and bytes that it looks up at once, of whatever text.
+MOST_ROWS, MOST_BYTES, CHUNK = 2000, 1 << 20, 1 << 18
+
 
 @dataclass
 class PPMModel:
@@ -99,8 +102,8 @@ class PPMModel:
                 state[there] = base[k] + at[there]
         return PPMModel(languages, order, n, symbol.astype(np.int32), state, bits.reshape(-1, len(languages)))
 
-    def code_lengths(self, data: np.ndarray, starts: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
-        """Bits of each text under each language; the texts lie one after the other in ``data``."""
+    def code_lengths(self, data: np.ndarray, starts: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """Bits of each text under each language; the texts lie one after the other in ``data``. At most ``chunk`` bytes are looked up at once, so a longer text is taken in stretches."""
         ends = np.append(starts[1:], len(data))
         out = np.zeros((len(starts), len(self.languages)))
         n, order = self.n_symbols, self.order
@@ -108,21 +111,22 @@ class PPMModel:
         while first < len(starts):
             last = max(int(np.searchsorted(starts, starts[first] + chunk, "right")) - 1, first + 1)
             lo, hi = int(starts[first]), int(ends[last - 1])
-            if hi > lo:
-                s = self.symbol[data[lo:hi]]
-                context = np.zeros(hi - lo, np.int32)
-                begin = starts[first:last][ends[first:last] > starts[first:last]] - lo
+            rows = np.flatnonzero(ends[first:last] > starts[first:last]) + first
+            for at in range(lo, hi, chunk):  # once, unless it is one long text
+                back = min(order, at - lo)
+                s = self.symbol[data[at - back : min(at + chunk, hi)]]
+                context = np.zeros(len(s), np.int32)
+                begin = starts[rows] - lo if at == lo else np.zeros(1, np.int64)
                 for k in range(order, 0, -1):
                     context *= n
                     context[k:] += s[:-k] if k < len(s) else 0
-                for k in range(order):  # what lies before a text isn't context
-                    at = begin + k
-                    at = at[at < hi - lo]
-                    keep = n**k
-                    context[at] %= keep
-                cost = self.bits.take(self.state.take(context).astype(np.int64) * n + s, axis=0)
-                rows = np.flatnonzero(ends[first:last] > starts[first:last]) + first
-                out[rows] = np.add.reduceat(cost, begin, axis=0, dtype=np.float64)
+                if at == lo:
+                    for k in range(order):  # what lies before a text isn't context
+                        early = begin + k
+                        early = early[early < len(s)]
+                        context[early] %= n**k
+                cost = self.bits.take(self.state.take(context[back:]).astype(np.int64) * n + s[back:], axis=0)
+                out[rows] += np.add.reduceat(cost, begin, axis=0, dtype=np.float64)
             first = last
         return out
 
@@ -159,6 +163,16 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets[:-1] - offsets[0]).astype(np.int64)
 
 
+def _parts(batch: pa.RecordBatch, column: int):
+    """``batch`` in slices of at most ``MOST_ROWS`` rows and ``MOST_BYTES`` of the texts of ``column``, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + MOST_ROWS, int(np.searchsorted(ends, before + MOST_BYTES, "right"))))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
+
+
 def fit_language_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", *, per_language: int = 300, max_bytes: int = 20_000, order: int = 3) -> PPMModel | None:
     """Fit on at most ``per_language`` labelled texts of at most ``max_bytes`` bytes for each language; None without any."""
     by: dict[str, list[bytes]] = {}
@@ -183,11 +197,11 @@ def identify_language(docs: DataFrame, model: PPMModel | None, doc_id: str = "do
 
     def run(batches):
         m = shared.value
-        for batch in (b.slice(at, 2000) for b in batches for at in range(0, max(b.num_rows, 1), 2000)):
+        for batch in (part for b in batches for part in _parts(b, 1)):
             ids, column = batch.column(0), batch.column(1)
             lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best, score, rate = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
-            if m is not None and len(ids):
+            if m is not None:
                 data, starts = lowered(column)
                 bits = m.code_lengths(data, starts)
                 best = bits.argmin(1)

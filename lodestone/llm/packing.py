@@ -15,7 +15,6 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing
+from .common import kept, materialize, releasing
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 #: Settings of a vocabulary whose words can be encoded one by one (fixed values): how it splits, and how a word ends.
@@ -109,11 +108,6 @@ class Chunks(dict):
         return made
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -128,7 +122,7 @@ def tokenize_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, ca
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoder(vocabulary)
+        encoder = kept(vocabulary, lambda: Encoder(vocabulary))
         row = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -144,7 +138,7 @@ def tokenize_pieces(docs: DataFrame, doc_id: str, text: str, vocabulary: str, ca
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(releasing(run), PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(releasing(run, keeps=vocabulary), PIECES)
 
 
 # ---- the search over counts of lengths ----

@@ -243,6 +243,45 @@ def test_ppm_matches_definition():
     assert np.allclose(alone, got)
 
 
+def test_long_texts_are_scored_in_stretches():
+    import tracemalloc
+
+    model = PPMModel.fit({"x": [b"abracadabra banana band"], "y": [b"zzz yyy zz"]}, order=3)
+    text = np.random.default_rng(1).choice(np.frombuffer(b"abrcdnz y", np.uint8), 3_000_000)
+    begin = np.zeros(1, np.int64)
+    tracemalloc.start()
+    got = model.code_lengths(text, begin)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    assert np.allclose(got, model.code_lengths(text, begin, chunk=len(text)), rtol=1e-12, atol=0)
+    assert np.allclose(model.code_lengths(text[:50], begin, chunk=2), model.code_lengths(text[:50], begin), rtol=1e-12, atol=0)  # stretches shorter than a context
+
+
+def test_workers_take_texts_by_bytes():
+    import pyarrow as pa
+
+    from lodestone.llm.langid import MOST_BYTES, MOST_ROWS, _parts
+
+    texts = ["x" * 700_000, "y" * 700_000, None, "z" * 3_000_000, "", *["w"] * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(_parts(batch, 1))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= MOST_ROWS and (p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= MOST_BYTES) for p in parts)
+    assert list(_parts(batch.slice(0, 0), 1)) == []
+
+
+def test_what_a_stage_keeps_goes_with_the_next():
+    from lodestone.llm.common import kept, releasing
+
+    made = []
+    task = lambda name: list(releasing(lambda batches: iter([kept(name, lambda: made.append(name) or name)]), keeps=name)(iter([])))
+    assert task("a") == task("a") == ["a"] and made == ["a"]
+    assert list(releasing(lambda batches: batches)(iter([1]))) == [1]
+    task("a")
+    assert made == ["a", "a"]
+
+
 def test_language_edges(spark):
     rows = [(i, ("the cat and the hat " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de", "z") for i in range(60)]
     rows += [(100, None, "en", "z"), (101, "", None, "z"), (102, "12 34 !", "en", "z"), (103, "the hat", None, "z"), (None, "der hund", "de", "z"), (103, "the hat", None, "z")]
