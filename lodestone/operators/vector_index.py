@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestone.operators.retrieval import PLACES, dense_top_k, top_k
+from lodestone.operators.retrieval import PLACES, _first_of_each, dense_top_k, top_k
 from lodestone.session import stored
 
 METRICS = ("cosine", "dot", "l2")
@@ -222,6 +222,61 @@ def _pair_scores(pairs: DataFrame, metric: str, left: str, right: str) -> DataFr
     return ordered.mapInArrow(run, kind)
 
 
+def _met(around: DataFrame, degree: int, metric: str) -> DataFrame:
+    """``(a, b, score)``, both ways, of pairs of ``around(a, b, new, vector, least)``, sorted by ``a``, that meet around an ``a`` and of which one is new.
+
+    A vector moves once to each ``a`` that it is near to, not once for each pair.
+    Of those that meet, each gives up all but its ``degree`` best, and all below
+    ``least``, the worst score of the ``degree`` that it has: what is worse than
+    these isn't among its best of all.
+    """
+    item = around.schema["b"].dataType.simpleString()
+    rows = around.select("a", "b", "new", F.col("vector").cast("array<double>").alias("vector"), "least")
+
+    def score(ids: pa.Array, new: np.ndarray, v: np.ndarray, least: np.ndarray):
+        if metric == "l2":
+            made = -np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+        else:
+            made = (v[:, None] * v[None]).sum(2)
+            if metric == "cosine":
+                norms = np.sqrt((v * v).sum(1))
+                norms = norms[:, None] * norms[None]
+                made = np.divide(made, norms, out=np.zeros_like(made), where=norms > 0)
+        down = -np.nan_to_num(np.round(made, PLACES), nan=np.inf)  # NaN comes first, as in Spark's order
+        may = (new[:, None] | new[None]) & ~(down > -least[:, None])
+        np.fill_diagonal(may, False)
+        row, column = np.nonzero(may)
+        row, _, kept, best = _first_of_each(row, down[row, column], made[row, column], ids.take(pa.array(column)), degree)
+        return ids.take(pa.array(row)), best, kept
+
+    def run(batches):
+        held, of = [], None  # the rows of one a, at most twice its degree, may lie in two batches
+
+        def made():
+            whole = pa.Table.from_batches(held).combine_chunks()
+            ids, new, v, least = (whole.column(c).combine_chunks() for c in ("b", "new", "vector", "least"))
+            return score(ids, new.to_numpy(zero_copy_only=False), _doubles(v, len(v[0])), pc.fill_null(least, -np.inf).to_numpy())
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(a[1:] != a[:-1]) + 1).tolist()
+            found = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(a)], strict=True):
+                if held and a[lo] != of:
+                    found.append(made())
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                of = a[lo]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x[0] for x in found), pa.concat_arrays(x[1] for x in found), pa.array(np.concatenate([x[2] for x in found]))], names=["a", "b", "score"])
+        if held:
+            yield pa.RecordBatch.from_arrays([*(x := made())[:2], pa.array(x[2])], names=["a", "b", "score"])
+
+    return rows.mapInArrow(run, f"a {item}, b {item}, score double")
+
+
 @dataclass
 class NeighbourGraph:
     """Every vector with its nearest neighbours; a search walks from neighbour to neighbour, for all queries at once."""
@@ -263,12 +318,9 @@ class NeighbourGraph:
         for _ in range(rounds):
             admirers = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score", "new").withColumn("n", F.row_number().over(best)).where(F.col("n") <= degree).drop("n")
             around = edges.unionByName(admirers).groupBy("a", "b").agg(F.max("new").alias("new"))
-            one = around.select(F.col("a").alias("m"), F.col("b").alias("p"), F.col("new").alias("new_p"))
-            two = around.select(F.col("a").alias("m"), F.col("b").alias("q"), F.col("new").alias("new_q"))
-            pairs = one.join(two, "m").where("p < q and (new_p or new_q)").select("p", "q").distinct()
-            named = lambda c, v: x.select(F.col("item_id").alias(c), F.col("vector").alias(v))
-            scored = _pair_scores(pairs.join(named("p", "vp"), "p").join(named("q", "vq"), "q"), metric, "vp", "vq")
-            both = scored.select(F.col("p").alias("a"), F.col("q").alias("b"), "score").unionByName(scored.select(F.col("q").alias("a"), F.col("p").alias("b"), "score"))
+            least = edges.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"), F.min(F.round("score", PLACES)).alias("least")).where(F.col("n") >= degree).drop("n")
+            told = x.withColumnRenamed("item_id", "b").join(least, "b", "left")
+            both = _met(around.join(told, "b").repartition("a").sortWithinPartitions("a"), degree, metric)
             all_edges = edges.withColumn("new", F.lit(False)).unionByName(both.withColumn("new", F.lit(True)))
             merged = all_edges.groupBy("a", "b").agg(F.max("score").alias("score"), F.min("new").alias("new"))
             edges = stored(merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= degree).drop("n"), "edges")

@@ -92,6 +92,39 @@ def test_clusters_need_few_lists(spark, tmp_path):
         assert recall(made.search(q, 10), dense_top_k(q, v, 10, metric)) >= 0.9
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_a_round_gives_the_best_of_all_pairs_around_a_vector(spark, metric):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(40, 4)).round(1)
+    around = [(a, int(b), bool(draw.random() < 0.5), x[b].tolist(), float("-inf") if b % 3 else (-0.5 if metric == "l2" else 0.5)) for a in range(9) for b in draw.choice(40, 12, replace=False)]
+    rows = spark.createDataFrame(around, "a long, b long, new boolean, vector array<double>, least double")
+    many = spark.sparkContext.defaultParallelism
+    got = V._met(rows.repartition(many, "a").sortWithinPartitions("a"), 3, metric).collect()
+    want = {}
+    for a in range(9):
+        mine = [r for r in around if r[0] == a]
+        for _, p, new_p, vp, least in mine:
+            u = np.array(vp)
+            found = []
+            for _, q, new_q, vq, _ in mine:
+                v = np.array(vq)
+                score = {"l2": -np.sqrt(((u - v) ** 2).sum()), "dot": (u * v).sum(), "cosine": (u * v).sum() / (np.linalg.norm(u) * np.linalg.norm(v))}[metric]
+                if p != q and (new_p or new_q) and round(score, 9) >= least:
+                    found.append((-round(score, 9), q))
+            for score, q in sorted(found)[:3]:
+                want[p, q] = -score
+    assert {(r.a, r.b): pytest.approx(r.score, abs=1e-8) for r in got} == want
+
+
+def test_vectors_move_once_to_what_they_are_near_to(spark, tmp_path, monkeypatch):
+    moved = []
+    monkeypatch.setattr(V, "_pair_scores", lambda *a: moved.append(a))
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "item_id long, vector array<double>")
+    V.NeighbourGraph.build(v, str(tmp_path / "graph"), bucket=64, rounds=2)
+    assert not moved  # no pairs with both of their vectors
+
+
 @pytest.mark.parametrize("kind", [V.InvertedFile, V.NeighbourGraph])
 def test_odd_vectors(spark, tmp_path, kind):
     schema = "item_id long, vector array<double>, note string"
