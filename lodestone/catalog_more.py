@@ -51,6 +51,7 @@ SELECT q AS query_id, i AS item_id, rank, 'category' AS retrieval_mode, NULL AS
 UNION ALL SELECT q, l_linenumber, row_number() OVER (PARTITION BY q ORDER BY l_linenumber), 'global', CASE WHEN NOT routed THEN 'not_routed' WHEN n = 0 THEN 'category_retrieval_empty' ELSE 'insufficient_category_results' END FROM lineitem JOIN p ON q = l_orderkey WHERE NOT own""")
 def rt14_category_or_global(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("item_id"), (-F.col("l_linenumber")).cast("double").alias("score"))
+    lines = R.by_query(lines)
     routes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 3 != 0).alias("routed"))
     made = R.category_or_global(R.top_k(lines.where("item_id % 2 = 0"), 99), R.top_k(lines, 99), routes, least=2)
     return made.select("query_id", "item_id", F.col("rank").cast(LONG).alias("rank"), "retrieval_mode", "fallback_reason")

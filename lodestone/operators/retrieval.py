@@ -27,6 +27,16 @@ def top_k(scored: DataFrame, k: int, by: str = "score", query: str = "query_id",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Rows of a list of hits that a task sorts, about.
+MOST_HITS = 1_000_000
+
+
+def by_query(hits: DataFrame, query: str = "query_id") -> DataFrame:
+    """``hits`` dealt by query, so that more of them make more tasks, not larger ones; they are counted."""
+    least = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hits.repartition(max(least, -(-hits.count() // MOST_HITS)), query)
+
+
 # ---- dense ----
 
 
@@ -408,13 +418,15 @@ def category_or_global(category_hits: DataFrame, global_hits: DataFrame, routes:
     """Category hits for routed queries that have ``least`` of them, global hits for the others.
 
     ``routes(query_id, routed)``. The result has ``retrieval_mode`` and
-    ``fallback_reason`` (null where the category leg was used).
+    ``fallback_reason`` (null where the category leg was used). The decisions
+    are stored, so that the category leg isn't ranked again beside each leg.
     """
     n = category_hits.groupBy("query_id").agg(F.count("*").alias("n_category"))
     plan = routes.join(n, "query_id", "left").withColumn("n_category", F.coalesce("n_category", F.lit(0)))
     use = F.col("routed") & (F.col("n_category") >= least)
     reason = F.when(~F.col("routed"), "not_routed").when(F.col("n_category") == 0, "category_retrieval_empty").when(~use, "insufficient_category_results")
     plan = plan.select("query_id", F.when(use, "category").otherwise("global").alias("retrieval_mode"), reason.alias("fallback_reason"))
+    plan = stored(plan, "routes")
     columns = ["query_id", "item_id", "score", "rank"]
     own = category_hits.select(*columns).join(plan.where("retrieval_mode = 'category'"), "query_id")
     return own.unionByName(global_hits.select(*columns).join(plan.where("retrieval_mode = 'global'"), "query_id"))

@@ -163,3 +163,18 @@ def test_memory_of_a_unit_does_not_grow_with_its_vectors():
     want = [(i, int(ids[at])) for i in range(40) for at in np.lexsort((ids, -scores[i]))[:k]]
     assert list(zip(made["query_id"].to_pylist(), made["item_id"].to_pylist(), strict=True)) == want
     assert peak < 40e6
+
+
+def test_more_hits_make_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_HITS", 100)
+    hits = spark.range(3000).selectExpr("id % 500 AS query_id", "id AS item_id", "cast(id AS double) AS score")
+    dealt = R.top_k(R.by_query(hits), 3)
+    assert dealt.rdd.getNumPartitions() == 30
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, R.top_k(hits, 3).collect()))
+
+
+def test_routes_rank_the_category_leg_once(spark):
+    hits = spark.range(60).selectExpr("id % 6 AS query_id", "id AS item_id", "cast(id AS double) AS score")
+    routes = spark.range(6).selectExpr("id AS query_id", "id % 2 = 0 AS routed")
+    made = R.category_or_global(R.top_k(hits.where("item_id % 3 = 0"), 5), R.top_k(hits, 5), routes, least=2)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
