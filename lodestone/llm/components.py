@@ -48,7 +48,7 @@ class _Forest:
 
 
 def _stars(batches):
-    """``(node, up)`` of every node that isn't the smallest one of its component, by the edges of a task."""
+    """``(node, up)`` of every node, ``up`` the smallest one of its component, by the edges of a task."""
     held = [(batch.column(0), batch.column(1)) for batch in batches if batch.num_rows]
     if held:
         a, b = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
@@ -56,8 +56,7 @@ def _stars(batches):
         nodes = nodes.take(pc.sort_indices(nodes))
         forest = _Forest(len(nodes))
         forest.union(*(pc.index_in(x, nodes).to_numpy().astype(np.int64) for x in (a, b)))
-        low = np.flatnonzero(forest.up != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(low)), nodes.take(pa.array(forest.up[low]))], names=["node", "up"])
+        yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(forest.up))], names=["node", "up"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -68,20 +67,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that isn't smaller than all its neighbours vanishes, so the rounds grow with
     the logarithm of the longest chain. As soon as ``MOST_EDGES`` or fewer edges
     are left, which are counted first, one task joins these instead: rounds on
-    few rows cost the driver more than the executors. A node with very many
-    edges meets only aggregates with map-side combine and joins that adaptive
-    execution can split. Nodes may be of any ordered type. Empty input gives an
-    empty result. Edges with a null end are ignored. What a round replaces is
-    deleted.
+    few rows cost the driver more than the executors. If that holds from the
+    start, edges are neither shuffled nor freed of repeats, and what the task
+    gives is the result. A node with very many edges meets only aggregates with
+    map-side combine and joins that adaptive execution can split. Nodes may be
+    of any ordered type. Empty input gives an empty result. Edges with a null
+    end are ignored. What a round replaces is deleted.
     """
     edges = materialize(
         edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")),
         "cc-edges",
     )
     kind = edges.schema["a"].dataType.simpleString()
+    n = edges.count()
+    if n > MOST_EDGES:
+        edges = materialize(edges.distinct(), "cc-edges", replaces=edges)
+        n = edges.count()
     labels = None
-    while n := edges.count():
+    while n:
         if n <= MOST_EDGES:  # the last round
             hooks = materialize(edges.coalesce(1).mapInArrow(releasing(_stars), f"node {kind}, up {kind}"), "cc-hooks")
         else:
@@ -94,19 +98,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 hooks = materialize(jumped, "cc-hooks", replaces=hooks)
                 if hooks.where("moved").isEmpty():
                     break
-        up = hooks.select("node", "up")
+        if n <= MOST_EDGES and labels is None:
+            forget(edges)
+            return hooks.toDF("node", "component")
+        up = hooks.where("node <> up").select("node", "up")
         if labels is None:
-            labels = hooks if n <= MOST_EDGES else materialize(up.toDF("node", "component"), "cc-labels")
+            labels = materialize(up.toDF("node", "component"), "cc-labels")
         else:
             more = labels.join(up.select(F.col("node").alias("component"), F.col("up").alias("over")), "component", "left").select("node", F.coalesce("over", "component").alias("component"))
             labels = materialize(more.unionByName(up.withColumnRenamed("up", "component")), "cc-labels", replaces=labels)
         if n <= MOST_EDGES:
-            forget(edges)
+            forget(edges, hooks)
             break
         ends = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a", "left").select(F.coalesce("ua", "a").alias("a"), "b")
         ends = ends.join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b", "left").select("a", F.coalesce("ub", "b").alias("b"))
         edges = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges", replaces=edges)
         forget(hooks)
+        n = edges.count()
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = labels.toDF("node", "component")

@@ -463,6 +463,5 @@ def near_survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     split = _split(docs, doc_id, text, shingle)
     named = _verified(split, text, shingle, max_group)
     some = split.where("near is not null").join(named, "node")
-    first = some.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select("component", F.col("first.key").alias("key"))
-    stay = some.join(first, ["component", "key"], "left_semi").dropDuplicates(["component"]).select("row.*")
+    stay = some.groupBy("component").agg(F.min_by("row", F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("row")).select("row.*")
     return split.where("near is null").select("row.*").unionAll(stay)

@@ -123,6 +123,36 @@ def test_components_by_rounds_and_in_a_task(spark, monkeypatch, most):
     assert len(made) == 2 if most > 3 else len(made) > 5
 
 
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_few_edges_are_not_shuffled(spark, monkeypatch):
+    """Each exchange of a few edges is as many tasks as there are shuffle partitions, all of them work of the driver."""
+    from lodestone.llm import components as K
+
+    made = []
+    monkeypatch.setattr(K, "materialize", lambda df, name, replaces=None, f=K.materialize: made.append(_exchanges(df)) or f(df, name, replaces))
+    got = K.connected_components(spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3), (9, 8)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert (sum(made), _exchanges(got)) == (0, 0)
+
+
+def test_survivors_are_chosen_in_one_exchange(spark):
+    """Besides the two of the join with the names; a null identifier comes last, and equal rows give one."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text + " z", "en", "a", 1), (7, text, "en", "b", 2), (7, text, "en", "b", 2), (9, text + " y", "en", "c", 3), (4, "another one", "en", "d", 4), (None, "alone", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stay = corpus_pipeline.simhash_stage(spark, docs, "")
+        assert _exchanges(stay) == 3
+        assert sorted(map(tuple, stay.collect()), key=str) == sorted([rows[1], rows[4], rows[5]], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_tries_grow_with_the_input():
     assert trie_plan(0) == trie_plan(1)
     plans = [trie_plan(10**k) for k in range(3, 11)]
